@@ -74,38 +74,54 @@ def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col_(text), F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
 
 
-def compound_expr(text: Column | str, lexicon: dict[str, float] | None = None) -> Column:
-    """Unrounded compound score in [-1, 1] for each row."""
+def _shift(toks: Column, k: int) -> Column:
+    """The token k places earlier at every position ('' before the start)."""
+    n = F.size(toks)
+    return F.concat(F.array_repeat(F.lit(""), F.least(F.lit(k), n)), F.slice(toks, 1, F.greatest(n - k, F.lit(0))))
+
+
+def with_compound(df: DataFrame, text_col: str = "review_text", lexicon: dict[str, float] | None = None,
+                  out: str = "_compound") -> DataFrame:
+    """Add the unrounded compound score in [-1, 1] as column ``out``.
+
+    Tokens, their three predecessors and the position of the first "but" are
+    materialised once per row as arrays and zipped, so the per-token lambda
+    only reads its own element (an inline token expression inside the lambda
+    would re-split the whole text for every token).
+    """
     lex = _lit_map(lexicon or LEXICON)
     neg = F.array(*[F.lit(w) for w in NEGATORS])
     up = F.array(*[F.lit(w) for w in BOOSTERS_UP])
     down = F.array(*[F.lit(w) for w in BOOSTERS_DOWN])
-    toks = tokens(text)
-    but = F.array_position(toks, "but")
+    d = df.withColumn("_toks", tokens(text_col))
+    toks = F.col("_toks")
+    d = d.withColumn(
+        "_ctx",
+        F.arrays_zip(
+            toks.alias("t"), _shift(toks, 1).alias("p1"), _shift(toks, 2).alias("p2"), _shift(toks, 3).alias("p3"),
+            F.array_repeat(F.array_position(toks, "but"), F.size(toks)).alias("bp"),
+        ),
+    )
 
-    def valence(t: Column, i: Column) -> Column:
-        v = F.coalesce(F.try_element_at(lex, t), F.lit(0.0))
-        # 0-based index i: the preceding token sits at 1-based position i
-        prev = F.when(i > 0, F.element_at(toks, F.greatest(i, F.lit(1))))
+    def valence(e: Column, i: Column) -> Column:
+        v = F.coalesce(F.try_element_at(lex, e["t"]), F.lit(0.0))
         boosted = (
             F.when(v == 0, v)
-            .when(F.array_contains(up, F.coalesce(prev, F.lit(""))), v + F.signum(v) * BOOST)
-            .when(F.array_contains(down, F.coalesce(prev, F.lit(""))), v - F.signum(v) * BOOST)
+            .when(F.array_contains(up, e["p1"]), v + F.signum(v) * BOOST)
+            .when(F.array_contains(down, e["p1"]), v - F.signum(v) * BOOST)
             .otherwise(v)
         )
-        window = F.slice(toks, F.greatest(i - 2, F.lit(1)), F.least(i, F.lit(3)))
-        negated = F.exists(window, lambda w: F.array_contains(neg, w))
+        negated = F.array_contains(neg, e["p1"]) | F.array_contains(neg, e["p2"]) | F.array_contains(neg, e["p3"])
         signed = F.when(negated, boosted * NEGATION_SCALAR).otherwise(boosted)
-        pos = i + 1
+        pos, but = i + 1, e["bp"]
         return (
             F.when((but > 0) & (pos < but), signed * BUT_BEFORE)
             .when((but > 0) & (pos > but), signed * BUT_AFTER)
             .otherwise(signed)
         )
 
-    vals = F.transform(toks, valence)
-    s = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x)
-    return s / F.sqrt(s * s + F.lit(ALPHA))
+    s = F.aggregate(F.transform(F.col("_ctx"), valence), F.lit(0.0), lambda acc, x: acc + x)
+    return d.withColumn(out, s / F.sqrt(s * s + F.lit(ALPHA))).drop("_toks", "_ctx")
 
 
 def label_expr(score: Column) -> Column:
@@ -118,9 +134,8 @@ def label_expr(score: Column) -> Column:
 
 def score_sentiment(df: DataFrame, text_col: str = "review_text", lexicon: dict[str, float] | None = None) -> DataFrame:
     """Add sentiment_score (3 dp, half-even) and sentiment_label (on the raw score)."""
-    raw = compound_expr(text_col, lexicon)
     return (
-        df.withColumn("_compound", raw)
+        with_compound(df, text_col, lexicon)
         .withColumn("sentiment_score", F.bround("_compound", 3))
         .withColumn("sentiment_label", label_expr(F.col("_compound")))
         .drop("_compound")

@@ -19,7 +19,8 @@ from reviewlens.functions.text import truncate
 from reviewlens.operators.recent import keyed, unkeyed
 from reviewlens.operators.tagging import flag_expr, tag_expr
 
-NEWEST = [F.col("date").desc(), F.col("review_id").asc()]
+def newest() -> list[Column]:
+    return [F.col("date").desc(), F.col("review_id").asc()]
 
 
 def explode_tags(df: DataFrame, tags: Column, out: str = "theme") -> DataFrame:
@@ -40,7 +41,7 @@ def theme_samples(enriched: DataFrame, by: Sequence[str] = ("app_id",), k: int =
     """G2: the k lowest-rated reviews per theme."""
     d, keys = keyed(enriched, by)
     rows = explode_tags(d.select(*keys, "review_id", "date", "rating", "review_text", tag_col), F.col(tag_col))
-    out = top_k(rows, [*keys, "theme"], [F.col("rating").asc(), *NEWEST], k)
+    out = top_k(rows, [*keys, "theme"], [F.col("rating").asc(), *newest()], k)
     return unkeyed(out.drop(tag_col), by)
 
 
@@ -52,7 +53,7 @@ def signal_snippets(flagged: DataFrame, by: Sequence[str] = ("app_id",), k: int
 
 
 def _by_thumbs() -> list[Column]:
-    return [F.col("thumbs_up").desc_nulls_last(), *NEWEST]
+    return [F.col("thumbs_up").desc_nulls_last(), *newest()]
 
 
 def strength_samples(reviews: DataFrame, by: Sequence[str] = ("app_id",), k: int = 2, cut: int = 110) -> DataFrame:
@@ -80,8 +81,8 @@ def mixed_samples(enriched: DataFrame, by: Sequence[str] = ("app_id",), cut: int
     d, keys = keyed(enriched, by)
     base = explode_tags(d.select(*keys, "review_id", "date", "rating", "review_text", "complaint_categories"),
                         F.col("complaint_categories"), "area").drop("complaint_categories")
-    neg = top_k(base.where(F.col("rating").isin(1, 2)), [*keys, "area"], [F.col("rating").asc(), *NEWEST], 1)
-    pos = top_k(base.where(F.col("rating").isin(4, 5)), [*keys, "area"], [F.col("rating").desc(), *NEWEST], 1)
+    neg = top_k(base.where(F.col("rating").isin(1, 2)), [*keys, "area"], [F.col("rating").asc(), *newest()], 1)
+    pos = top_k(base.where(F.col("rating").isin(4, 5)), [*keys, "area"], [F.col("rating").desc(), *newest()], 1)
     out = neg.withColumn("side", F.lit("negative")).unionByName(pos.withColumn("side", F.lit("positive")))
     return unkeyed(out.withColumn("sample", truncate("review_text", cut)).drop("rank"), by)
 
@@ -96,5 +97,5 @@ def sentiment_topk(enriched: DataFrame, by: Sequence[str] = ("app_id",), k: int
 
 def investigate(rows: DataFrame, keys: Sequence[str], latest_first: bool = True, cap: int = tx.DRILL_CAP) -> DataFrame:
     """G7: first ``cap`` reviews per drill-through group, by date."""
-    order = NEWEST if latest_first else [F.col("date").asc(), F.col("review_id").asc()]
+    order = newest() if latest_first else [F.col("date").asc(), F.col("review_id").asc()]
     return top_k(rows, keys, order, cap)

@@ -67,61 +67,59 @@ TOKEN_SPLIT = "[^a-z']+"
 
 
 def _lit_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
+    """Literal map built from one SQL expression string (one call)."""
+    from reviewlens.operators.tagging import sql_str
+
+    return F.expr("map(" + ", ".join(f"{sql_str(k)}, CAST({v!r} AS DOUBLE)" for k, v in d.items()) + ")")
+
+
+def _lit_array(words) -> Column:
+    from reviewlens.operators.tagging import sql_str
+
+    return F.expr("array(" + ", ".join(sql_str(w) for w in words) + ")")
 
 
 def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col_(text), F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
 
 
-def _shift(toks: Column, k: int) -> Column:
-    """The token k places earlier at every position ('' before the start)."""
-    n = F.size(toks)
-    return F.concat(F.array_repeat(F.lit(""), F.least(F.lit(k), n)), F.slice(toks, 1, F.greatest(n - k, F.lit(0))))
+def _shift_sql(k: int) -> str:
+    """SQL: the token k places earlier at every position ('' before the start)."""
+    return f"concat(array_repeat('', least({k}, size(_toks))), slice(_toks, 1, greatest(size(_toks) - {k}, 0)))"
 
 
 def with_compound(df: DataFrame, text_col: str = "review_text", lexicon: dict[str, float] | None = None,
                   out: str = "_compound") -> DataFrame:
     """Add the unrounded compound score in [-1, 1] as column ``out``.
 
-    Tokens, their three predecessors and the position of the first "but" are
-    materialised once per row as arrays and zipped, so the per-token lambda
-    only reads its own element (an inline token expression inside the lambda
-    would re-split the whole text for every token).
+    Tokens, their valences, their three predecessors and the position of the
+    first "but" are materialised once per row as arrays and zipped, so the
+    per-token lambda reads only its own element (an inline token expression
+    inside a lambda would re-split the whole text for every token).  The
+    steps are SQL expression strings: one parse each, cheap to analyse.
     """
-    lex = _lit_map(lexicon or LEXICON)
-    neg = F.array(*[F.lit(w) for w in NEGATORS])
-    up = F.array(*[F.lit(w) for w in BOOSTERS_UP])
-    down = F.array(*[F.lit(w) for w in BOOSTERS_DOWN])
-    d = df.withColumn("_toks", tokens(text_col))
-    toks = F.col("_toks")
-    d = d.withColumn(
-        "_ctx",
-        F.arrays_zip(
-            toks.alias("t"), _shift(toks, 1).alias("p1"), _shift(toks, 2).alias("p2"), _shift(toks, 3).alias("p3"),
-            F.array_repeat(F.array_position(toks, "but"), F.size(toks)).alias("bp"),
-        ),
-    )
-
-    def valence(e: Column, i: Column) -> Column:
-        v = F.coalesce(F.try_element_at(lex, e["t"]), F.lit(0.0))
-        boosted = (
-            F.when(v == 0, v)
-            .when(F.array_contains(up, e["p1"]), v + F.signum(v) * BOOST)
-            .when(F.array_contains(down, e["p1"]), v - F.signum(v) * BOOST)
-            .otherwise(v)
-        )
-        negated = F.array_contains(neg, e["p1"]) | F.array_contains(neg, e["p2"]) | F.array_contains(neg, e["p3"])
-        signed = F.when(negated, boosted * NEGATION_SCALAR).otherwise(boosted)
-        pos, but = i + 1, e["bp"]
-        return (
-            F.when((but > 0) & (pos < but), signed * BUT_BEFORE)
-            .when((but > 0) & (pos > but), signed * BUT_AFTER)
-            .otherwise(signed)
-        )
-
-    s = F.aggregate(F.transform(F.col("_ctx"), valence), F.lit(0.0), lambda acc, x: acc + x)
-    return d.withColumn(out, s / F.sqrt(s * s + F.lit(ALPHA))).drop("_toks", "_ctx")
+    from reviewlens.operators.tagging import sql_str
+
+    lex = "map(" + ", ".join(f"{sql_str(k)}, CAST({v!r} AS DOUBLE)" for k, v in (lexicon or LEXICON).items()) + ")"
+    arr = lambda ws: "array(" + ", ".join(sql_str(w) for w in ws) + ")"
+    neg, up, down = arr(NEGATORS), arr(BOOSTERS_UP), arr(BOOSTERS_DOWN)
+    d = df.select("*", tokens(text_col).alias("_toks"))
+    d = d.select("*", F.expr(
+        f"arrays_zip(transform(_toks, t -> coalesce(try_element_at({lex}, t), CAST(0 AS DOUBLE))), "
+        f"{_shift_sql(1)}, {_shift_sql(2)}, {_shift_sql(3)}, "
+        f"array_repeat(array_position(_toks, 'but'), size(_toks)))").alias("_ctx"))
+    # zipped fields are named 0..4: valence, prev1, prev2, prev3, but-position
+    boosted = (f"CASE WHEN e['0'] = 0 THEN e['0'] "
+               f"WHEN array_contains({up}, e['1']) THEN e['0'] + signum(e['0']) * {BOOST}D "
+               f"WHEN array_contains({down}, e['1']) THEN e['0'] - signum(e['0']) * {BOOST}D ELSE e['0'] END")
+    negated = f"(array_contains({neg}, e['1']) OR array_contains({neg}, e['2']) OR array_contains({neg}, e['3']))"
+    signed = f"(CASE WHEN {negated} THEN ({boosted}) * {NEGATION_SCALAR}D ELSE ({boosted}) END)"
+    val = (f"CASE WHEN e['4'] > 0 AND i + 1 < e['4'] THEN {signed} * {BUT_BEFORE}D "
+           f"WHEN e['4'] > 0 AND i + 1 > e['4'] THEN {signed} * {BUT_AFTER}D ELSE {signed} END")
+    d = d.select("*", F.expr(f"aggregate(transform(_ctx, (e, i) -> {val}), CAST(0 AS DOUBLE), (a, x) -> a + x)")
+                 .alias("_s"))
+    return d.select("*", (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(ALPHA))).alias(out)).drop(
+        "_toks", "_ctx", "_s")
 
 
 def label_expr(score: Column) -> Column:
@@ -134,9 +132,9 @@ def label_expr(score: Column) -> Column:
 
 def score_sentiment(df: DataFrame, text_col: str = "review_text", lexicon: dict[str, float] | None = None) -> DataFrame:
     """Add sentiment_score (3 dp, half-even) and sentiment_label (on the raw score)."""
-    return (
-        with_compound(df, text_col, lexicon)
-        .withColumn("sentiment_score", F.bround("_compound", 3))
-        .withColumn("sentiment_label", label_expr(F.col("_compound")))
-        .drop("_compound")
+    d = with_compound(df, text_col, lexicon)
+    return d.select(
+        *[c for c in d.columns if c != "_compound"],
+        F.bround("_compound", 3).alias("sentiment_score"),
+        label_expr(F.col("_compound")).alias("sentiment_label"),
     )

@@ -24,26 +24,43 @@ from reviewlens import taxonomy as tx
 from reviewlens.functions.text import col_, text_key
 
 
+def sql_str(s: str) -> str:
+    """A Spark SQL string literal (backslash-escaped)."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _text_sql(text: str) -> str:
+    return f"lower(coalesce(`{text}`, ''))"
+
+
+def _any_sql(t: str, keywords: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({t}, {sql_str(k)})" for k in keywords) + ")"
+
+
 def any_contains(text: Column, keywords: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(k) for k in keywords])
 
 
-def tag_expr(text: Column | str, taxonomy: Mapping[str, Sequence[str]], prune: bool = True) -> Column:
-    """ARRAY<STRING> of matching groups, in taxonomy order, [] when none."""
-    t = text_key(text) if isinstance(text, str) else text
+def tag_expr(text: str, taxonomy: Mapping[str, Sequence[str]], prune: bool = True) -> Column:
+    """ARRAY<STRING> of matching groups, in taxonomy order, [] when none.
+
+    Compiled to one SQL expression string, so building it is a single
+    call however many keywords the taxonomy has.
+    """
+    t = _text_sql(text)
     groups = tx.compiled(taxonomy, prune=prune)
-    return F.array_compact(F.array(*[F.when(any_contains(t, kws), F.lit(g)) for g, kws in groups]))
+    whens = ", ".join(f"CASE WHEN {_any_sql(t, kws)} THEN {sql_str(g)} END" for g, kws in groups)
+    return F.expr(f"array_compact(array({whens}))")
 
 
-def flag_expr(text: Column | str, phrases: Sequence[str]) -> Column:
-    t = text_key(text) if isinstance(text, str) else text
-    return any_contains(t, tx.prune_subsumed(phrases))
+def flag_expr(text: str, phrases: Sequence[str]) -> Column:
+    return F.expr(_any_sql(_text_sql(text), tx.prune_subsumed(phrases)))
 
 
-def ordinal_expr(group: Column | str, taxonomy: Mapping[str, Sequence[str]]) -> Column:
+def ordinal_expr(group: str, taxonomy: Mapping[str, Sequence[str]]) -> Column:
     """Position of a group in its taxonomy (tie-break for stable orders)."""
-    m = F.create_map(*[F.lit(x) for g, i in tx.group_ordinals(taxonomy).items() for x in (g, i)])
-    return F.try_element_at(m, col_(group))
+    whens = " ".join(f"WHEN {sql_str(g)} THEN {i}" for g, i in tx.group_ordinals(taxonomy).items())
+    return F.expr(f"CASE `{group}` {whens} END")
 
 
 def tag_complaints(df: DataFrame, text_col: str = "review_text", out: str = "complaint_categories") -> DataFrame:
@@ -102,11 +119,16 @@ def _trigram_match(texts: DataFrame, kw: DataFrame, id_cols: Sequence[str]) -> D
     """
     short = kw.where(F.length("keyword") < TRIGRAM)
     long_ = kw.where(F.length("keyword") >= TRIGRAM).withColumn("_g", F.substring("keyword", 1, TRIGRAM))
+    # (id, position, trigram) only: the text itself is not copied per position
     grams = texts.select(
-        *id_cols, "_t",
+        *id_cols,
         F.posexplode(F.sequence(F.lit(1), F.greatest(F.length("_t") - TRIGRAM + 1, F.lit(1)))).alias("_i", "_p"),
-    ).withColumn("_g", F.substring("_t", F.col("_p"), TRIGRAM))
-    long_hits = grams.join(long_, "_g").where(F.substring("_t", F.col("_p"), F.length("keyword")) == F.col("keyword"))
+        "_t",
+    ).select(*id_cols, "_p", F.substring("_t", F.col("_p"), TRIGRAM).alias("_g"))
+    cand = grams.join(long_, "_g").select(*id_cols, "_p", "group", "ordinal", "keyword")
+    # verify the rest of each candidate against its text (one shuffle of texts by id)
+    long_hits = cand.join(texts, list(id_cols)).where(
+        F.substring("_t", F.col("_p"), F.length("keyword")) == F.col("keyword"))
     short_hits = texts.join(F.broadcast(short), F.col("_t").contains(F.col("keyword")))
     cols = [*id_cols, "group", "ordinal"]
     return long_hits.select(*cols).unionByName(short_hits.select(*cols))

@@ -10,11 +10,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.operators.recent import flag_recent
 from reviewlens.operators.sentiment import score_sentiment
 from reviewlens.operators.tagging import tag_complaints
+from reviewlens.session import checkpoint_dir
 from reviewlens.sources import fixture
 from reviewlens.sources.ingest import normalise_reviews
 
@@ -23,10 +26,17 @@ def enrich(reviews: DataFrame) -> DataFrame:
     return tag_complaints(score_sentiment(reviews))
 
 
-def materialise(enriched: DataFrame, path: str, partition_by: Sequence[str] = ("app_id",)) -> DataFrame:
-    """Write the enriched table (a lineage cut that survives executor loss)."""
+def materialise(enriched: DataFrame, path: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write a table once and read it back: a lineage cut that survives
+    executor loss.  Without ``path`` it goes to a fresh folder under the
+    session's shared ``spark.checkpoint.dir`` (never a machine-local folder
+    on a cluster; a temp folder is set only when the setting is missing).
+    """
+    spark = enriched.sparkSession
+    if path is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
     enriched.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return enriched.sparkSession.read.parquet(path)
+    return spark.read.parquet(path)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,5 +49,9 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def flagged(spark: SparkSession, sf_dir: str, by: Sequence[str] = ("app_id",)) -> DataFrame:
-    """Enriched reviews with the per-group ``is_recent`` flag."""
-    return flag_recent(enriched(spark, sf_dir), by)
+    """Enriched reviews with the per-group ``is_recent`` flag, written once.
+
+    Reports read the flagged table several times (facts, samples, rising);
+    materialising it keeps each plan small and each branch a plain scan.
+    """
+    return materialise(flag_recent(enriched(spark, sf_dir), by))

@@ -22,9 +22,23 @@ def col_(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# the same characters, listed (fixed by the Unicode whitespace definition)
+WS_CHARS = (
+    [chr(c) for c in range(0x09, 0x0E)] + [chr(c) for c in range(0x1C, 0x21)]
+    + ["\x85", "\xa0", "\u1680"] + [chr(c) for c in range(0x2000, 0x200B)]
+    + ["\u2028", "\u2029", "\u202f", "\u205f", "\u3000"]
+)
+
+
 def strip_ws(c: Column | str) -> Column:
-    """Strip leading/trailing whitespace the way Python's str.strip() does."""
-    return F.regexp_replace(col_(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
+    """Strip leading/trailing whitespace the way Python's str.strip() does.
+
+    The regex runs only for values whose first or last character is
+    whitespace (a hash-set ``IN`` test); the rest pass through untouched.
+    """
+    c = col_(c)
+    edge = F.substring(c, 1, 1).isin(*WS_CHARS) | F.substring(c, -1, 1).isin(*WS_CHARS)
+    return F.when(edge, F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")).otherwise(c)
 
 
 def text_key(c: Column | str = "review_text") -> Column:

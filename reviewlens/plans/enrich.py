@@ -22,8 +22,8 @@ from reviewlens.sources import fixture
 from reviewlens.sources.ingest import normalise_reviews
 
 
-def enrich(reviews: DataFrame) -> DataFrame:
-    return tag_complaints(score_sentiment(reviews))
+def enrich(reviews: DataFrame, sentiment: bool = True) -> DataFrame:
+    return tag_complaints(score_sentiment(reviews) if sentiment else reviews)
 
 
 def materialise(enriched: DataFrame, path: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
@@ -45,7 +45,18 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(reviews(spark, sf_dir))
+    """Reviews + complaint tags (a cheap per-row projection, not stored)."""
+    return enrich(reviews(spark, sf_dir), sentiment=False)
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews + sentiment + tags, written once.
+
+    The lexicon scorer is the costliest per-row step; stored, it runs once
+    however many branches of a report read the label (filters on a computed
+    label would otherwise be pushed below the projection and re-evaluate it).
+    """
+    return materialise(enrich(reviews(spark, sf_dir), sentiment=True))
 
 
 def flagged(spark: SparkSession, sf_dir: str, by: Sequence[str] = ("app_id",)) -> DataFrame:
@@ -54,4 +65,4 @@ def flagged(spark: SparkSession, sf_dir: str, by: Sequence[str] = ("app_id",)) -
     Reports read the flagged table several times (facts, samples, rising);
     materialising it keeps each plan small and each branch a plain scan.
     """
-    return materialise(flag_recent(enriched(spark, sf_dir), by))
+    return materialise(flag_recent(enrich(reviews(spark, sf_dir), sentiment=False), by))

@@ -239,7 +239,7 @@ def q_mixed_samples(spark, d):
 
 @query("sentiment_topk")
 def q_sentiment_topk(spark, d):
-    return TK.sentiment_topk(E.enriched(spark, d)).select("app_id", "sentiment_label", "rank", "review_id")
+    return TK.sentiment_topk(E.scored(spark, d)).select("app_id", "sentiment_label", "rank", "review_id")
 
 
 @query("investigate")
@@ -322,7 +322,7 @@ def q_explorer(spark, d):
 
 @query("export_all")
 def q_export_all(spark, d):
-    return RP.export_rows(E.enriched(spark, d))
+    return RP.export_rows(E.scored(spark, d))
 
 
 @query("export_filtered")
@@ -342,7 +342,7 @@ def q_coverage(spark, d):
 
 @query("sentiment_corpus")
 def q_corpus(spark, d):
-    return RP.sentiment_corpus(E.enriched(spark, d))
+    return RP.sentiment_corpus(E.scored(spark, d))
 
 
 @query("scope_counts")
@@ -358,12 +358,12 @@ def q_rating_dist(spark, d):
 
 @query("sentiment_trend")
 def q_sent_trend(spark, d):
-    return TR.sentiment_trend(E.enriched(spark, d))
+    return TR.sentiment_trend(E.scored(spark, d))
 
 
 @query("review_table")
 def q_review_table(spark, d):
-    return TR.review_table(E.enriched(spark, d))
+    return TR.review_table(E.scored(spark, d))
 
 
 @query("compare_apps")

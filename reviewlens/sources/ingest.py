@@ -62,7 +62,7 @@ def _typed(raw: DataFrame) -> DataFrame:
         if dst == "date":
             c = c if dtype == "timestamp_ntz" else _utc_naive(c)
         elif dst == "rating":
-            c = c if dtype == "int" else F.try_cast(c.cast("string"), "double").cast("int")
+            c = c if dtype == "int" else c.cast("string").try_cast("double").cast("int")
         elif dst == "thumbs_up":
             c = c.cast("int") if dtype != "int" else c
         elif dst in ("review_id", "app_version"):
@@ -111,7 +111,8 @@ def normalise_reviews(
 
 
 def _valid_cols() -> F.Column:
-    return F.col("date").isNotNull() & F.col("rating").between(1, 5)
+    """True for usable rows; never null, so every row lands on exactly one side."""
+    return F.coalesce(F.col("date").isNotNull() & F.col("rating").between(1, 5), F.lit(False))
 
 
 def scope_recent(df: DataFrame, days_back: int, as_of: datetime | str | None = None) -> DataFrame:

@@ -637,3 +637,33 @@ GROUP BY r.app_id, r.app_version, t.theme"""
 
 SQL["sample_adequacy"] = w() + f"""
 SELECT app_id, count(*) AS n_reviews, count(*) >= {tx.MIN_SAMPLE} AS adequate FROM reviews GROUP BY app_id"""
+
+SQL["stream_theme_counts"] = w(CKW, CTAG) + f"""
+SELECT t.app_id, strftime(date_trunc('day', r.date), '%Y-%m-%d %H:%M:%S') AS window_start,
+       strftime(date_trunc('day', r.date) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
+       t.theme, count(*) AS mentions
+FROM ctag t JOIN reviews r USING (app_id, review_id)
+WHERE date_trunc('day', r.date) + INTERVAL 1 DAY <= (SELECT max(date) FROM reviews) - INTERVAL 2 DAY
+GROUP BY ALL"""
+
+_PKW_CTE = PKW
+SQL["parse_insights"] = w(CKW, CTAG, PKW) + f""",
+cs AS (SELECT app_id, theme, count(*) AS c, min(ord) AS ord FROM ctag GROUP BY app_id, theme),
+ct AS (SELECT app_id, list(theme ORDER BY c DESC, ord) AS tops FROM (
+         SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY c DESC, ord) AS r FROM cs) WHERE r <= 3 GROUP BY app_id),
+ps AS (SELECT app_id, grp AS theme, count(*) AS c, min(ord) AS ord FROM (
+         SELECT DISTINCT r.app_id, r.review_id, k.grp, k.ord FROM reviews r JOIN pkw k ON contains(lower(r.review_text), k.kw)
+         WHERE r.rating IN (4, 5)) GROUP BY app_id, grp),
+pt AS (SELECT app_id, list(theme ORDER BY c DESC, ord) AS loved FROM (
+         SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY c DESC, ord) AS r FROM ps) WHERE r <= 3 GROUP BY app_id),
+apps AS (SELECT DISTINCT app_id FROM reviews),
+rep AS (SELECT a.app_id, coalesce(ct.tops, []::VARCHAR[]) AS tops, coalesce(pt.loved, []::VARCHAR[]) AS loved,
+               CAST(right(a.app_id, 1) AS INTEGER) % 4 AS shape
+        FROM apps a LEFT JOIN ct USING (app_id) LEFT JOIN pt USING (app_id))
+SELECT app_id,
+       CASE shape WHEN 3 THEN 'error' WHEN 1 THEN 'salvaged' ELSE 'json' END AS status,
+       CASE WHEN shape = 3 THEN NULL ELSE len(tops) END AS n_top,
+       CASE WHEN shape = 3 THEN NULL WHEN shape = 2 THEN 0 ELSE len(loved) END AS n_loved,
+       CASE WHEN shape = 3 THEN NULL ELSE array_to_string(tops, '; ') END AS top_complaints,
+       CASE WHEN shape = 3 THEN NULL WHEN shape = 2 THEN '' ELSE array_to_string(loved, '; ') END AS loved_features
+FROM rep"""

@@ -385,3 +385,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Key signals over all apps as one group (the reference's single-app case)."""
     fl = R.flag_recent(E.enriched(spark, sf_dir), by=())
     return TH.key_signals(fl, by=(), min_change_pp=RP.STRICT_CHANGE, min_recent_mentions=RP.STRICT_MENTIONS)
+
+
+# ── insights and streaming ──────────────────────────────────────────────────
+@query("parse_insights")
+def q_parse_insights(spark, d):
+    from reviewlens.plans import insights as INS
+    return INS.parse_insights(INS.stored_replies(E.enriched(spark, d)))
+
+
+@query("stream_theme_counts")
+def q_stream(spark, d):
+    from reviewlens.streaming import themes as ST
+    return ST.stream_theme_counts(spark, d)

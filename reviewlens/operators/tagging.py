@@ -41,15 +41,34 @@ def any_contains(text: Column, keywords: Sequence[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(k) for k in keywords])
 
 
-def tag_expr(text: str, taxonomy: Mapping[str, Sequence[str]], prune: bool = True) -> Column:
+_WORD = r"[\p{L}\p{N}_]"
+
+
+def _word_sql(t: str, keywords: Sequence[str]) -> str:
+    """One regex per group: any keyword as a whole word (quoted literally)."""
+    alts = "|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keywords)
+    return f"({t} RLIKE {sql_str(f'(?<!{_WORD})(?:{alts})(?!{_WORD})')})"
+
+
+def tag_expr(text: str, taxonomy: Mapping[str, Sequence[str]], prune: bool = True, match: str = "substring") -> Column:
     """ARRAY<STRING> of matching groups, in taxonomy order, [] when none.
 
-    Compiled to one SQL expression string, so building it is a single
-    call however many keywords the taxonomy has.
+    ``match="substring"`` (default) reproduces the reference's ``kw in text``;
+    ``match="word"`` requires whole-word hits ("fee" no longer hits "coffee").
+    Compiled to one SQL expression string, so building it is a single call
+    however many keywords the taxonomy has.  Subsumption pruning is only
+    valid for substring matching, so word mode keeps every keyword.
     """
     t = _text_sql(text)
-    groups = tx.compiled(taxonomy, prune=prune)
-    whens = ", ".join(f"CASE WHEN {_any_sql(t, kws)} THEN {sql_str(g)} END" for g, kws in groups)
+    if match == "substring":
+        groups = tx.compiled(taxonomy, prune=prune)
+        test = _any_sql
+    elif match == "word":
+        groups = tx.compiled(taxonomy, prune=False)
+        test = _word_sql
+    else:
+        raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
+    whens = ", ".join(f"CASE WHEN {test(t, kws)} THEN {sql_str(g)} END" for g, kws in groups)
     return F.expr(f"array_compact(array({whens}))")
 
 

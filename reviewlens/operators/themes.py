@@ -69,9 +69,9 @@ def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "
         total("max_date").alias("group_max_date"),
     )
     if as_of is None:
-        out = out.withColumn("as_of", F.max("group_max_date").over(Window.partitionBy(F.lit(0))))
-    else:
-        out = out.withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
+        # one scalar over the date column only (pruned scan), not a global window
+        as_of = df.agg(F.max("date")).first()[0]
+    out = out.withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
     return unkeyed(out.where(F.col("theme").isNotNull()), by)
 
 

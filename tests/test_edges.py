@@ -218,3 +218,24 @@ def test_empty_input_keeps_schema(spark):
     for out in (TH.theme_summary(df), TH.key_signals(fl), RP.signal_cards(fl), RP.theme_library(fl),
                 RP.sentiment_corpus(df), TH.praised_strengths(df), TH.mixed_areas(df)):
         assert out.count() == 0 and len(out.columns) > 0
+
+
+def test_word_match_mode(spark):
+    df = spark.createDataFrame([("good coffee",), ("the fee is high",), ("no lag",), ("a flag",), ("crash!",)],
+                               "review_text string")
+    got = [r.t for r in df.select(tag_expr("review_text", tx.COMPLAINT_GROUPS, match="word").alias("t")).collect()]
+    assert got == [[], ["Subscription / Payment"], ["Slow / Loading issues"], [], ["App crashing"]]
+
+
+def test_foreach_batch_facts(spark, tmp_path):
+    from reviewlens.streaming import themes as ST
+    landing = str(tmp_path / "landing")
+    FX_raw = __import__("reviewlens.sources.fixture", fromlist=["raw_reviews"]).raw_reviews
+    FX_raw(spark, "/root/testdata/sf0.001").write.parquet(landing)
+    raw = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
+    counts = ST.flat(ST.windowed_theme_counts(ST.stream_reviews(raw)))
+    q = (counts.writeStream.outputMode("update").foreachBatch(ST.refresh_facts(str(tmp_path / "facts")))
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    facts = spark.read.parquet(str(tmp_path / "facts"))
+    assert facts.count() > 0 and "batch_id" in facts.columns

@@ -13,8 +13,10 @@ refinement (a distributed radix select):
 3. rank only the final boundary bucket rows exactly.
 
 Rows newer than the threshold tuple, or equal to it, are in.  All histogram
-tables are tiny (groups × buckets); the joins against them are small-side
-joins that AQE broadcasts after measuring them.
+tables are tiny (groups × buckets).  The per-group tables are broadcast only
+after their row count (collected with the per-level check) is under
+``BROADCAST_GROUPS``; above it the join stays a shuffle join, where AQE
+splits a hot app's partition.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from reviewlens import taxonomy as tx
 
 LEVELS = ("day", "hour", "minute", "second")
 EXACT_ROWS = 2_000_000
+# per-group threshold rows are ~60 bytes: 1M groups ~ 60 MB, safe to broadcast
+BROADCAST_GROUPS = 1_000_000
 ALL = "__all"
 
 
@@ -51,13 +55,24 @@ def cap_need(n_cap: int) -> Callable[[Column], Column]:
     return lambda n: F.lit(n_cap).cast("bigint")
 
 
+def _small(df: DataFrame, n_rows: int | None, limit: int = BROADCAST_GROUPS) -> DataFrame:
+    """Broadcast a per-group table only when its counted size is bounded;
+    otherwise leave a shuffle join (AQE splits skewed partitions)."""
+    return F.broadcast(df) if n_rows is not None and n_rows <= limit else df
+
+
 def newest_threshold(
     df: DataFrame,
     keys: Sequence[str],
     need: Callable[[Column], Column],
     exact_rows: int = EXACT_ROWS,
+    stats: dict | None = None,
 ) -> DataFrame:
-    """Per key: (t_date, t_rid) of the k-th newest row, k = min(need(n), n)."""
+    """Per key: (t_date, t_rid) of the k-th newest row, k = min(need(n), n).
+
+    ``stats`` (optional dict) receives ``groups``: the number of groups,
+    known from the per-level check, used to size-check later broadcasts.
+    """
     keys = list(keys)
     base = df.select(*keys, "date", F.coalesce("review_id", F.lit("")).alias("_rid"))
     counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
@@ -73,13 +88,15 @@ def newest_threshold(
             .where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_c") < F.col("_need")))
             .select(*keys, "_b", "_c", (F.col("_need") - (F.col("_cum") - F.col("_c"))).alias("_need"))
         )
+        biggest, groups = bnd.agg(F.max("_c"), F.count(F.lit(1))).first()
         cand = (
             cand.withColumn("_b", F.date_trunc(level, "date"))
-            .join(bnd.select(*keys, "_b"), [*keys, "_b"])
+            .join(_small(bnd.select(*keys, "_b"), groups), [*keys, "_b"])
             .drop("_b")
         )
         state = bnd.select(*keys, "_need")
-        biggest = bnd.agg(F.max("_c")).first()[0]
+        if stats is not None:
+            stats["groups"] = groups
         if biggest is None or biggest <= exact_rows:
             break
     w = Window.partitionBy(*keys).orderBy(F.col("date").desc(), F.col("_rid"))
@@ -91,9 +108,10 @@ def flag_newest(df: DataFrame, by: Sequence[str], need: Callable[[Column], Colum
                 exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Add boolean ``out``: row is among the newest need(n) rows of its group."""
     d, keys = keyed(df, by)
-    th = newest_threshold(d, keys, need, exact_rows)
+    stats: dict = {}
+    th = newest_threshold(d, keys, need, exact_rows, stats)
     rid = F.coalesce(F.col("review_id"), F.lit(""))
-    flagged = d.join(th, keys, "left").withColumn(
+    flagged = d.join(_small(th, stats.get("groups")), keys, "left").withColumn(
         out,
         F.coalesce(
             (F.col("date") > F.col("t_date")) | ((F.col("date") == F.col("t_date")) & (rid <= F.col("t_rid"))),

@@ -92,6 +92,13 @@ def days_between(older: Column | str, newer: Column | str) -> Column:
     return F.when(d < 0, F.lit(0)).otherwise(d)
 
 
+def ntz_literal(value) -> Column:
+    """A TIMESTAMP_NTZ literal from a datetime or string, independent of the
+    Python and session time zones (goes through ISO text)."""
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
 # ── URLs ────────────────────────────────────────────────────────────────────
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
-from reviewlens.functions.text import days_between, pct, truncate
+from reviewlens.functions.text import days_between, ntz_literal, pct, truncate
 from reviewlens.operators.recent import keyed, unkeyed
 from reviewlens.operators.tagging import flag_expr, ordinal_expr, tag_expr
 
@@ -71,7 +71,7 @@ def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "
     if as_of is None:
         # one scalar over the date column only (pruned scan), not a global window
         as_of = df.agg(F.max("date")).first()[0]
-    out = out.withColumn("as_of", F.lit(as_of).cast("timestamp_ntz"))
+    out = out.withColumn("as_of", ntz_literal(as_of) if as_of is not None else F.lit(None).cast("timestamp_ntz"))
     return unkeyed(out.where(F.col("theme").isNotNull()), by)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlens import taxonomy as tx
-from reviewlens.functions.text import days_between, strip_ws
+from reviewlens.functions.text import days_between, ntz_literal, strip_ws
 from reviewlens.operators.recent import newest_n
 
 RAW_SCHEMA = T.StructType([
@@ -126,7 +126,7 @@ def scope_recent(df: DataFrame, days_back: int, as_of: datetime | str | None = N
         as_of = df.agg(F.max("date")).first()[0]
     if as_of is None:
         return df
-    lit = F.lit(as_of).cast("timestamp_ntz")
+    lit = ntz_literal(as_of)
     return df.where(F.col("date") >= lit - F.make_dt_interval(F.lit(days_back)))
 
 

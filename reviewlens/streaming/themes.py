@@ -84,6 +84,8 @@ def refresh_facts(out_table: str):
 def stream_theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract run: land the raw reviews derived from ``events`` as files,
     stream them through, return what the sink holds."""
+    # event time is UTC-naive; windows and their labels are computed in UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
     landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/ckpt"
     FX.raw_reviews(spark, sf_dir).write.parquet(landing)

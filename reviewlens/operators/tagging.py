@@ -46,7 +46,7 @@ _WORD = r"[\p{L}\p{N}_]"
 
 def _word_sql(t: str, keywords: Sequence[str]) -> str:
     """One regex per group: any keyword as a whole word (quoted literally)."""
-    alts = "|".join("\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E" for k in keywords)
+    alts = "|".join(_quoted(k) for k in keywords)
     return f"({t} RLIKE {sql_str(f'(?<!{_WORD})(?:{alts})(?!{_WORD})')})"
 
 
@@ -72,8 +72,19 @@ def tag_expr(text: str, taxonomy: Mapping[str, Sequence[str]], prune: bool = Tru
     return F.expr(f"array_compact(array({whens}))")
 
 
+def _quoted(k: str) -> str:
+    return "\\Q" + k.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def flag_expr(text: str, phrases: Sequence[str]) -> Column:
-    return F.expr(_any_sql(_text_sql(text), tx.prune_subsumed(phrases)))
+    """True when any phrase occurs as a substring.
+
+    One regex alternation of literal-quoted phrases: a single ``lower`` and a
+    single cached pattern, so the predicate stays small inside whole-stage
+    codegen (an OR of many ``contains`` pushed into a filter overflowed it).
+    """
+    alts = "|".join(_quoted(k) for k in tx.prune_subsumed(phrases))
+    return F.expr(f"{_text_sql(text)} RLIKE {sql_str(alts)}")
 
 
 def ordinal_expr(group: str, taxonomy: Mapping[str, Sequence[str]]) -> Column:

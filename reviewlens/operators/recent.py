@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
+from reviewlens.session import write_table
 
 LEVELS = ("day", "hour", "minute", "second")
 EXACT_ROWS = 2_000_000
@@ -88,6 +89,9 @@ def newest_threshold(
             .where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_c") < F.col("_need")))
             .select(*keys, "_b", "_c", (F.col("_need") - (F.col("_cum") - F.col("_c"))).alias("_need"))
         )
+        # the boundary table is tiny (one row per group): store it once so the
+        # size check and every later stage read it instead of re-aggregating
+        bnd = write_table(bnd)
         biggest, groups = bnd.agg(F.max("_c"), F.count(F.lit(1))).first()
         cand = (
             cand.withColumn("_b", F.date_trunc(level, "date"))

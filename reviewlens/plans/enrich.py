@@ -10,14 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from reviewlens.operators.recent import flag_recent
 from reviewlens.operators.sentiment import score_sentiment
 from reviewlens.operators.tagging import tag_complaints
-from reviewlens.session import checkpoint_dir
+from reviewlens.session import write_table
 from reviewlens.sources import fixture
 from reviewlens.sources.ingest import normalise_reviews
 
@@ -27,16 +25,8 @@ def enrich(reviews: DataFrame, sentiment: bool = True) -> DataFrame:
 
 
 def materialise(enriched: DataFrame, path: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write a table once and read it back: a lineage cut that survives
-    executor loss.  Without ``path`` it goes to a fresh folder under the
-    session's shared ``spark.checkpoint.dir`` (never a machine-local folder
-    on a cluster; a temp folder is set only when the setting is missing).
-    """
-    spark = enriched.sparkSession
-    if path is None:
-        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    enriched.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+    """Write the table once into the shared checkpoint folder (or ``path``)."""
+    return write_table(enriched, path, partition_by)
 
 
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:

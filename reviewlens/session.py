@@ -8,6 +8,7 @@ setting is missing (local tests).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -41,3 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path
+
+
+def write_table(df, path: str | None = None, partition_by=()):
+    """Write ``df`` once as Parquet and read it back: a lineage cut that
+    survives executor loss.  Default location: a fresh folder under the
+    session's shared ``spark.checkpoint.dir`` (never a machine-local folder
+    on a cluster; a temp folder is set only when the setting is missing)."""
+    spark = df.sparkSession
+    if path is None:
+        path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    return spark.read.parquet(path)

@@ -30,8 +30,7 @@ def _explode_with_total(tags: Column) -> Column:
     return F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), tags))
 
 
-def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "complaint_categories",
-                as_of=None) -> DataFrame:
+def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "complaint_categories") -> DataFrame:
     """Per (keys, theme): mentions, recent/low/high counts, rating sums and the
     oldest recent date, with the group's totals on every row.
 
@@ -68,10 +67,6 @@ def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "
         total("high_count").alias("n_high"),
         total("max_date").alias("group_max_date"),
     )
-    if as_of is None:
-        # one scalar over the date column only (pruned scan), not a global window
-        as_of = df.agg(F.max("date")).first()[0]
-    out = out.withColumn("as_of", ntz_literal(as_of) if as_of is not None else F.lit(None).cast("timestamp_ntz"))
     return unkeyed(out.where(F.col("theme").isNotNull()), by)
 
 
@@ -105,7 +100,11 @@ def key_signals(flagged: DataFrame, by: Sequence[str] = ("app_id",), min_change_
     ``days_ago`` counts whole days from the oldest recent mention to ``as_of``
     (default: newest review date in the input).
     """
-    f = facts if facts is not None else theme_facts(flagged, by, as_of=as_of)
+    f = facts if facts is not None else theme_facts(flagged, by)
+    if as_of is None:
+        # one scalar over the date column only (pruned scan), not a global window
+        as_of = flagged.agg(F.max("date")).first()[0]
+    f = f.withColumn("as_of", ntz_literal(as_of) if as_of is not None else F.lit(None).cast("timestamp_ntz"))
     change = F.bround(pct("recent_mentions", "n_recent") - pct("mentions", "n"), 1)
     avg = F.bround(F.col("recent_rating_sum") / F.col("recent_mentions"), 1)
     out = (

@@ -239,3 +239,14 @@ def test_foreach_batch_facts(spark, tmp_path):
     q.awaitTermination()
     facts = spark.read.parquet(str(tmp_path / "facts"))
     assert facts.count() > 0 and "batch_id" in facts.columns
+
+
+def test_read_raw_json_landing(spark, tmp_path):
+    from reviewlens.sources import fixture as FXm
+    raw = FXm.raw_reviews(spark, "/root/testdata/sf0.001")
+    landing = str(tmp_path / "landing")
+    raw.withColumn("at", F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")).write.json(landing)
+    via_json = IN.normalise_reviews(IN.read_raw(spark, landing, "json"))
+    direct = IN.normalise_reviews(raw)
+    cols = ["app_id", "review_id", "date", "rating", "review_text", "thumbs_up", "app_version"]
+    assert sorted(tuple(r) for r in via_json.select(cols).collect()) == sorted(tuple(r) for r in direct.select(cols).collect())

@@ -1,10 +1,12 @@
 """Keyword tagging (multi-label, substring semantics).
 
-Default form: the taxonomy is compiled into literal expressions —
-``array_compact(array(when(t.contains(k1) OR ..., group), ...))`` — so tagging
-is a per-row projection inside whole-stage codegen with no join and no
-shuffle.  Keywords that contain another keyword of the same group are
-pruned first (identical results, fewer ``contains``).
+Default form: the taxonomy is compiled into one SQL expression —
+``array_compact(array(CASE WHEN contains(t, k1) OR ... THEN group END, ...))``
+— so tagging is a per-row projection with no join and no shuffle.  Keywords
+that contain another keyword of the same group are pruned first (identical
+results, fewer ``contains``).  Single flags (request language) compile to one
+literal-quoted regex alternation, which keeps filters small enough for
+whole-stage codegen.
 
 Table form (``tag_by_table``): for large, data-driven taxonomies.  A keyword
 table whose size is checked to be small is broadcast into a nested-loop
@@ -15,13 +17,12 @@ the trigram) runs instead, so nothing unbounded is ever broadcast.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
-from reviewlens.functions.text import col_, text_key
+from reviewlens.functions.text import text_key
 
 
 def sql_str(s: str) -> str:
@@ -37,10 +38,6 @@ def _any_sql(t: str, keywords: Sequence[str]) -> str:
     return "(" + " OR ".join(f"contains({t}, {sql_str(k)})" for k in keywords) + ")"
 
 
-def any_contains(text: Column, keywords: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.contains(k) for k in keywords])
-
-
 _WORD = r"[\p{L}\p{N}_]"
 
 

@@ -1,9 +1,11 @@
 """Ingest + enrich once, then reuse (A10).
 
 ``enrich`` adds sentiment and complaint tags as per-row projections.  For a
-large table, ``materialise`` writes the enriched rows once — partitioned by
-``app_id`` so later per-app queries prune partitions — and every report reads
-the stored ``complaint_categories`` column instead of re-matching keywords.
+large table, ``materialise`` writes the enriched rows once and every report
+reads the stored columns instead of re-matching keywords or re-scoring.
+Unpartitioned by default: one directory per app would explode with millions
+of apps; pass ``partition_by`` for a low-cardinality key (e.g. a date bucket)
+and let Parquet min/max statistics prune ``app_id`` ranges.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import packing, sequence_files, token_counts
+from reviewlens.llm import packing, quality, sequence_files, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -22,6 +22,12 @@ def query(name: str):
     return deco
 
 
+@query("op1_mcd_quality")
+def q_quality(spark, d):
+    return quality.judge(C.documents(spark, d)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 @query("op2_sequence_files")
 def q_sequence_files(spark, d):
     files = sequence_files.write(C.documents(spark, d), C.tokenizer_path(), end_id=2)

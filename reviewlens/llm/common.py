@@ -197,3 +197,12 @@ def chunks(texts: list[str | None], most: int = 4_000_000):
 
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
+
+
+def sized_broadcast(df: DataFrame, most: int) -> DataFrame:
+    """``df`` (a stored table) marked for broadcast if it has at most ``most`` rows; else a plain shuffle join."""
+    return F.broadcast(df) if count_rows(df) <= most else df
+
+
+def as_long(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x).view(np.int64)

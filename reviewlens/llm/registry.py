@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import packing, quality, sequence_files, token_counts
+from reviewlens.llm import packing, phrases, quality, sequence_files, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,6 +40,12 @@ def q_packing(spark, d):
     return p.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op8_phrase_automata")
+def q_phrases(spark, d):
+    return phrases.remove_repeats(C.documents(spark, d)).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op10_token_counts")
 def q_token_counts(spark, d):
     return token_counts.count_tokens(C.documents(spark, d), C.tokenizer_path())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import fragment_join, packing, phrases, quality, sequence_files, token_counts
+from reviewlens.llm import fragment_join, packing, phrases, quality, sequence_files, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -34,6 +34,11 @@ def q_sequence_files(spark, d):
     return sequence_files.read(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+@query("op3_toxicity")
+def q_toxicity(spark, d):
+    return toxicity.toxicity(C.documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
+
+
 @query("op5_fragment_join")
 def q_fragment_join(spark, d):
     return fragment_join.similar_components(C.documents(spark, d)).select("doc_id", "n_shingles", "component_id")

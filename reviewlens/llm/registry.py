@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import fragment_join, packing, phrases, quality, sequence_files, token_counts, toxicity
+from reviewlens.llm import fragment_join, identifiers, packing, phrases, quality, sequence_files, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,6 +39,15 @@ def q_toxicity(spark, d):
     return toxicity.toxicity(C.documents(spark, d), spark.read.parquet(f"{d}/labels.parquet"))
 
 
+@query("op4_identifiers")
+def q_identifiers(spark, d):
+    found = identifiers.find_identifiers(C.documents(spark, d))
+    n = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    every = F.sort_array(F.array_union("base", "added"))
+    return found.select("doc_id", *[n(k) for k in identifiers.KINDS], F.sha2(identifiers.as_text(F.col("base")), 256).alias("base_sha256"),
+                        identifiers.as_text(every).alias("spans"))
+
+
 @query("op5_fragment_join")
 def q_fragment_join(spark, d):
     return fragment_join.similar_components(C.documents(spark, d)).select("doc_id", "n_shingles", "component_id")

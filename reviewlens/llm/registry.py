@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import fragment_join, identifiers, packing, phrases, quality, sequence_files, token_counts, toxicity
+from reviewlens.llm import fragment_join, identifiers, leaks, packing, phrases, quality, sequence_files, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -53,6 +53,11 @@ def q_fragment_join(spark, d):
     return fragment_join.similar_components(C.documents(spark, d)).select("doc_id", "n_shingles", "component_id")
 
 
+@query("op6_latent_leaks")
+def q_leaks(spark, d):
+    return leaks.find_leaks(C.documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet"))
+
+
 @query("op7_packing")
 def q_packing(spark, d):
     p = packing.pieces(C.documents(spark, d), C.tokenizer_path(), end_id=0)

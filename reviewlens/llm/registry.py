@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import fragment_join, identifiers, leaks, packing, phrases, quality, sequence_files, token_counts, toxicity
+from reviewlens.llm import fragment_join, identifiers, leaks, packing, phrases, quality, quotes, sequence_files, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -70,6 +70,11 @@ def q_phrases(spark, d):
         "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op9_quotation_links")
+def q_quotes(spark, d):
+    return quotes.link(spark.read.parquet(f"{d}/conversations.parquet"))
+
+
 @query("op10_token_counts")
 def q_token_counts(spark, d):
     return token_counts.count_tokens(C.documents(spark, d), C.tokenizer_path())

@@ -18,6 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from reviewlens.plans import registry  # noqa: E402
 from reviewlens.session import local_session  # noqa: E402
+from reviewlens.sources.fixture import SPREAD  # noqa: E402
 
 HEADLINE = [
     "tag_complaints",
@@ -44,6 +45,7 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     spark = local_session(f"local[{cpus}]", shuffle_partitions=max(2 * cpus, 8))
+    spark.conf.set(SPREAD, "true")  # the test tables are files of one split
     run(spark, registry.flagship, sf_dir)  # warm-up: JVM, codegen, file listing
     out = {}
     for name in HEADLINE:

@@ -178,7 +178,8 @@ asof_t AS (SELECT max(date) AS as_of FROM reviews)"""
 
 def _key_signals(min_change: float, min_recent: int) -> str:
     return w(CKW, CTAG, FLAG, THEME_AGG) + f"""
-SELECT * FROM (
+SELECT x.*, row_number() OVER (PARTITION BY app_id ORDER BY change DESC, avg_rating,
+                              (SELECT min(t.ord) FROM ctag t WHERE t.theme = x.complaint)) AS rank FROM (
   SELECT th.app_id, th.theme AS complaint, th.recent_mentions AS recent_count,
          round_even({_pct('th.recent_mentions', 'tot.n_recent')} - {_pct('th.mentions', 'tot.n')}, 1) AS change,
          round_even(th.recent_avg, 1) AS avg_rating,
@@ -315,7 +316,8 @@ FROM documents d JOIN dkw k ON contains(lower(coalesce(d.text, '')), k.kw)"""
 
 SQL["theme_summary"] = w(CKW, CTAG) + f"""
 , tot AS (SELECT app_id, count(*) AS n FROM reviews GROUP BY app_id)
-SELECT t.app_id, t.theme, count(*) AS mentions, {_pct('count(*)', 'max(tot.n)')} AS pct_of_reviews
+SELECT t.app_id, t.theme, count(*) AS mentions, {_pct('count(*)', 'max(tot.n)')} AS pct_of_reviews,
+       row_number() OVER (PARTITION BY t.app_id ORDER BY count(*) DESC, min(t.ord)) AS rank
 FROM ctag t JOIN tot USING (app_id) GROUP BY t.app_id, t.theme"""
 
 SQL["theme_samples"] = w(CKW, CTAG) + """
@@ -328,7 +330,7 @@ WHERE rank <= 3"""
 SQL["recent_slice"] = w(FLAG) + "\nSELECT app_id, review_id, rating FROM flag WHERE is_recent"
 
 SQL["rising_themes"] = w(CKW, CTAG, FLAG, THEME_AGG) + f"""
-SELECT * FROM (
+SELECT x.*, row_number() OVER (PARTITION BY app_id ORDER BY change DESC, (SELECT min(t.ord) FROM ctag t WHERE t.theme = x.theme)) AS rank FROM (
   SELECT th.app_id, th.theme, {_pct('th.mentions', 'tot.n')} AS overall_pct,
          {_pct('th.recent_mentions', 'tot.n_recent')} AS recent_pct,
          round_even({_pct('th.recent_mentions', 'tot.n_recent')} - {_pct('th.mentions', 'tot.n')}, 1) AS change
@@ -643,7 +645,6 @@ SELECT t.app_id, strftime(date_trunc('day', r.date), '%Y-%m-%d %H:%M:%S') AS win
        strftime(date_trunc('day', r.date) + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS window_end,
        t.theme, count(*) AS mentions
 FROM ctag t JOIN reviews r USING (app_id, review_id)
-WHERE date_trunc('day', r.date) + INTERVAL 1 DAY <= (SELECT max(date) FROM reviews) - INTERVAL 2 DAY
 GROUP BY ALL"""
 
 _PKW_CTE = PKW

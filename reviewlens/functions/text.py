@@ -73,11 +73,11 @@ def day_month_year(ts: Column | str) -> Column:
 
 
 def iso_date(ts: Column | str) -> Column:
-    return F.date_format(col_(ts), "yyyy-MM-dd")
+    return F.substring(col_(ts).cast("string"), 1, 10)  # no detour over the session's time zone
 
 
 def iso_ts(ts: Column | str) -> Column:
-    return F.date_format(col_(ts), "yyyy-MM-dd HH:mm:ss")
+    return F.substring(col_(ts).cast("string"), 1, 19)
 
 
 def join_or(arr: Column | str, empty: str) -> Column:
@@ -103,18 +103,21 @@ def ntz_literal(value) -> Column:
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 
 
+def _decode(c: Column) -> Column:
+    """Percent/'+' decoding that keeps a stray '%' as it is."""
+    return F.try_url_decode(F.regexp_replace(c, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
 def query_param(url: Column | str, key: str) -> Column:
     """First non-blank value of ``key`` in the URL query, percent/'+' decoded.
 
-    Splits the query on '&' and keeps pairs ``key=<non-empty>``, like
-    ``parse_qs``; a pair without a value is skipped so a later one wins.
+    Splits the query on '&' and keeps pairs with a non-empty value whose
+    decoded name is ``key``, like ``parse_qs``; a pair without a value is
+    skipped so a later one wins.
     """
-    u = strip_ws(url)
-    query = F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1)
-    prefix = key + "="
-    hits = F.filter(F.split(query, "&"), lambda p: p.startswith(prefix) & (F.length(p) > len(prefix)))
-    raw = F.try_element_at(hits, F.lit(1))
-    return F.try_url_decode(F.substring(raw, len(prefix) + 1, 1 << 20))
+    query = F.regexp_extract(strip_ws(url), r"(?s)^[^?#]*\?([^#]*)", 1)
+    pairs = F.filter(F.split(query, "&"), lambda p: p.rlike("(?s)^[^=]*=.") & (_decode(F.substring_index(p, "=", 1)) == key))
+    return _decode(F.regexp_extract(F.try_element_at(pairs, F.lit(1)), "(?s)^[^=]*=(.*)$", 1))
 
 
 def package_id(url: Column | str) -> Column:

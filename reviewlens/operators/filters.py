@@ -7,10 +7,11 @@ first codegen stage; none shuffles.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
@@ -74,11 +75,19 @@ def keyword_reviews(reviews: DataFrame, taxonomy: Mapping[str, Sequence[str]], o
     return explode_tags(reviews, tag_expr("review_text", taxonomy), out)
 
 
-def check_pattern(q: str) -> None:
+def matches(query: str, text_col: str = "review_text") -> Column:
+    """Case-insensitive (Unicode) regex test, never null.
+
+    The pattern is compiled by the engine that will run it, so a pattern that
+    would fail in a task fails here, with its message.
+    """
+    pattern = "(?iu)" + query
+    jvm = SparkSession.active().sparkContext._jvm
     try:
-        re.compile(q)
-    except re.error as exc:
-        raise ValueError(f"invalid search pattern {q!r}: {exc}") from exc
+        jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException) as exc:
+        raise ValueError(f"invalid search pattern {query!r}: {str(exc).splitlines()[0]}") from exc
+    return F.coalesce(F.col(text_col).rlike(pattern), F.lit(False))
 
 
 def search_reviews(df: DataFrame, query: str | None, literal: bool = False, text_col: str = "review_text") -> DataFrame:
@@ -88,5 +97,4 @@ def search_reviews(df: DataFrame, query: str | None, literal: bool = False, text
         return df
     if literal:
         return df.where(F.lower(F.col(text_col)).contains(q.lower()))
-    check_pattern(q)
-    return df.where(F.coalesce(F.col(text_col).rlike("(?i)" + q), F.lit(False)))
+    return df.where(matches(q, text_col))

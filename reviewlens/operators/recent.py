@@ -3,20 +3,27 @@
 ``row_number().over(partitionBy(app).orderBy(date desc))`` puts every row
 of an app into one task — fatal when one app holds a third of the data, and
 Spark plans no WindowGroupLimit for a per-group (non-literal) k.  Instead we
-find, per group, the k-th newest ``(date, review_id)`` by histogram
-refinement (a distributed radix select):
-
-1. count rows per (group, day); a running sum from the newest day finds the
-   boundary day and how many of its rows are still needed;
-2. while some boundary bucket is larger than ``exact_rows``, refine inside it
-   by hour, minute, second (each pass aggregates only boundary rows);
-3. rank only the final boundary bucket rows exactly.
-
-Rows newer than the threshold tuple, or equal to it, are in.  All histogram
-tables are tiny (groups × buckets).  The per-group tables are broadcast only
-after their row count (collected with the per-level check) is under
-``BROADCAST_GROUPS``; above it the join stays a shuffle join, where AQE
-splits a hot app's partition.
+find, per group, the k-th newest row by histogram refinement (a distributed
+radix select) in the total order date descending, review_id ascending (null as
+the empty string), then a hash over all other columns:
+
+1. count rows per (group, day); the running sum from the newest day finds the
+   boundary day and how many of its rows are still needed (the same histogram
+   gives the group's size);
+2. while some boundary bucket is larger than ``exact_rows``, refine inside it:
+   hour, minute, second, microsecond, growing prefixes of the id, the id, then
+   the leading bits of the hash;
+3. rank only the final boundary bucket rows; if it still is larger, its rows
+   are equal in every column and any of them will do.
+
+Rows before the threshold are in.  Rows equal to it are counted: as many as are
+needed stay, so k == min(need(n), n) always holds, with repeated rows as well.
+Group keys are compared null-safely.  All histogram tables are tiny (groups x
+buckets).  The per-group tables are broadcast only after their row count
+(collected with the per-level check) is under ``BROADCAST_GROUPS``; above it
+the join stays a shuffle join, where AQE splits a hot app's partition.
+
+Rows without a date are never among the newest and are not counted.
 """
 
 from __future__ import annotations
@@ -30,6 +37,7 @@ from reviewlens import taxonomy as tx
 from reviewlens.session import write_table
 
 LEVELS = ("day", "hour", "minute", "second")
+PREFIXES = (2, 4, 8, 16, 32)
 EXACT_ROWS = 2_000_000
 # per-group threshold rows are ~60 bytes: 1M groups ~ 60 MB, safe to broadcast
 BROADCAST_GROUPS = 1_000_000
@@ -62,6 +70,24 @@ def _small(df: DataFrame, n_rows: int | None, limit: int = BROADCAST_GROUPS) ->
     return F.broadcast(df) if n_rows is not None and n_rows <= limit else df
 
 
+def _safe(c: str) -> Column:
+    """A group key as a string that is never null ("" is null, "=x" is x)."""
+    return F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+
+
+def _tie(df: DataFrame, keys: Sequence[str]) -> Column:
+    rest = sorted(set(df.columns) - {*keys, "date", "review_id"})
+    return F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in rest]) if rest else F.lit(0).cast("long")
+
+
+def _levels() -> list[tuple[Column, bool]]:
+    """(bucket, descending) from coarse to exact, in the total order."""
+    rid, tie = F.col("_rid"), F.col("_tie")
+    return ([(F.date_trunc(level, "date"), True) for level in LEVELS] + [(F.col("date"), True)]
+            + [(F.left(rid, F.lit(n)), False) for n in PREFIXES] + [(rid, False)]
+            + [(F.shiftright(tie, n), False) for n in (48, 32, 16)] + [(tie, False)])
+
+
 def newest_threshold(
     df: DataFrame,
     keys: Sequence[str],
@@ -69,60 +95,72 @@ def newest_threshold(
     exact_rows: int = EXACT_ROWS,
     stats: dict | None = None,
 ) -> DataFrame:
-    """Per key: (t_date, t_rid) of the k-th newest row, k = min(need(n), n).
+    """Per key (stored): t_date, t_rid, t_tie of the k-th newest row, k = min(need(n), n),
+    t_keep and t_equal: how many of the rows equal to it are in, and how many there are.
 
-    ``stats`` (optional dict) receives ``groups``: the number of groups,
-    known from the per-level check, used to size-check later broadcasts.
+    ``keys`` hold no nulls.  ``stats`` (optional dict) receives ``groups``, the
+    number of groups (to size-check later broadcasts), and ``partial``, the
+    number of groups that keep only some of the rows equal to their threshold.
     """
     keys = list(keys)
-    base = df.select(*keys, "date", F.coalesce("review_id", F.lit("")).alias("_rid"))
-    counts = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    state = counts.select(*keys, F.least(need(F.col("_n")), F.col("_n")).alias("_need")).where("_need > 0")
-    cand = base
-    for level in LEVELS:
-        bucket = F.date_trunc(level, "date")
+    cand = df.where(F.col("date").isNotNull()).select(
+        *keys, "date", F.coalesce("review_id", F.lit("")).alias("_rid"), _tie(df, keys).alias("_tie"))
+    state, biggest, groups = None, None, 0
+    for bucket, newest_first in _levels():
         hist = cand.groupBy(*keys, bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_c"))
-        w = Window.partitionBy(*keys).orderBy(F.col("_b").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        order = F.col("_b").desc() if newest_first else F.col("_b").asc()
+        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         hist = hist.withColumn("_cum", F.sum("_c").over(w))
-        bnd = (
-            hist.join(state, keys)
-            .where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_c") < F.col("_need")))
-            .select(*keys, "_b", "_c", (F.col("_need") - (F.col("_cum") - F.col("_c"))).alias("_need"))
-        )
+        if state is None:
+            n = F.sum("_c").over(Window.partitionBy(*keys))
+            hist = hist.withColumn("_n", n).withColumn("_need", F.least(need(F.col("_n")), F.col("_n")))
+        else:
+            hist = hist.join(state, keys)
         # the boundary table is tiny (one row per group): store it once so the
         # size check and every later stage read it instead of re-aggregating
-        bnd = write_table(bnd)
+        bnd = write_table(
+            hist.where((F.col("_need") > 0) & (F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_c") < F.col("_need")))
+            .select(*keys, "_b", "_c", (F.col("_need") - (F.col("_cum") - F.col("_c"))).alias("_need")))
         biggest, groups = bnd.agg(F.max("_c"), F.count(F.lit(1))).first()
-        cand = (
-            cand.withColumn("_b", F.date_trunc(level, "date"))
-            .join(_small(bnd.select(*keys, "_b"), groups), [*keys, "_b"])
-            .drop("_b")
-        )
+        cand = cand.withColumn("_b", bucket).join(_small(bnd.select(*keys, "_b"), groups), [*keys, "_b"]).drop("_b")
         state = bnd.select(*keys, "_need")
-        if stats is not None:
-            stats["groups"] = groups
         if biggest is None or biggest <= exact_rows:
             break
-    w = Window.partitionBy(*keys).orderBy(F.col("date").desc(), F.col("_rid"))
-    ranked = cand.withColumn("_rn", F.row_number().over(w)).join(state, keys).where(F.col("_rn") == F.col("_need"))
-    return ranked.select(*keys, F.col("date").alias("t_date"), F.col("_rid").alias("t_rid"))
+    at = ["date", "_rid", "_tie"]
+    equal = cand.groupBy(*keys, *at).agg(F.count(F.lit(1)).alias("_e"))
+    w = Window.partitionBy(*keys).orderBy(F.col("date").desc(), "_rid", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    edge = equal.withColumn("_cum", F.sum("_e").over(w)).join(state, keys)
+    edge = edge.where((F.col("_cum") >= F.col("_need")) & (F.col("_cum") - F.col("_e") < F.col("_need")))
+    out = write_table(edge.select(*keys, F.col("date").alias("t_date"), F.col("_rid").alias("t_rid"), F.col("_tie").alias("t_tie"),
+                                  (F.col("_need") - F.col("_cum") + F.col("_e")).alias("t_keep"), F.col("_e").alias("t_equal")))
+    if stats is not None:
+        stats["groups"] = groups
+        stats["partial"] = out.where("t_keep < t_equal").count()
+    return out
 
 
 def flag_newest(df: DataFrame, by: Sequence[str], need: Callable[[Column], Column], out: str = "is_recent",
                 exact_rows: int = EXACT_ROWS) -> DataFrame:
     """Add boolean ``out``: row is among the newest need(n) rows of its group."""
-    d, keys = keyed(df, by)
+    safe = [f"_k{i}" for i in range(len(by))] or [ALL]
+    d = df.withColumns({k: _safe(c) for k, c in zip(safe, by)}) if by else df.withColumn(ALL, F.lit("="))
     stats: dict = {}
-    th = newest_threshold(d, keys, need, exact_rows, stats)
-    rid = F.coalesce(F.col("review_id"), F.lit(""))
-    flagged = d.join(_small(th, stats.get("groups")), keys, "left").withColumn(
-        out,
-        F.coalesce(
-            (F.col("date") > F.col("t_date")) | ((F.col("date") == F.col("t_date")) & (rid <= F.col("t_rid"))),
-            F.lit(False),
-        ),
-    ).drop("t_date", "t_rid")
-    return unkeyed(flagged, by)
+    th = newest_threshold(d.drop(*by), safe, need, exact_rows, stats)
+    rid, tie = F.coalesce(F.col("review_id"), F.lit("")), _tie(d.drop(*by), safe)
+    joined = d.withColumn("_t", tie).join(_small(th, stats.get("groups")), safe, "left")
+    same = (F.col("date") == F.col("t_date")) & (rid == F.col("t_rid"))
+    before = ((F.col("date") > F.col("t_date")) | ((F.col("date") == F.col("t_date")) & (rid < F.col("t_rid")))
+              | (same & (F.col("_t") < F.col("t_tie"))))
+    edge = same & (F.col("_t") == F.col("t_tie"))
+    if not stats.get("partial"):
+        flagged = joined.withColumn(out, F.coalesce(before | edge, F.lit(False)))
+    else:
+        # some group keeps only a part of rows that are equal in every column: number just those
+        some = F.coalesce(edge & (F.col("t_keep") < F.col("t_equal")), F.lit(False))
+        w = Window.partitionBy(*safe).orderBy(F.lit(1))
+        flagged = joined.where(~some).withColumn(out, F.coalesce(before | edge, F.lit(False))).unionByName(
+            joined.where(some).withColumn("_i", F.row_number().over(w)).withColumn(out, F.col("_i") <= F.col("t_keep")).drop("_i"))
+    return flagged.select(*df.columns, out)
 
 
 def flag_recent(df: DataFrame, by: Sequence[str] = ("app_id",), pct: float = tx.RECENT_PCT,
@@ -136,5 +174,5 @@ def recent_slice(df: DataFrame, by: Sequence[str] = ("app_id",), pct: float = tx
 
 
 def newest_n(df: DataFrame, n: int, by: Sequence[str] = ("app_id",), exact_rows: int = EXACT_ROWS) -> DataFrame:
-    """Exactly the newest n rows per group (all when fewer)."""
+    """Exactly the newest n rows per group (all when fewer), ties and nulls included."""
     return flag_newest(df, by, cap_need(n), "_in", exact_rows).where("_in").drop("_in")

@@ -66,19 +66,6 @@ TOKEN_SPLIT = "[^a-z']+"
 # ─────────────────────────── END FIXED VALUES ───────────────────────────
 
 
-def _lit_map(d: dict) -> Column:
-    """Literal map built from one SQL expression string (one call)."""
-    from reviewlens.operators.tagging import sql_str
-
-    return F.expr("map(" + ", ".join(f"{sql_str(k)}, CAST({v!r} AS DOUBLE)" for k, v in d.items()) + ")")
-
-
-def _lit_array(words) -> Column:
-    from reviewlens.operators.tagging import sql_str
-
-    return F.expr("array(" + ", ".join(sql_str(w) for w in words) + ")")
-
-
 def tokens(text: Column | str) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(col_(text), F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
 

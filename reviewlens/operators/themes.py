@@ -18,9 +18,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
-from reviewlens.functions.text import days_between, ntz_literal, pct, truncate
-from reviewlens.operators.recent import keyed, unkeyed
+from reviewlens.functions.text import days_between, ntz_literal, pct
+from reviewlens.operators.recent import ALL, keyed, unkeyed
 from reviewlens.operators.tagging import flag_expr, ordinal_expr, tag_expr
+from reviewlens.session import write_table
 
 LOW = (1, 2)
 HIGH = (4, 5)
@@ -30,13 +31,8 @@ def _explode_with_total(tags: Column) -> Column:
     return F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), tags))
 
 
-def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "complaint_categories") -> DataFrame:
-    """Per (keys, theme): mentions, recent/low/high counts, rating sums and the
-    oldest recent date, with the group's totals on every row.
-
-    ``df`` may carry ``is_recent`` (from ``recent.flag_recent``); without it
-    the recent measures are zero.
-    """
+def _fact_rows(df: DataFrame, by: Sequence[str], tag_col: str) -> DataFrame:
+    """Per (keys, theme) measures, the null theme carrying the group's totals."""
     d, keys = keyed(df, by)
     recent = F.col("is_recent") if "is_recent" in df.columns else F.lit(False)
     rows = d.select(
@@ -46,7 +42,7 @@ def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "
         recent.alias("_r"),
         _explode_with_total(F.col(tag_col)).alias("theme"),
     )
-    agg = rows.groupBy(*keys, "theme").agg(
+    return rows.groupBy(*keys, "theme").agg(
         F.count(F.lit(1)).alias("mentions"),
         F.count_if("_r").alias("recent_mentions"),
         F.count_if(F.col("rating").isin(*LOW)).alias("low_count"),
@@ -56,6 +52,10 @@ def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "
         F.min(F.when(F.col("_r"), F.col("date"))).alias("recent_oldest"),
         F.max("date").alias("max_date"),
     )
+
+
+def _with_totals(agg: DataFrame, by: Sequence[str]) -> DataFrame:
+    keys = list(by) or [ALL]
     w = Window.partitionBy(*keys)
     total = lambda c: F.max(F.when(F.col("theme").isNull(), F.col(c))).over(w)
     out = agg.select(
@@ -65,45 +65,72 @@ def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "
         total("recent_mentions").alias("n_recent"),
         total("low_count").alias("n_low"),
         total("high_count").alias("n_high"),
-        total("max_date").alias("group_max_date"),
     )
     return unkeyed(out.where(F.col("theme").isNotNull()), by)
 
 
+def theme_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "complaint_categories") -> DataFrame:
+    """Per (keys, theme): mentions, recent/low/high counts, rating sums and the
+    oldest recent date, with the group's totals on every row.
+
+    ``df`` may carry ``is_recent`` (from ``recent.flag_recent``); without it
+    the recent measures are zero.
+    """
+    return _with_totals(_fact_rows(df, by, tag_col), by)
+
+
+def stored_facts(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "complaint_categories"):
+    """(facts, newest review date): one pass over the reviews; only the facts,
+    groups x themes rows, are stored, and several reports may share them."""
+    agg = write_table(_fact_rows(df, by, tag_col))
+    return _with_totals(agg, by), agg.where(F.col("theme").isNull()).agg(F.max("max_date")).first()[0]
+
+
+def _ranked(df: DataFrame, by: Sequence[str], *order: Column) -> DataFrame:
+    """``rank`` inside each group of a per-theme table (a few dozen rows per group)."""
+    d, keys = keyed(df, by)
+    return unkeyed(d.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")), by)
+
+
 # ── F1 ──────────────────────────────────────────────────────────────────────
 def theme_summary(df: DataFrame, by: Sequence[str] = ("app_id",), tag_col: str = "complaint_categories",
                   facts: DataFrame | None = None) -> DataFrame:
-    """(keys, theme, mentions, pct_of_reviews); denominator = all rows."""
+    """(keys, theme, mentions, pct_of_reviews, rank by mentions); denominator = all rows."""
     f = facts if facts is not None else theme_facts(df, by, tag_col)
-    return f.select(*by, "theme", "mentions", pct("mentions", "n").alias("pct_of_reviews"))
+    return _ranked(f, by, F.col("mentions").desc(), ordinal_expr("theme", tx.COMPLAINT_GROUPS)).select(
+        *by, "theme", "mentions", pct("mentions", "n").alias("pct_of_reviews"), "rank")
 
 
 # ── F2 ──────────────────────────────────────────────────────────────────────
 def rising_themes(flagged: DataFrame, by: Sequence[str] = ("app_id",), facts: DataFrame | None = None) -> DataFrame:
-    """Themes whose recent share (rounded) beats the overall share (rounded)."""
+    """Themes whose recent share (rounded) beats the overall share (rounded), ranked by the change."""
     f = facts if facts is not None else theme_facts(flagged, by)
     overall = pct("mentions", "n")
     recent = F.when(F.col("recent_mentions") > 0, pct("recent_mentions", "n_recent")).otherwise(F.lit(0.0))
-    return (
+    up = (
         f.select(*by, "theme", overall.alias("overall_pct"), recent.alias("recent_pct"))
         .withColumn("change", F.bround(F.col("recent_pct") - F.col("overall_pct"), 1))
         .where(F.col("change") > 0)
     )
+    return _ranked(up, by, F.col("change").desc(), ordinal_expr("theme", tx.COMPLAINT_GROUPS))
 
 
 # ── F3 ──────────────────────────────────────────────────────────────────────
 def key_signals(flagged: DataFrame, by: Sequence[str] = ("app_id",), min_change_pp: float = 3.0,
                 min_recent_mentions: int = 5, critical_rating: float = tx.CRITICAL_RATING,
                 facts: DataFrame | None = None, as_of=None) -> DataFrame:
-    """Spiking themes: change >= min_change_pp and recent mentions >= minimum.
+    """Spiking themes: change >= min_change_pp and recent mentions >= minimum,
+    ranked by change, then by the worse rating.
 
     ``days_ago`` counts whole days from the oldest recent mention to ``as_of``
-    (default: newest review date in the input).
+    (default: newest review date in the input).  ``facts`` and ``as_of`` may
+    come from one ``stored_facts`` call that other reports share.
     """
-    f = facts if facts is not None else theme_facts(flagged, by)
-    if as_of is None:
-        # one scalar over the date column only (pruned scan), not a global window
-        as_of = flagged.agg(F.max("date")).first()[0]
+    if facts is None:
+        f, newest = stored_facts(flagged, by)
+        as_of = newest if as_of is None else as_of
+    else:
+        f = facts
     f = f.withColumn("as_of", ntz_literal(as_of) if as_of is not None else F.lit(None).cast("timestamp_ntz"))
     change = F.bround(pct("recent_mentions", "n_recent") - pct("mentions", "n"), 1)
     avg = F.bround(F.col("recent_rating_sum") / F.col("recent_mentions"), 1)
@@ -121,7 +148,7 @@ def key_signals(flagged: DataFrame, by: Sequence[str] = ("app_id",), min_change_
         .where((F.col("change") >= min_change_pp) & (F.col("recent_count") >= min_recent_mentions))
         .withColumn("is_critical", F.col("avg_rating") <= critical_rating)
     )
-    return out
+    return _ranked(out, by, F.col("change").desc(), F.col("avg_rating"), ordinal_expr("complaint", tx.COMPLAINT_GROUPS))
 
 
 # ── F4 ──────────────────────────────────────────────────────────────────────
@@ -188,13 +215,3 @@ def mixed_areas(enriched: DataFrame, by: Sequence[str] = ("app_id",), min_each:
         (F.col("low_count") + F.col("high_count")).desc(), ordinal_expr("area", tx.COMPLAINT_GROUPS)
     )
     return unkeyed(d.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top_n), by)
-
-
-def avg_rating_by_theme(df: DataFrame, by: Sequence[str] = ("app_id",), facts: DataFrame | None = None) -> DataFrame:
-    """F8: mean rating of reviews having each theme (unrounded)."""
-    f = facts if facts is not None else theme_facts(df, by)
-    return f.select(*by, "theme", (F.col("rating_sum") / F.col("mentions")).alias("avg_rating"))
-
-
-def theme_cut(c: str, n: int) -> Column:
-    return truncate(F.col(c), n)

@@ -14,9 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlens import taxonomy as tx
 from reviewlens.operators.recent import flag_recent
 from reviewlens.operators.sentiment import score_sentiment
-from reviewlens.operators.tagging import tag_complaints
+from reviewlens.operators.tagging import flag_expr, tag_complaints, tag_expr
 from reviewlens.session import write_table
 from reviewlens.sources import fixture
 from reviewlens.sources.ingest import normalise_reviews
@@ -26,6 +27,16 @@ def enrich(reviews: DataFrame, sentiment: bool = True) -> DataFrame:
     return tag_complaints(score_sentiment(reviews) if sentiment else reviews)
 
 
+def enrich_all(reviews: DataFrame) -> DataFrame:
+    """Every per-review column that a report reads: sentiment, complaint, praise
+    and feature tags and the request flag.  ``materialise`` stores it once."""
+    return enrich(reviews).withColumns({
+        "praise_categories": tag_expr("review_text", tx.PRAISE_GROUPS),
+        "feature_categories": tag_expr("review_text", tx.FEATURE_THEMES),
+        "is_request": flag_expr("review_text", tx.REQUEST_SIGNALS),
+    })
+
+
 def materialise(enriched: DataFrame, path: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
     """Write the table once into the shared checkpoint folder (or ``path``)."""
     return write_table(enriched, path, partition_by)
@@ -42,19 +53,15 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews + sentiment + tags, written once.
-
-    The lexicon scorer is the costliest per-row step; stored, it runs once
-    however many branches of a report read the label (filters on a computed
-    label would otherwise be pushed below the projection and re-evaluate it).
-    """
-    return materialise(enrich(reviews(spark, sf_dir), sentiment=True))
+    """Reviews + sentiment + tags (per-row projections, not stored)."""
+    return enrich(reviews(spark, sf_dir), sentiment=True)
 
 
 def flagged(spark: SparkSession, sf_dir: str, by: Sequence[str] = ("app_id",)) -> DataFrame:
-    """Enriched reviews with the per-group ``is_recent`` flag, written once.
+    """Enriched reviews with the per-group ``is_recent`` flag.
 
-    Reports read the flagged table several times (facts, samples, rising);
-    materialising it keeps each plan small and each branch a plain scan.
+    Only the thresholds, one row per group, are computed ahead; the reviews
+    stay a lazy projection.  A caller with many reports stores the table once
+    with ``materialise`` and passes it to all of them.
     """
-    return materialise(flag_recent(enrich(reviews(spark, sf_dir), sentiment=False), by))
+    return flag_recent(enrich(reviews(spark, sf_dir), sentiment=False), by)

@@ -38,8 +38,8 @@ def _wide(samples: DataFrame, keys: Sequence[str], label: str, value: str, n: in
 def signal_cards(flagged: DataFrame, by: Sequence[str] = ("app_id",), min_change_pp: float = STRICT_CHANGE,
                  min_recent_mentions: int = STRICT_MENTIONS) -> DataFrame:
     """Critical / emerging signal cards on the full (unfiltered) set."""
-    facts = TH.theme_facts(flagged, by)
-    ks = TH.key_signals(flagged, by, min_change_pp, min_recent_mentions, facts=facts)
+    facts, newest = TH.stored_facts(flagged, by)
+    ks = TH.key_signals(flagged, by, min_change_pp, min_recent_mentions, facts=facts, as_of=newest)
     snips = TK.signal_snippets(flagged, by, k=2)
     d_ks, keys = keyed(ks, by)
     d_sn, _ = keyed(snips, by)
@@ -81,7 +81,7 @@ def theme_library(flagged: DataFrame, by: Sequence[str] = ("app_id",), primary:
     filtered = FL.apply_chips(flagged, primary, chips)
     facts = TH.theme_facts(filtered.drop("is_recent"), by)
     rising = TH.rising_themes(flagged, by).select(*by, "theme").withColumn("is_rising", F.lit(True))
-    samples = TK.theme_samples(filtered, by, k=3).where(F.col("rank") <= 2).withColumn("s", truncate("review_text", 110))
+    samples = TK.theme_samples(filtered, by, k=2).withColumn("s", truncate("review_text", 110))
     d_f, keys = keyed(facts, by)
     d_r, _ = keyed(rising, by)
     d_s, _ = keyed(samples, by)

@@ -104,7 +104,7 @@ def scope_counts(enriched: DataFrame, by: Sequence[str] = ("app_id",), primary:
         raise ValueError(primary)
     groups = F.array(*[F.lit(g) for g in FL.chip_groups(chips)])
     filt = in_primary & (F.arrays_overlap("complaint_categories", groups) if chips else F.lit(True))
-    searched = filt & F.coalesce(F.col("review_text").rlike("(?i)" + query), F.lit(False))
+    searched = filt & FL.matches(query)
     out = d.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(filt).alias("filtered"),

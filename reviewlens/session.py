@@ -7,6 +7,8 @@ setting is missing (local tests).
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -35,13 +37,23 @@ def local_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temp folder only when none is configured."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder of the session, set on the context once.
+
+    Only a local master may go without the setting (tests); it gets a temp
+    folder that is removed when Python ends.  Anywhere else executors could not
+    share such a folder, so a missing setting is an error.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="reviewlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return spark.sparkContext.getCheckpointDir() or path
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
 
 
 def write_table(df, path: str | None = None, partition_by=()):

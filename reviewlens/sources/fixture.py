@@ -52,23 +52,18 @@ ROW_KEYS = {"events": ["event_id"], "documents": ["doc_id"], "pages": ["page_id"
             "labels": ["doc_id"], "conversations": ["conv_id", "turn"]}
 
 
-def spread(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Hash-redistribute a scan that yields fewer splits than the cluster has
-    cores (a small file is one split, so all per-row work would run in one
-    task).  On large inputs the scan already has many more splits than
-    cores and this is a no-op, so no shuffle is added at scale.  Hashing on
-    the unique row key is deterministic (safe under task retry) and even.
-    """
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
-        return df
-    return df.repartition(parallelism, *keys)
+#: Session setting that spreads small one-split test files over the cores (off unless a session sets it).
+SPREAD = "spark.reviewlens.spreadScans"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table.  With ``SPREAD`` set to true (local benchmarks on files of
+    one split), its rows are dealt over the cores by their unique key."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     keys = ROW_KEYS.get(name)
-    return spread(df, keys) if keys else df
+    if keys and spark.conf.get(SPREAD, "false") == "true":
+        return df.repartition(spark.sparkContext.defaultParallelism, *keys)
+    return df
 
 
 def _lookup(values: list, idx: Column) -> Column:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,56 +37,80 @@ RENAME = {
     "thumbsUpCount": "thumbs_up",
     "reviewCreatedVersion": "app_version",
 }
+#: app_id of a landing table that has no such column: the reviews of one app.
+NO_APP = ""
 COLUMNS = ["app_id", "review_id", "date", "rating", "review_text", "thumbs_up", "app_version"]
 
 
-def read_raw(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
-    """Batch read of landed raw reviews with an explicit schema."""
-    return spark.read.schema(RAW_SCHEMA).format(fmt).load(path)
+#: Column that keeps the text of a record no parser could read.
+CORRUPT = "_corrupt_record"
+_ZONE = r"(?i)[0-9](z|[ ]?(utc|gmt|ut)([+-][0-9:]+)?|[+-][0-9]{1,2}(:?[0-9]{2}){0,2}|[ ]?[a-z]+/[a-z_/]+)$"
 
 
-def _utc_naive(c) -> F.Column:
-    """UTC-naive timestamp from a string (offset honoured) or a timestamp."""
-    return F.try_to_timestamp(c.cast("string")).cast("timestamp_ntz")
+def read_raw(spark: SparkSession, path: str, fmt: str = "json") -> DataFrame:
+    """Batch read of landed raw reviews with an explicit schema; malformed JSON
+    or CSV records stay, as text, in ``_corrupt_record``."""
+    if fmt not in ("json", "csv"):
+        return spark.read.schema(RAW_SCHEMA).format(fmt).load(path)
+    schema = T.StructType([*RAW_SCHEMA.fields, T.StructField(CORRUPT, T.StringType())])
+    return spark.read.schema(schema).option("columnNameOfCorruptRecord", CORRUPT).format(fmt).load(path)
+
+
+def _utc_naive(c: Column, dtype: str) -> Column:
+    """UTC-naive timestamp of an instant or a string, whatever the session's
+    time zone: an offset is honoured, a naive time counts as UTC."""
+    if dtype == "timestamp":
+        instant = c
+    else:
+        s = F.trim(c.cast("string"))
+        dated = F.when(s.rlike(":"), s).otherwise(F.concat(s, F.lit("T00:00:00")))
+        instant = F.try_to_timestamp(F.when(dated.rlike(_ZONE) & s.rlike(":"), dated).otherwise(F.concat(dated, F.lit("Z"))))
+    seconds = (F.unix_micros(instant).cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
 def _typed(raw: DataFrame) -> DataFrame:
-    present = {c: c for c in raw.columns}
-    cols = [F.col("app_id")] if "app_id" in present else [F.lit(None).cast("string").alias("app_id")]
+    """The normalised columns with safe casts: what does not fit becomes null, nothing raises."""
+    kinds = dict(raw.dtypes)
+    cols = [F.col("app_id").cast("string") if "app_id" in kinds else F.lit(NO_APP).alias("app_id")]
+    want = {"date": "timestamp_ntz", "rating": "int", "review_text": "string", "thumbs_up": "int"}
     for src, dst in RENAME.items():
-        if src not in present:
-            cols.append(F.lit(None).alias(dst))
-            continue
-        c = F.col(src)
-        dtype = dict(raw.dtypes)[src]
-        if dst == "date":
-            c = c if dtype == "timestamp_ntz" else _utc_naive(c)
+        kind = kinds.get(src)
+        if kind is None:
+            c = F.lit(None).cast(want.get(dst, "string"))
+        elif dst == "date":
+            c = F.col(src) if kind == "timestamp_ntz" else _utc_naive(F.col(src), kind)
         elif dst == "rating":
-            c = c if dtype == "int" else c.cast("string").try_cast("double").cast("int")
+            number = F.col(src).cast("string").try_cast("double")
+            c = F.col(src) if kind == "int" else F.when(~F.isnan(number), number.try_cast("int"))
         elif dst == "thumbs_up":
-            c = c.cast("int") if dtype != "int" else c
-        elif dst in ("review_id", "app_version"):
-            c = c.cast("string")
+            c = F.col(src) if kind == "int" else F.col(src).try_cast("int")
+        else:
+            c = F.col(src).cast("string")
         cols.append(c.alias(dst))
-    typed = raw.select(*cols)
-    return (
-        typed.withColumn("date", F.col("date").cast("timestamp_ntz"))
-        .withColumn("rating", F.col("rating").cast("int"))
-        .withColumn("thumbs_up", F.col("thumbs_up").cast("int"))
-        .withColumn("review_id", F.col("review_id").cast("string"))
-        .withColumn("app_version", F.col("app_version").cast("string"))
-    )
+    if CORRUPT in kinds:
+        cols.append(F.col(CORRUPT))
+    return raw.select(*cols)
 
 
 def quarantine_reviews(raw: DataFrame) -> DataFrame:
-    """Rows the reference would crash on: unusable rating or timestamp."""
+    """Rows the reference would crash on (or that name no app), with the reason."""
     df = _typed(raw)
+    corrupt = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
     reason = (
-        F.when(F.col("rating").isNull(), "rating_missing_or_not_numeric")
+        F.when(corrupt, "record_malformed")
+        .when(F.col("app_id").isNull(), "app_id_missing")
+        .when(F.col("rating").isNull(), "rating_missing_or_not_numeric")
         .when(~F.col("rating").between(1, 5), "rating_out_of_range")
         .when(F.col("date").isNull(), "timestamp_unparsable")
     )
-    return df.where(~_valid_cols()).withColumn("reason", reason)
+    return df.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def usable(raw: DataFrame) -> DataFrame:
+    """Typed rows that are not for the quarantine: each row lands on exactly one side."""
+    df = _typed(raw).where(_valid_cols())
+    return df.where(F.col(CORRUPT).isNull()).drop(CORRUPT) if CORRUPT in df.columns else df
 
 
 def normalise_reviews(
@@ -101,7 +125,7 @@ def normalise_reviews(
     Scope order follows the source semantics: the recency cutoff and the
     newest-``target`` cap are applied *before* blank texts are dropped.
     """
-    df = _typed(raw).where(_valid_cols())
+    df = usable(raw)
     if days_back is not None:
         df = scope_recent(df, days_back, as_of)
     if target is not None:
@@ -110,9 +134,9 @@ def normalise_reviews(
     return df.where(F.col("review_text") != "").select(*COLUMNS)
 
 
-def _valid_cols() -> F.Column:
+def _valid_cols() -> Column:
     """True for usable rows; never null, so every row lands on exactly one side."""
-    return F.coalesce(F.col("date").isNotNull() & F.col("rating").between(1, 5), F.lit(False))
+    return F.coalesce(F.col("app_id").isNotNull() & F.col("date").isNotNull() & F.col("rating").between(1, 5), F.lit(False))
 
 
 def scope_recent(df: DataFrame, days_back: int, as_of: datetime | str | None = None) -> DataFrame:

@@ -1,16 +1,21 @@
 """Structured Streaming: incremental theme counts over landed review files.
 
 ``readStream`` of raw landing files -> typing/strip (the batch normaliser's
-row-wise steps) -> event time as TIMESTAMP -> ``withWatermark`` ->
+row-wise steps) -> event time -> ``withWatermark`` ->
 ``dropDuplicatesWithinWatermark(app_id, review_id)`` (the source never
-de-duplicates; re-landed files should not double count) -> complaint tags ->
-tumbling windowed counts per (app, window, theme), append mode.  State is
-bounded by the watermark: a window is emitted and dropped from state once
-the watermark passes its end.
+de-duplicates; re-landed files should not double count).  The watermark bounds
+the de-duplication state only: counts are not held back until a window closes.
+``foreachBatch`` adds up each micro-batch's de-duplicated rows per (app,
+window, theme) and writes them under the batch's number, replacing that
+partition when a batch is replayed.  Readers sum the partial counts, so windows
+that are still open are complete up to the last batch.
+
+Windows are calendar units of the UTC-naive review date, so no session setting
+matters.  On a cluster, choose the RocksDB state store in the session's
+configuration; nothing here sets it.
 
 The recent-20% slice is not incrementally maintainable (it depends on the
-final row count), so signals are recomputed per micro-batch from the
-windowed facts with ``foreachBatch`` (``refresh_facts``).
+final row count); signals are recomputed from the facts.
 """
 
 from __future__ import annotations
@@ -20,19 +25,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import strip_ws
+from reviewlens.functions.text import iso_ts, strip_ws
 from reviewlens.operators.tagging import tag_complaints
 from reviewlens.session import checkpoint_dir
 from reviewlens.sources import fixture as FX
-from reviewlens.sources.ingest import _typed, _valid_cols
+from reviewlens.sources.ingest import usable
 
-WINDOW = "1 day"
+WINDOW = "day"
 WATERMARK = "2 days"
 
 
 def stream_reviews(raw_stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
     """Row-wise normalisation + event-time watermark + in-watermark dedup."""
-    df = _typed(raw_stream).where(_valid_cols())
+    df = usable(raw_stream)
     df = df.withColumn("review_text", strip_ws(F.coalesce(F.col("review_text"), F.lit("")))).where(
         F.col("review_text") != "")
     df = df.withColumn("event_time", F.col("date").cast("timestamp"))
@@ -40,30 +45,35 @@ def stream_reviews(raw_stream: DataFrame, watermark: str = WATERMARK) -> DataFra
 
 
 def windowed_theme_counts(reviews: DataFrame, window: str = WINDOW) -> DataFrame:
-    tagged = tag_complaints(reviews)
-    rows = tagged.select("app_id", "event_time", F.explode_outer("complaint_categories").alias("theme")).where(
-        F.col("theme").isNotNull())
-    return rows.groupBy("app_id", F.window("event_time", window).alias("w"), "theme").agg(
-        F.count(F.lit(1)).alias("mentions"))
+    """(app_id, window_start, window_end, theme, mentions) of a batch of reviews."""
+    rows = tag_complaints(reviews).select(
+        "app_id", F.date_trunc(window, "date").cast("timestamp_ntz").alias("w"), F.explode_outer("complaint_categories").alias("theme"))
+    counts = rows.where(F.col("theme").isNotNull()).groupBy("app_id", "w", "theme").agg(F.count(F.lit(1)).alias("mentions"))
+    end = F.col("w") + F.expr(f"INTERVAL 1 {window}")
+    return counts.select("app_id", iso_ts("w").alias("window_start"), iso_ts(end).alias("window_end"), "theme", "mentions")
+
+
+def write_facts(out: str, window: str = WINDOW):
+    """foreachBatch sink: the partial counts of a micro-batch under its number.
+    A replayed batch replaces its own partition, so nothing is counted twice."""
+    def _write(batch: DataFrame, batch_id: int) -> None:
+        (windowed_theme_counts(batch, window).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+    return _write
 
 
-def flat(counts: DataFrame) -> DataFrame:
-    return counts.select(
-        "app_id",
-        F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
-        F.date_format("w.end", "yyyy-MM-dd HH:mm:ss").alias("window_end"),
-        "theme",
-        "mentions",
-    )
+def read_facts(spark: SparkSession, out: str) -> DataFrame:
+    """The counts so far, open windows included."""
+    return (spark.read.parquet(out).groupBy("app_id", "window_start", "window_end", "theme")
+            .agg(F.sum("mentions").alias("mentions")))
 
 
 def run_available_now(spark: SparkSession, landing: str, out: str, checkpoint: str,
                       window: str = WINDOW, watermark: str = WATERMARK) -> None:
     """Process everything landed so far, then stop (restartable from the checkpoint)."""
     raw = spark.readStream.schema(landing_schema(spark, landing)).parquet(landing)
-    counts = flat(windowed_theme_counts(stream_reviews(raw, watermark), window))
-    q = (counts.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out))
+    q = (stream_reviews(raw, watermark).writeStream.foreachBatch(write_facts(out, window))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
@@ -71,23 +81,11 @@ def landing_schema(spark: SparkSession, landing: str):
     return spark.read.parquet(landing).schema
 
 
-def refresh_facts(out_table: str):
-    """foreachBatch sink: overwrite the per-(app, window, theme) facts seen in
-    the micro-batch (idempotent on replay: the batch id is a column and the
-    write replaces that batch's partition)."""
-    def _write(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out_table))
-    return _write
-
-
 def stream_theme_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract run: land the raw reviews derived from ``events`` as files,
-    stream them through, return what the sink holds."""
-    # event time is UTC-naive; windows and their labels are computed in UTC
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    stream them through, return what the facts hold."""
     base = f"{checkpoint_dir(spark).rstrip('/')}/stream/{uuid.uuid4().hex}"
     landing, out, ckpt = f"{base}/landing", f"{base}/out", f"{base}/ckpt"
     FX.raw_reviews(spark, sf_dir).write.parquet(landing)
     run_available_now(spark, landing, out, ckpt)
-    return spark.read.parquet(out)
+    return read_facts(spark, out)

@@ -227,18 +227,78 @@ def test_word_match_mode(spark):
     assert got == [[], ["Subscription / Payment"], ["Slow / Loading issues"], [], ["App crashing"]]
 
 
-def test_foreach_batch_facts(spark, tmp_path):
+def test_streamed_facts_hold_open_windows(spark, tmp_path):
+    """Two runs over files that land one after the other; the facts equal the batch tags, newest day included."""
+    from reviewlens.operators.tagging import tag_complaints
+    from reviewlens.sources import fixture as FXm
     from reviewlens.streaming import themes as ST
-    landing = str(tmp_path / "landing")
-    FX_raw = __import__("reviewlens.sources.fixture", fromlist=["raw_reviews"]).raw_reviews
-    FX_raw(spark, "/root/testdata/sf0.001").write.parquet(landing)
-    raw = spark.readStream.schema(spark.read.parquet(landing).schema).parquet(landing)
-    counts = ST.flat(ST.windowed_theme_counts(ST.stream_reviews(raw)))
-    q = (counts.writeStream.outputMode("update").foreachBatch(ST.refresh_facts(str(tmp_path / "facts")))
-         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    facts = spark.read.parquet(str(tmp_path / "facts"))
-    assert facts.count() > 0 and "batch_id" in facts.columns
+    landing, out, ckpt = (str(tmp_path / x) for x in ("landing", "facts", "ckpt"))
+    raw = FXm.raw_reviews(spark, "/root/testdata/sf0.001").orderBy("at")
+    for part in (raw.limit(600), raw.exceptAll(raw.limit(600))):
+        part.write.mode("append").parquet(landing)
+        ST.run_available_now(spark, landing, out, ckpt)
+    tagged = tag_complaints(IN.normalise_reviews(raw))
+    want = tagged.select("app_id", F.explode("complaint_categories").alias("theme")).groupBy("app_id", "theme").count()
+    got = ST.read_facts(spark, out).groupBy("app_id", "theme").agg(F.sum("mentions").alias("count"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("zone", ["America/New_York", "UTC"])
+def test_dirty_ingest_never_raises(spark, zone):
+    """Every bad value lands in the quarantine with a reason; good times are UTC in any session zone."""
+    from pyspark.sql import functions as Fn
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [("a", "1", "2024-01-01T00:00:00Z", "5", "t", 3_000_000_000), ("a", "2", "2024-03-10 02:30:00", "4.0", "t", 1),
+                ("a", "3", "2024-11-03T01:30:00-04:00", "3", "t", None), ("a", "4", "2024-02-01", "2", "t", 0),
+                ("a", "5", "2024-01-01 00:00:00", "NaN", "t", 0), ("a", "6", "2024-01-01 00:00:00", "1e10", "t", 0),
+                ("a", "7", "2024-01-01 00:00:00", "Infinity", "t", 0), ("a", "8", "never", "5", "t", 0), (None, "9", "2024-01-01 00:00:00", "5", "t", 0)]
+        df = spark.createDataFrame(rows, "app_id string, reviewId string, at string, score string, content string, thumbsUpCount long")
+        good = IN.normalise_reviews(df).select("review_id", Fn.substring(Fn.col("date").cast("string"), 1, 16), "rating", "thumbs_up").orderBy("review_id").collect()
+        assert [tuple(r) for r in good] == [("1", "2024-01-01 00:00", 5, None), ("2", "2024-03-10 02:30", 4, 1),
+                                            ("3", "2024-11-03 05:30", 3, None), ("4", "2024-02-01 00:00", 2, 0)]
+        bad = {r.review_id: r.reason for r in IN.quarantine_reviews(df).collect()}
+        assert bad == {"5": "rating_missing_or_not_numeric", "6": "rating_missing_or_not_numeric", "7": "rating_missing_or_not_numeric",
+                       "8": "timestamp_unparsable", "9": "app_id_missing"}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_malformed_records_are_kept(spark, tmp_path):
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "a.json").write_text('{"app_id": "a", "reviewId": "1", "at": "2024-01-01 00:00:00", "score": "5", "content": "x"}\n{broken\n')
+    df = IN.read_raw(spark, str(tmp_path / "l"))
+    assert IN.normalise_reviews(df).count() == 1
+    assert [(r.reason, r._corrupt_record) for r in IN.quarantine_reviews(df).collect()] == [("record_malformed", "{broken")]
+
+
+@pytest.mark.parametrize("exact", [1, 10**6])
+def test_newest_n_is_exact_with_nulls_and_ties(spark, exact):
+    import datetime as dtm
+    day = dtm.datetime(2024, 1, 1)
+    rows = [("a", None, day, i % 2) for i in range(5)] + [("b", "same", day, 1) for _ in range(5)] + [(None, str(i), day, 1) for i in range(3)]
+    rows += [("c", f"r{i}", day + dtm.timedelta(seconds=i), 1) for i in range(7)] + [("d", "x", day, 1)]
+    df = spark.createDataFrame(rows, "app_id string, review_id string, date timestamp_ntz, rating int")
+    for n in (1, 2, 10):
+        got = R.newest_n(df, n, exact_rows=exact).groupBy("app_id").count().collect()
+        assert {r.app_id: r["count"] for r in got} == {"a": min(n, 5), "b": min(n, 5), None: min(n, 3), "c": min(n, 7), "d": 1}
+    newest = R.newest_n(df.where("app_id = 'c'"), 2, exact_rows=exact).collect()
+    assert {r.review_id for r in newest} == {"r6", "r5"}
+
+
+def test_search_folds_all_letters_and_checks_with_the_engine(spark):
+    df = spark.createDataFrame([("CAFÉ noir",), ("tea",), (None,)], "review_text string")
+    assert FL.search_reviews(df, "café").count() == 1
+    with pytest.raises(ValueError):
+        FL.search_reviews(df, "(?P<n>x)")
+
+
+def test_url_values_survive(spark):
+    long = "v" * 1_100_000
+    df = spark.createDataFrame([("http://s/d?id=100%",), ("http://s/d?id=a%zz",), ("http://s/d?%69d=abc",), ("http://s/d?id=" + long,), ("http://s/d?id=&id=b%2Ec",)], "u string")
+    from reviewlens.functions.text import query_param
+    assert [r[0] for r in df.select(query_param("u", "id")).collect()] == ["100%", "a%zz", "abc", long, "b.c"]
 
 
 def test_read_raw_json_landing(spark, tmp_path):

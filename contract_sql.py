@@ -227,6 +227,35 @@ SELECT app_id, review_id, rating FROM (
   SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY date DESC, review_id) AS rn FROM reviews)
 WHERE rn <= {REG.NEWEST_N}"""
 
+_TIED = """,
+tied AS (SELECT CASE WHEN right(app_id, 1) <> '4' THEN app_id END AS app_id,
+                CASE WHEN CAST(review_id AS BIGINT) % 10 <> 0 THEN lpad(CAST(CAST(review_id AS BIGINT) % 50 AS VARCHAR), 3, '0') END AS review_id,
+                date_trunc('day', date) AS date FROM reviews),
+tr AS (SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY date DESC, coalesce(review_id, '')) AS rn,
+              count(*) OVER (PARTITION BY app_id) AS n FROM tied)
+SELECT app_id, strftime(date, '%Y-%m-%d') AS day, review_id, count(*) AS n_rows FROM tr WHERE """
+SQL["scope_newest_n_ties"] = w() + _TIED + f"rn <= {REG.NEWEST_N} GROUP BY ALL"
+SQL["recent_slice_ties"] = w() + _TIED + "rn <= greatest(50, floor(n * 0.2)) GROUP BY ALL"
+
+_DIRTY = """,
+d0 AS (SELECT *, CAST(review_id AS BIGINT) AS k FROM raw),
+dirty AS (SELECT CASE WHEN k % 17 <> 0 THEN app_id END AS app_id, review_id,
+                 CASE k % 11 WHEN 0 THEN NULL WHEN 1 THEN NULL WHEN 2 THEN NULL WHEN 3 THEN 0 WHEN 4 THEN 6 ELSE rating END AS rating,
+                 CASE WHEN k % 13 <> 0 THEN date END AS date, content,
+                 CASE WHEN k % 19 <> 0 THEN thumbs_up END AS thumbs_up FROM d0)"""
+SQL["ingest_dirty"] = w() + _DIRTY + f"""
+SELECT app_id, review_id, {_iso_ts('date')} AS date, rating, thumbs_up FROM dirty
+WHERE app_id IS NOT NULL AND rating BETWEEN 1 AND 5 AND date IS NOT NULL AND regexp_replace(content, '^\\s+|\\s+$', '', 'g') <> ''"""
+SQL["quarantine_dirty"] = w() + _DIRTY + """
+SELECT * FROM (SELECT app_id, review_id, CASE WHEN app_id IS NULL THEN 'app_id_missing' WHEN rating IS NULL THEN 'rating_missing_or_not_numeric'
+       WHEN rating NOT BETWEEN 1 AND 5 THEN 'rating_out_of_range' WHEN date IS NULL THEN 'timestamp_unparsable' END AS reason FROM dirty)
+WHERE reason IS NOT NULL"""
+SQL["scope_preset_dated"] = w() + f"""
+SELECT app_id, review_id, rating FROM (
+  SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY date DESC, review_id) AS rn FROM raw
+  WHERE date >= (SELECT max(date) FROM raw) - INTERVAL {REG.RECENT_DAYS} DAY)
+WHERE rn <= {REG.NEWEST_N // 10} AND regexp_replace(content, '^\\s+|\\s+$', '', 'g') <> ''"""
+
 _days, _cap = tx.SCOPE_PRESETS["All recent"]
 SQL["scope_preset"] = w() + f"""
 SELECT app_id, review_id, rating FROM (

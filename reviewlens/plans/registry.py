@@ -89,6 +89,38 @@ def q_scope_newest_n(spark, d):
     return _ids(R.newest_n(E.reviews(spark, d), NEWEST_N), "rating")
 
 
+def _copies(df: DataFrame) -> DataFrame:
+    """How many rows of each (app, day, id) are in: which of them is no matter."""
+    return df.groupBy("app_id", T.iso_date("date").alias("day"), "review_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("scope_newest_n_ties")
+def q_newest_ties(spark, d):
+    return _copies(R.newest_n(FX.tied_reviews(E.reviews(spark, d)), NEWEST_N))
+
+
+@query("recent_slice_ties")
+def q_recent_ties(spark, d):
+    return _copies(R.recent_slice(FX.tied_reviews(E.reviews(spark, d))))
+
+
+@query("ingest_dirty")
+def q_ingest_dirty(spark, d):
+    rv = IN.normalise_reviews(FX.dirty_raw(FX.raw_reviews(spark, d)))
+    return rv.select("app_id", "review_id", T.iso_ts("date").alias("date"), "rating", "thumbs_up")
+
+
+@query("quarantine_dirty")
+def q_quarantine_dirty(spark, d):
+    return IN.quarantine_reviews(FX.dirty_raw(FX.raw_reviews(spark, d))).select("app_id", "review_id", "reason")
+
+
+@query("scope_preset_dated")
+def q_scope_preset_dated(spark, d):
+    """Cutoff, then cap, then blank removal."""
+    return _ids(IN.normalise_reviews(FX.raw_reviews(spark, d), days_back=RECENT_DAYS, target=NEWEST_N // 10), "rating")
+
+
 @query("scope_preset")
 def q_scope_preset(spark, d):
     return _ids(IN.scope_preset(FX.raw_reviews(spark, d), "All recent"), "rating")

@@ -108,6 +108,34 @@ def raw_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw_reviews_from_events(table(spark, sf_dir, "events"))
 
 
+def tied_reviews(reviews: DataFrame) -> DataFrame:
+    """The reviews with one app nulled, every tenth id nulled, the others cut
+    to 50 repeating ids, and dates cut to the day: ties wherever a cap falls."""
+    number = F.col("review_id").cast("bigint")
+    return reviews.withColumns({
+        "app_id": F.when(~F.col("app_id").endswith("4"), F.col("app_id")),
+        "review_id": F.when(number % 10 != 0, F.lpad((number % 50).cast("string"), 3, "0")),
+        "date": F.date_trunc("day", "date").cast("timestamp_ntz"),
+    })
+
+
+def dirty_raw(raw: DataFrame) -> DataFrame:
+    """Raw reviews as landed text with bad scores, bad and offset times,
+    missing apps and counts beyond the integer range."""
+    n = F.col("reviewId").cast("bigint")
+    score = F.col("score").cast("string")
+    for k, bad in enumerate(("NaN", "1e10", None, "0", "6")):
+        score = F.when(n % 11 == k, F.lit(bad)).otherwise(score)
+    shifted = F.concat((F.col("at") + F.expr("INTERVAL 330 MINUTES")).cast("string"), F.lit("+05:30"))
+    return raw.withColumns({
+        "app_id": F.when(n % 17 != 0, F.col("app_id")),
+        "score": score,
+        "at": F.when(n % 13 == 0, F.lit("soon")).when(n % 13 == 1, shifted).when(n % 13 == 2, F.concat(F.col("at").cast("string"), F.lit("Z")))
+        .otherwise(F.col("at").cast("string")),
+        "thumbsUpCount": F.when(n % 19 == 0, F.lit(3_000_000_000)).otherwise(F.col("thumbsUpCount").cast("bigint")),
+    })
+
+
 def app_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(event_id, url): six store-URL shapes per FIXTURES.md §3."""
     ev = table(spark, sf_dir, "events")

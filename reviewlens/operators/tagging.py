@@ -107,55 +107,35 @@ def flag_requests(df: DataFrame, text_col: str = "review_text", out: str = "is_r
 
 
 # ── table-driven taxonomies ─────────────────────────────────────────────────
-BROADCAST_KEYWORDS = 50_000
-TRIGRAM = 3
+GRAM = 3
 
 
-def tag_by_table(
-    df: DataFrame,
-    keywords: DataFrame,
-    id_cols: Sequence[str],
-    text_col: str = "text",
-    max_broadcast: int = BROADCAST_KEYWORDS,
-) -> DataFrame:
-    """Distinct (id..., group, ordinal) for every keyword found in the text.
+def _grams(text: Column, n: int) -> Column:
+    """Distinct n-grams of a string in one linear pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
-    ``keywords`` has columns (group, ordinal, keyword).  The keyword count is
-    checked first: up to ``max_broadcast`` rows it is broadcast and matched
-    with a nested-loop ``contains`` join; above it an exact trigram join is
-    used (see ``_trigram_match``).
-    """
-    kw = keywords.select("group", "ordinal", F.lower("keyword").alias("keyword")).where(F.length("keyword") > 0)
-    texts = df.select(*id_cols, text_key(text_col).alias("_t"))
-    n_kw = kw.count()
-    if n_kw <= max_broadcast:
-        hits = texts.join(F.broadcast(kw), F.col("_t").contains(F.col("keyword")))
-    else:
-        hits = _trigram_match(texts, kw, id_cols)
-    return hits.select(*id_cols, "group", "ordinal").distinct()
 
+def tag_by_table(df: DataFrame, keywords: DataFrame, id_cols: Sequence[str], text_col: str = "text") -> DataFrame:
+    """Distinct (id..., group, ordinal) for every keyword found in the text.
 
-def _trigram_match(texts: DataFrame, kw: DataFrame, id_cols: Sequence[str]) -> DataFrame:
-    """Exact substring join without broadcasting the keyword table.
-
-    A keyword k of length >= 3 occurs in t iff some position p of t starts
-    with k's first trigram and ``substring(t, p, len(k)) == k``.  Texts emit
-    (trigram, position); keywords emit their first trigram; the equi-join on
-    trigram shuffles both sides by the trigram.  Keywords shorter than three
-    characters are few (bounded by the alphabet squared) and are broadcast.
+    ``keywords`` has columns (group, ordinal, keyword) and may be of any size.
+    A keyword can only occur in a text that has all its trigrams, so texts and
+    keywords meet by an equi-join on each keyword's rarest trigram (shorter
+    keywords are their own gram) and the hits are verified with ``contains``.
+    Nothing is broadcast by hand; a frequent trigram is a skewed join key, which
+    AQE splits.  Rows are matched by a hash of id and text, so null ids stay;
+    two rows of one hash could only add verified hits.
     """
-    short = kw.where(F.length("keyword") < TRIGRAM)
-    long_ = kw.where(F.length("keyword") >= TRIGRAM).withColumn("_g", F.substring("keyword", 1, TRIGRAM))
-    # (id, position, trigram) only: the text itself is not copied per position
-    grams = texts.select(
-        *id_cols,
-        F.posexplode(F.sequence(F.lit(1), F.greatest(F.length("_t") - TRIGRAM + 1, F.lit(1)))).alias("_i", "_p"),
-        "_t",
-    ).select(*id_cols, "_p", F.substring("_t", F.col("_p"), TRIGRAM).alias("_g"))
-    cand = grams.join(long_, "_g").select(*id_cols, "_p", "group", "ordinal", "keyword")
-    # verify the rest of each candidate against its text (one shuffle of texts by id)
-    long_hits = cand.join(texts, list(id_cols)).where(
-        F.substring("_t", F.col("_p"), F.length("keyword")) == F.col("keyword"))
-    short_hits = texts.join(F.broadcast(short), F.col("_t").contains(F.col("keyword")))
-    cols = [*id_cols, "group", "ordinal"]
-    return long_hits.select(*cols).unionByName(short_hits.select(*cols))
+    kw = keywords.select("group", "ordinal", F.lower("keyword").alias("keyword")).where(F.length("keyword") > 0).distinct()
+    texts = df.select(*id_cols, text_key(text_col).alias("_t")).withColumn("_row", F.xxhash64(*id_cols, "_t"))
+    sizes = sorted({min(r[0], GRAM) for r in kw.select(F.length("keyword")).distinct().collect()})
+    if not sizes:
+        return df.limit(0).select(*id_cols).join(kw.select("group", "ordinal").limit(0), F.lit(False))
+    grams = texts.select("_row", F.explode(F.concat(*[_grams(F.col("_t"), n) for n in sizes])).alias("_g"))
+    freq = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    own = F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(_grams(F.col("keyword"), GRAM))
+    rarest = (kw.withColumn("_g", F.explode(own)).join(freq, "_g", "left")
+              .groupBy("group", "ordinal", "keyword").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g")))
+    hits = grams.join(rarest, "_g").select("_row", "group", "ordinal", "keyword")
+    found = texts.join(hits, "_row").where(F.col("_t").contains(F.col("keyword")))
+    return found.select(*id_cols, "group", "ordinal").distinct()

@@ -18,7 +18,8 @@ def plan(df) -> str:
 
 
 @pytest.mark.parametrize("name", ["theme_summary", "key_signals", "signal_cards", "theme_library", "sentiment",
-                                  "sentiment_corpus", "product_opportunities", "explorer", "package_id"])
+                                  "sentiment_corpus", "product_opportunities", "explorer", "package_id", "tag_by_table",
+                                  "investigate", "review_cards", "recent_slice_ties", "ingest_dirty", "quarantine_dirty"])
 def test_no_python_or_cartesian(spark, name):
     p = plan(REG.QUERIES[name](spark, SF_SMALL))
     for bad in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "CartesianProduct", "BroadcastNestedLoopJoin"):
@@ -40,6 +41,24 @@ def test_topk_uses_window_group_limit(spark):
     assert "WindowGroupLimit" in p
 
 
+@pytest.mark.parametrize("name", ["investigate", "sentiment_topk"])
+def test_large_topk_is_salted(spark, name):
+    assert plan(REG.QUERIES[name](spark, SF_SMALL)).count("_salt") > 0
+
+
+def test_building_a_query_writes_no_reviews(spark, monkeypatch):
+    """What a query stores while it is built is per group or theme, never the reviews."""
+    from reviewlens.operators import recent, themes
+    seen = []
+    for module in (recent, themes):
+        real = module.write_table
+        monkeypatch.setattr(module, "write_table", lambda df, *a, real=real: seen.append(df.columns) or real(df, *a))
+    monkeypatch.setattr(E, "write_table", lambda *a: pytest.fail("stored reviews"))
+    for name in ("rising_themes", "key_signals", "signal_cards", "theme_library", "signal_coverage", "sentiment_topk", "export_all", "review_table"):
+        REG.QUERIES[name](spark, SF_SMALL)
+    assert seen and not any("review_text" in c or "review_id" in c for c in seen)
+
+
 def test_tag_expression_not_duplicated_by_explode(spark):
     df = TK.explode_tags(E.enriched(spark, SF_SMALL).select("complaint_categories"),
                          __import__("pyspark.sql.functions", fromlist=["col"]).col("complaint_categories"))

@@ -59,10 +59,18 @@ def test_theme_mentions_equal_exploded_count(spark):
     assert s == e
 
 
-def test_trigram_join_equals_broadcast_join(spark):
-    doc = FX.table(spark, SF_SMALL, "documents")
-    rows = [(g, i, k) for i, (g, kws) in enumerate(REG.DOC_TAXONOMY.items()) for k in kws] + [("short", 99, "ab")]
-    kw = spark.createDataFrame(rows, "group string, ordinal int, keyword string")
-    a = tag_by_table(doc, kw, ["doc_id"], "text")
-    b = tag_by_table(doc, kw, ["doc_id"], "text", max_broadcast=0)
-    assert _rows(a) == _rows(b) and a.count() > 0
+def test_tag_by_table_equals_substring_search(spark):
+    """Every keyword length, null ids, repeated rows, a long text; no nested loop in the plan."""
+    rows = [(1, "The cat sat on the mat."), (None, "a CAT, null id"), (None, None), (2, ""), (3, "x"), (4, "xy " * 60_000 + "needle"),
+            (1, "The cat sat on the mat."), (5, "ÄÖ straße 🙂🙂")]
+    words = [("pets", 0, "cat"), ("pets", 0, "dog"), ("short", 1, "x"), ("short", 1, "at"), ("long", 2, "needle"), ("long", 2, "on the mat"),
+             ("odd", 3, "🙂🙂"), ("odd", 3, "Straße"), ("none", 4, "zzz"), ("none", 4, "")]
+    doc = spark.createDataFrame(rows, "doc_id long, text string")
+    kw = spark.createDataFrame(words, "group string, ordinal int, keyword string")
+    out = tag_by_table(doc, kw, ["doc_id"], "text")
+    want = {(i, g, o) for i, t in rows for g, o, k in words if t and k and k.lower() in t.lower()}
+    got = out.collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert tag_by_table(doc, kw.limit(0), ["doc_id"], "text").count() == 0

@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
 from reviewlens.operators.recent import flag_recent
@@ -53,8 +54,13 @@ def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reviews + sentiment + tags (per-row projections, not stored)."""
-    return enrich(reviews(spark, sf_dir), sentiment=True)
+    """Reviews + sentiment + tags (per-row projections, not stored).
+
+    The label passes through a one-element generator, which no filter on it is
+    pushed below: the lexicon scorer, the costliest step, runs once per row.
+    """
+    rows = enrich(reviews(spark, sf_dir), sentiment=True)
+    return rows.withColumn("sentiment_label", F.explode_outer(F.array("sentiment_label")))
 
 
 def flagged(spark: SparkSession, sf_dir: str, by: Sequence[str] = ("app_id",)) -> DataFrame:

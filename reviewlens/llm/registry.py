@@ -78,3 +78,33 @@ def q_quotes(spark, d):
 @query("op10_token_counts")
 def q_token_counts(spark, d):
     return token_counts.count_tokens(C.documents(spark, d), C.tokenizer_path())
+
+
+# ── SQL of the queries that have a SQL form ─────────────────────────────────
+_WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SQL["op5_fragment_join"] = f"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, {_WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda p: array_to_string(w[p:p+4], ' '))) END AS s FROM d),
+one AS (SELECT doc_id, unnest(s) AS g FROM sets),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM one a JOIN one b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * i >= 80 * (len(x.s) + len(y.s) - i)),
+edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach AS (SELECT a AS doc_id, b AS other FROM edge UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.other)
+SELECT s.doc_id, len(s.s) AS n_shingles, least(s.doc_id, coalesce(min(r.other), s.doc_id)) AS component_id
+FROM sets s LEFT JOIN reach r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
+
+SQL["op8_phrase_automata"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS.format(text="text")} AS w FROM documents),
+win AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 48), lambda p: {{'p': p, 'k': md5(array_to_string(w[p:p+49], ' '))}}), recursive := true)
+        FROM d WHERE len(w) >= 50),
+own AS (SELECT k, min(doc_id) AS m FROM win GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM win JOIN own USING (k) WHERE m < doc_id),
+word AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""

@@ -16,6 +16,9 @@
    passage owned by a smaller doc_id is removed.  The automaton compares words
    themselves, so a hash never removes anything by itself.
 
+Texts are shuffled twice, whatever the size (for windows that need a closer
+look, and for the automata); nothing is broadcast by hand.
+
 Edge cases: null or empty texts keep nothing and remove nothing; fewer than
 ``WINDOW`` words: kept whole; a null doc_id neither owns nor loses words; equal
 doc_ids do not remove from each other; an empty table gives an empty table;
@@ -36,8 +39,6 @@ WINDOW = 50
 ANCHOR = 8
 #: Words to remove per shard, and so about the size of one automaton.
 SHARD_WORDS = 300_000
-#: Rows of keys that may be broadcast (under 100 bytes each).
-BROADCAST_KEYS = 300_000
 KEY = ["doc_id", "th"]
 
 
@@ -54,27 +55,29 @@ def segments(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
         hashes = C.kept("words", C.WordHashes)
         power = np.empty(0, np.uint64)
         for b in batches:
-            doc, th, out = [], [], []
-            for d, t, x in zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text"))):
-                w = C.words_of(x)
-                if len(w) < window:
-                    continue
-                label, content = _labels(w, window, anchor, hashes)
-                s = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
-                n = np.diff(np.r_[s, len(label)])
-                if n.max() > len(power):
-                    power = np.cumprod(np.full(2 * n.max(), 0x9E3779B97F4A7C15, np.uint64))
-                at = np.arange(len(label)) - np.repeat(s, n)
-                seg = C.mix(np.add.reduceat(content * power[at], s) + n.astype(np.uint64))
-                doc.append(np.full(len(s), d))
-                th.append(np.full(len(s), t))
-                out.append((s, n, label[s], seg))
-            if out:
-                s, n, fp, seg = (np.concatenate([o[i] for o in out]) for i in range(4))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(th), pa.int64()), pa.array(s.astype(np.int32)),
-                     pa.array(n.astype(np.int32)), pa.array(C.as_long(fp)), pa.array(C.as_long(seg))],
-                    names=["doc_id", "th", "s", "n", "fp", "seg"])
+            rows = list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text"))))
+            for i, j in C.chunks([r[2] for r in rows]):
+                doc, th, out = [], [], []
+                for d, t, x in rows[i:j]:
+                    w = C.words_of(x)
+                    if len(w) < window:
+                        continue
+                    label, content = _labels(w, window, anchor, hashes)
+                    s = np.flatnonzero(np.r_[True, label[1:] != label[:-1]])
+                    n = np.diff(np.r_[s, len(label)])
+                    if n.max() > len(power):
+                        power = np.cumprod(np.full(2 * n.max(), 0x9E3779B97F4A7C15, np.uint64))
+                    at = np.arange(len(label)) - np.repeat(s, n)
+                    seg = C.mix(np.add.reduceat(content * power[at], s) + n.astype(np.uint64))
+                    doc.append(np.full(len(s), d))
+                    th.append(np.full(len(s), t))
+                    out.append((s, n, label[s], seg))
+                if out:
+                    s, n, fp, seg = (np.concatenate([o[k] for o in out]) for k in range(4))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(th), pa.int64()), pa.array(s.astype(np.int32)),
+                         pa.array(n.astype(np.int32)), pa.array(C.as_long(fp)), pa.array(C.as_long(seg))],
+                        names=["doc_id", "th", "s", "n", "fp", "seg"])
 
     return rows.mapInArrow(run, "doc_id long, th long, s int, n int, fp long, seg long")
 
@@ -141,7 +144,7 @@ def owned_runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     mixed = found.filter(~F.col("single"))
     first = mixed.groupBy("fp", "seg").agg(F.min(F.struct("doc_id", "th", "s", "n")).alias("r")).select("fp", "seg", "r.*")
     lists = C.write_table(first.groupBy(*KEY).agg(F.collect_list(F.struct("fp", "seg", "s", "n")).alias("segs")))
-    win = C.write_table(_windows(rows.join(C.sized_broadcast(lists, BROADCAST_KEYS // 10), KEY), window, anchor))
+    win = C.write_table(_windows(rows.join(lists.hint("shuffle_hash"), KEY), window, anchor))
     owner = win.groupBy("fp", "wh").agg(F.min(F.struct("doc_id", "th", "pos")).alias("o"))
     each = win.select("fp", "seg", "j", "wh").join(owner, ["fp", "wh"]).select("fp", "seg", F.struct(
         F.col("j").alias("s"), F.lit(1).alias("n"), F.col("o.doc_id").alias("o_doc"), F.col("o.th").alias("o_th"), F.col("o.pos").alias("o_s")).alias("run"))
@@ -205,20 +208,23 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_text string"
 def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text of every row of ``docs``."""
     C.ship(docs.sparkSession)
-    every = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("th"))
-    rows = every.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    # keys without nulls: the three joins below then share one exchange of the texts
+    every = C.id_and_text(docs).select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"),
+                                       F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("key"))
+    rows = every.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(*KEY, "text")
     runs = owned_runs(rows, window, anchor)
     total = runs.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"] + window))).first()[0] or 0
-    shard = F.pmod(F.xxhash64(*KEY), F.lit(int(total // SHARD_WORDS + 1))).alias("shard")
-    wanted = (runs.select(shard, F.explode("runs").alias("r")).select("shard", "r.o_doc", "r.o_th", "r.o_s", "r.n").distinct()
-              .groupBy(F.col("o_doc").alias("doc_id"), F.col("o_th").alias("th"), "shard").agg(F.collect_list(F.struct("o_s", "n")).alias("want")))
-    wanted = C.write_table(wanted)
-    texts = rows.join(C.sized_broadcast(wanted, BROADCAST_KEYS // 10), KEY)
-    keys = runs.select(*KEY)
-    touched = rows.join(C.sized_broadcast(keys, BROADCAST_KEYS), KEY).select("doc_id", "text", shard)
+    shard = F.pmod(F.xxhash64("doc_id", "th"), F.lit(int(total // SHARD_WORDS + 1))).alias("shard")
+    wanted = C.write_table(
+        runs.select(shard, F.explode("runs").alias("r")).select("shard", "r.o_doc", "r.o_th", "r.o_s", "r.n").distinct()
+        .groupBy(F.col("o_doc").alias("key"), F.col("o_th").alias("th"), "shard").agg(F.collect_list(F.struct("o_s", "n")).alias("want")))
+    keys = runs.select(F.col("doc_id").alias("key"), "th", shard).hint("shuffle_hash")
+    on = ["key", "th"]
+    touched = every.join(keys, on).select("doc_id", "text", "shard")
+    texts = every.join(wanted.hint("shuffle_hash"), on)
     changed = touched.groupBy("shard").cogroup(_passage_texts(texts, window).groupBy("shard")).applyInPandas(_locate, RESULT)
 
     words = F.filter(F.split(F.coalesce("text", F.lit("")), C.WORD_SEP), lambda x: x != "")
-    same = (every.join(C.sized_broadcast(keys, BROADCAST_KEYS), KEY, "left_anti").select("doc_id", words.alias("w"))
+    same = (every.join(keys, on, "left").filter("shard IS NULL").select("doc_id", words.alias("w"))
             .select("doc_id", F.size("w").cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.array_join("w", " ").alias("kept_text")))
     return same.unionByName(changed)

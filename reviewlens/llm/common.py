@@ -17,6 +17,8 @@ DOC_COLS = ["doc_id", "text", "lang", "source", "n_chars"]
 WORD_SEP = r"[\x20\x09-\x0D]+"
 #: Token-piece cache entries kept by one Python worker before it starts afresh (about 250 MB).
 CACHE_PIECES = 900_000
+#: The same for word hashes (about 80 MB).
+CACHE_WORDS = 400_000
 
 
 def ship(spark: SparkSession) -> None:
@@ -32,6 +34,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*DOC_COLS)
 
 
+def id_and_text(docs: DataFrame) -> DataFrame:
+    """doc_id (long) and text (string); without a cast where the types are right, so that equal scans are seen as equal."""
+    kinds = dict(docs.dtypes)
+    want = {"doc_id": "bigint", "text": "string"}
+    return docs.select(*[F.col(c) if kinds[c] == k else F.col(c).cast(k) for c, k in want.items()])
+
+
 def fresh_dir(spark: SparkSession) -> str:
     """A new folder under the shared checkpoint folder that the session names."""
     return f"{session.checkpoint_dir(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
@@ -58,7 +67,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
-        if len(self) >= CACHE_PIECES:
+        if len(self) >= CACHE_WORDS:
             self.clear()
         value = xxhash.xxh64_digest(word)
         if len(word) <= 64:
@@ -173,8 +182,10 @@ _KEPT: dict[object, object] = {}
 
 
 def kept(key, make):
-    """One object per Python worker."""
+    """One object per Python worker: the last one asked for.  A worker that goes on to another
+    operator's tasks drops what the first one kept."""
     if key not in _KEPT:
+        _KEPT.clear()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -183,7 +194,7 @@ def pieces(path: str) -> Pieces:
     return kept(("pieces", path), lambda: Pieces(path))
 
 
-def chunks(texts: list[str | None], most: int = 4_000_000):
+def chunks(texts: list[str | None], most: int = 3_000_000):
     """Index ranges of at most about ``most`` characters, so that work arrays stay small."""
     start = size = 0
     for i, t in enumerate(texts):

@@ -156,7 +156,7 @@ class Restorer:
         """Distinct words of a text, restored forms included (spaced-out letters are read as one word)."""
         if not text:
             return set()
-        if len(self.known) > C.CACHE_PIECES // 2:
+        if len(self.known) > C.CACHE_WORDS // 2:
             self.known.clear()
         out: set[str] = set()
         for w in set(text.split()):
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                 for w in r.words(t):
                     f = known.get(w)
                     if f is None:
-                        if len(known) > C.CACHE_PIECES // 2:
+                        if len(known) > C.CACHE_WORDS // 2:
                             known.clear()
                         f = known[w] = tuple(x for x in features(w) if x in value)
                     if f:

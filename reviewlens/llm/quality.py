@@ -26,6 +26,8 @@ from reviewlens.llm import common as C
 SUPPORT = 0.75
 STEPS = 4
 LEAST = 50
+#: Groups whose estimates may be broadcast (about 300 bytes each); more are joined by shuffle.
+BROADCAST_GROUPS = 100_000
 #: Variance added to each statistic: about the spread of one stray mark per thousand characters.
 FLOOR = 0.25
 #: Chi-square with 6 degrees of freedom exceeds it with probability about 1e-9.
@@ -135,15 +137,15 @@ def estimates(rows: DataFrame) -> DataFrame:
     fit = rows.filter(~F.col("base_failed")).select("grp", *VECTOR)
     middle = fit.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, 0.5, 10000).alias(f"m_{i}") for i, v in enumerate(VECTOR)])
     middle = C.write_table(middle.filter(F.col("n") >= LEAST).drop("n"))
-    spread = fit.join(middle, "grp").groupBy("grp", *[f"m_{i}" for i in range(P)]).agg(
+    spread = fit.join(C.sized_broadcast(middle, BROADCAST_GROUPS), "grp").groupBy("grp", *[f"m_{i}" for i in range(P)]).agg(
         *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 10000).alias(f"s_{i}") for i, v in enumerate(VECTOR)])
     start = spread.withColumns({f"c_{i}_{j}": (1.4826 * F.col(f"s_{i}")) ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)})
     now = C.write_table(_whitening(start))
     for _ in range(STEPS):
-        far = fit.join(now, "grp").select("grp", *VECTOR, _distance().alias("d2"))
+        far = fit.join(C.sized_broadcast(now, BROADCAST_GROUPS), "grp").select("grp", *VECTOR, _distance().alias("d2"))
         edge = C.write_table(far.groupBy("grp").agg(F.percentile_approx("d2", SUPPORT, 10000).alias("edge")))
-        now = C.write_table(_moments(far.join(edge, "grp").filter(F.col("d2") <= F.col("edge"))))
-    scale = fit.join(now, "grp").select("grp", _distance().alias("d2")).groupBy("grp").agg(
+        now = C.write_table(_moments(far.join(C.sized_broadcast(edge, BROADCAST_GROUPS), "grp").filter(F.col("d2") <= F.col("edge"))))
+    scale = fit.join(C.sized_broadcast(now, BROADCAST_GROUPS), "grp").select("grp", _distance().alias("d2")).groupBy("grp").agg(
         F.greatest(F.percentile_approx("d2", 0.5, 10000) / MEDIAN, F.lit(1.0)).alias("scale"))
     return C.write_table(now.join(scale, "grp"))
 
@@ -151,7 +153,7 @@ def estimates(rows: DataFrame) -> DataFrame:
 def judge(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_failed, distance (null: no estimate) and kept, for every row of ``docs``."""
     rows = with_vector(C.write_table(statistics(docs)))
-    out = rows.join(estimates(rows), "grp", "left").withColumn("distance", _distance() / F.col("scale"))
+    out = rows.join(C.sized_broadcast(estimates(rows), BROADCAST_GROUPS), "grp", "left").withColumn("distance", _distance() / F.col("scale"))
     fine = F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)) & ~F.isnan(F.coalesce("distance", F.lit(0.0)))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & fine).alias("kept"), "distance")

@@ -195,6 +195,23 @@ def test_leaks(spark):
     assert leaks.find_leaks(cases.frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_with_wide_spaces_and_a_long_item(spark):
+    """No-break and other wide spaces split words everywhere; a long item widens no other item's neighbourhood."""
+    rng = random.Random(21)
+    one, two = (cases.words(rng, 20, 3000) for _ in range(2))
+    items = [(0, " ".join(one)), (1, " ".join(two)), (2, " ".join(cases.words(rng, 400, 3000)))]
+    body = cases.words(rng, 900, 4000)
+    far = list(body)
+    for k, w in enumerate(two):  # in order, but over 600 words: no copy
+        far.insert(30 * (k + 1), w)
+    rows = [(0, "\u00a0".join(body) + " " + " ".join(one), "en", "s", 1), (1, " ".join(body[:30]) + " " + "\u3000".join(one), "en", "s", 1),
+            (2, " ".join(far[:400]) + " " + " ".join(far[400:]), "en", "s", 1)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leaks.find_leaks(cases.frame(spark, rows), bench).collect()} == {(0, 0), (1, 0)}
+    for t in ("a\u00a0b -- c", "x\u2028y z\x85", "\u3000", "it's\x1ca-b İ"):
+        assert len(leaks._words(t)) == len(leaks._ids([t])[0])
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

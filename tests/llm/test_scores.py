@@ -195,6 +195,36 @@ def test_leaks(spark):
     assert leaks.find_leaks(cases.frame(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_many_items_equal_brute_force(spark):
+    """1,200 items and 128 directions: copies and paraphrases are found as by checking every place."""
+    rng = random.Random(12)
+    items = [[w.strip(".,") for w in cases.words(rng, rng.randrange(15, 60), 3000)] for _ in range(1200)] + [["tiny", "item", "here"]]
+    rows = []
+    for d in range(60):
+        body = [w.strip(".,") for w in cases.words(rng, rng.randrange(20, 150), 3000)]
+        for _ in range(2):
+            part = list(rng.choice(items))
+            for _ in range(len(part) * rng.randrange(4) // 10):  # up to 30 % of the words changed or dropped
+                k = rng.randrange(len(part))
+                part[k:k + 1] = rng.choice([["other"], []])
+            at = rng.randrange(len(body))
+            body[at:at] = part
+        rows.append((d, " ".join(body), "en", "s", 1))
+    want = set()
+    for d, t, *_ in rows:
+        w, have = t.split(), Counter(t.split())
+        for k, item in enumerate(items):
+            if sum((have & Counter(item)).values()) >= leaks.LCS_ANSWER * len(item):
+                r = leaks._reach(len(item))
+                places = range(-(-len(w) // leaks.BLOCK))
+                if any(leaks.is_leak(item, w[max(0, (p - r) * leaks.BLOCK):(p + 2 + r) * leaks.BLOCK])[0] for p in places):
+                    want.add((d, k))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = leaks.find_leaks(cases.frame(spark, rows), bench).collect()
+    assert len(want) > 80 and {(r.doc_id, r.item_id) for r in got} == want and len(got) == len(want)
+    assert sum(r.similarity < leaks.COSINE for r in got) > 0  # the latent space alone would lose these
+
+
 def test_leaks_with_wide_spaces_and_a_long_item(spark):
     """No-break and other wide spaces split words everywhere; a long item widens no other item's neighbourhood."""
     rng = random.Random(21)

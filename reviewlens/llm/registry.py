@@ -72,7 +72,8 @@ def q_phrases(spark, d):
 
 @query("op9_quotation_links")
 def q_quotes(spark, d):
-    return quotes.link(spark.read.parquet(f"{d}/conversations.parquet"))
+    table = spark.read.parquet(f"{d}/conversations.parquet")
+    return quotes.link(table).unionByName(quotes.unplaced(table))
 
 
 @query("op10_token_counts")

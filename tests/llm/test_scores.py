@@ -275,6 +275,26 @@ def test_quotes(spark, monkeypatch):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_quotes_keep_every_message(spark, monkeypatch):
+    """Messages that share a turn or have no conv_id or turn all come back; only equal rows are one."""
+    monkeypatch.setattr(quotes, "BUCKET", 3)
+    rows = [(1, 0, "user", "What is the weather today?"), (1, 0, "assistant", "It is raining cats here."), (1, 0, "assistant", "It is raining cats here."),
+            (1, 1, "user", "> It is raining cats here.\nThank you"), (1, 1, None, "> What is the weather today?\nyes"), (1, 1, None, None), (1, 1, None, "")]
+    rows += [(None, i % 2, "user", f"text {i}") for i in range(20)] + [(2, None, "z", "y"), (2, None, "z", "x\n> q"), (2, None, "z", "y"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = quotes.link(df).collect()
+    one = {(r.turn, r.role, r.text): (r.parent_turn, r.root_turn, r.level, r.n_linked) for r in got if r.conv_id == 1 and r.text}
+    assert one == {(0, "assistant", "It is raining cats here."): (None, 0, 0, 0), (0, "user", "What is the weather today?"): (0, 0, 1, 0),
+                   (1, "user", "Thank you"): (0, 0, 1, 1), (1, None, "yes"): (0, 0, 2, 1)}
+    assert sorted(r.position for r in got if r.conv_id == 1) == list(range(6))
+    none = sorted((r.position, r.turn) for r in got if r.conv_id is None)
+    assert none == [(i, i // 10) for i in range(20)] and sorted(r.text for r in got if r.conv_id is None) == sorted(f"text {i}" for i in range(20))
+    alone = quotes.unplaced(df)
+    assert alone.dtypes == quotes.link(df).dtypes
+    assert sorted((r.conv_id or 0, r.role or "", r.text, r.parent_turn, r.level, r.position) for r in alone.collect()) == [
+        (0, "", "", None, 0, 0), (2, "z", "x", None, 0, 0), (2, "z", "y", None, 0, 0)]
+
+
 # ── pipeline ────────────────────────────────────────────────────────────────
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline

@@ -4,7 +4,8 @@
 2. Words that look tampered with (letters mixed with look-alike signs, letters
    stretched, letters spaced out) become lattices: each sign offers the
    letters it may stand for, a stretched run offers one or two letters,
-   separators offer nothing.  Viterbi over the last two letters finds the path
+   separators and spaces offer nothing or a word break.  In tokens of more than
+   ``LONG`` characters (texts without spaces) each letter may begin a word.  Viterbi over the last two letters finds the path
    that channel costs and trigram model like best.
 3. Restored words give features (the word and its first 4, 5 and 6 letters).
    Document counts of features by label select those that speak for toxicity;
@@ -21,6 +22,7 @@ an empty table gives an empty table; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 
@@ -31,11 +33,11 @@ from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
 
-#: Labelled rows that the logistic weights are fitted on (a few numbers each), and features at most.
+#: Labelled rows that the logistic weights are fitted on (a few numbers each).
 FIT_ROWS = 30_000
-FEATURES = 20_000
-#: Documents of the toxic class that must have a feature.
-LEAST = 4
+#: Documents of the toxic class that must have a feature, and their least share of that class (it bounds the
+#: features by the length of a text, whatever the number of rows).
+LEAST, LEAST_SHARE = 4, 1 / 5000
 #: Log-likelihood ratio from which a feature is of use.
 RATIO = 1.5
 PREFIXES = (4, 5, 6)
@@ -57,6 +59,9 @@ N = len(LETTERS) + 1
 INDEX = {c: i for i, c in enumerate(LETTERS)}
 #: Channel costs (natural log): a look-alike, a dropped separator, a shortened run, a sign left as it is.
 COST_LOOK, COST_GAP, COST_SHORT, COST_KEEP = 1.0, 0.5, 0.5, 12.0
+#: A separator or space that is a word break, and a word break without any sign in a token of over LONG characters.
+COST_BREAK, COST_SPLIT = 1.5, 1.0
+LONG = 40
 
 _EDGE = re.compile(r"^[^\w@$€£¢|!+(]+|[^\w@$€£¢]+$|([#*$%&!.,])\1{2,}$")
 _RUN = re.compile(r"(.)\1\1")
@@ -104,28 +109,30 @@ class Restorer:
         self.costs = costs
         self.known: dict[str, tuple[str, ...]] = {}
 
-    def lattice(self, word: str) -> list[list[tuple[str, float]]]:
+    def lattice(self, word: str, split: bool = False) -> list[list[tuple[str, float]]]:
         """Per observed run of one sign: the strings it may stand for and their channel costs."""
         out = []
-        for m in re.finditer(r"(.)\1*", word):
+        for m in re.finditer(r"(.)\1*", word, re.DOTALL):
             c, n = m[1], m.end() - m.start()
+            gap = [(" ", COST_BREAK)] if not c.isalnum() else []
             if c in INDEX and c != " ":
-                out.append([(c * n, 0.0)] if n < 3 else [(c, COST_SHORT), (c + c, COST_SHORT)])
+                options = [(c * n, 0.0)] if n < 3 else [(c, COST_SHORT), (c + c, COST_SHORT)]
+                out.append(options + [(" " + x, cost + COST_SPLIT) for x, cost in options] if split else options)
             elif c in LOOKS:
                 options = [(x * k, COST_LOOK * n) for x in LOOKS[c] for k in ((1, 2) if n > 1 else (1,))]
-                out.append(options + [("", COST_KEEP)])
+                out.append(options + [("", COST_KEEP)] + (gap if c in BETWEEN else []))
             elif c in BETWEEN or c == " ":
-                out.append([("", COST_GAP)])
+                out.append([("", COST_GAP), *gap])
             else:
-                out.append([("", COST_KEEP)])
+                out.append([("", COST_KEEP), *gap])
         return out
 
-    def decode(self, word: str) -> str:
-        """The cheapest restored word."""
-        states = {(0, 0): (0.0, "")}
-        for options in [*self.lattice(word), [(" ", 0.0)]]:
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in states.items():
+    def decode(self, word: str, split: bool = False) -> str:
+        """The cheapest restored word or words; the time is linear in the length."""
+        states = {(0, 0): (0.0, None)}
+        for options in [*self.lattice(word, split), [(" ", 0.0)]]:
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in states.items():
                 for string, extra in options:
                     x, y, total = a, b, cost + extra
                     for c in string:
@@ -133,27 +140,29 @@ class Restorer:
                         total += float(self.costs[x, y, z])
                         x, y = y, z
                     if (x, y) not in new or total < new[x, y][0]:
-                        new[x, y] = (total, text + string)
+                        new[x, y] = (total, (path, string) if string else path)
             states = new
-        return min(states.values())[1].strip()
+        path, out = min(states.values(), key=lambda v: v[0])[1], []
+        while path:
+            path, string = path
+            out.append(string)
+        return "".join(reversed(out)).strip()
 
     def forms(self, word: str) -> tuple[str, ...]:
-        """The lower-case core of a word and, if it looks tampered with, its restored form."""
+        """The lower-case core of a word and, if it looks tampered with or is very long, its restored words."""
         core = _EDGE.sub("", word.lower())
-        if not core or len(core) > 40:
-            return (core[:40],) if core else ()
         plain = "".join(c for c in core if c.isalpha())
         if not plain:
             return ()
-        if (plain == core or not any(c in LOOKS or c in BETWEEN for c in core)) and not _RUN.search(core):
-            return (core,)
-        if sum(c.isdigit() for c in core) > len(plain) + 2:
-            return (core,)
-        back = self.decode(core)
-        return (core, back) if back and back != core else (core,)
+        if len(core) <= LONG:
+            if (plain == core or not any(c in LOOKS or c in BETWEEN for c in core)) and not _RUN.search(core):
+                return (core,)
+            if sum(c.isdigit() for c in core) > len(plain) + 2:
+                return (core,)
+        return tuple(dict.fromkeys((core, *self.decode(core, len(core) > LONG).split())))
 
     def words(self, text: str | None) -> set[str]:
-        """Distinct words of a text, restored forms included (spaced-out letters are read as one word)."""
+        """Distinct words of a text, restored forms included (spaced-out letters are read as words)."""
         if not text:
             return set()
         if len(self.known) > C.CACHE_WORDS // 2:
@@ -163,15 +172,17 @@ class Restorer:
             got = self.known.get(w)
             if got is None:
                 got = self.forms(w)
-                self.known[w] = got
+                if len(w) <= LONG:
+                    self.known[w] = got
             out.update(got)
         for m in _SPACED.finditer(text):
-            out.add(self.decode(m[0].lower()[:80]))
+            out.update(self.decode(m[0].lower()).split())
         return out
 
 
 def features(word: str) -> list[str]:
-    return ["=" + word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
+    whole = word if len(word) <= LONG else hashlib.sha1(word.encode("utf-8", "surrogatepass")).hexdigest()
+    return ["=" + whole, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
 def train_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -235,8 +246,8 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     if len(n) < 2:
         return {"costs": costs, "weights": {}, "bias": -30.0}
     ratio = F.log(((F.col("toxic") + 0.5) / (n[True] + 1)) / ((F.col("clean") + 0.5) / (n[False] + 1)))
-    use = (_count(rows, costs).filter((F.col("toxic") >= LEAST) & (ratio >= RATIO))
-           .orderBy((F.col("toxic") * ratio).desc(), "feature").limit(FEATURES).select("feature").toPandas()["feature"].tolist())
+    use = (_count(rows, costs).filter((F.col("toxic") >= max(LEAST, LEAST_SHARE * n[True])) & (ratio >= RATIO))
+           .orderBy((F.col("toxic") * ratio).desc(), "feature").select("feature").toPandas()["feature"].tolist())
     number = spark.sparkContext.broadcast({f: i for i, f in enumerate(use)})
 
     def run(batches):
@@ -275,7 +286,9 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
                     if f is None:
                         if len(known) > C.CACHE_WORDS // 2:
                             known.clear()
-                        f = known[w] = tuple(x for x in features(w) if x in value)
+                        f = tuple(x for x in features(w) if x in value)
+                        if len(w) <= LONG:
+                            known[w] = f
                     if f:
                         hit.update(f)
                 out.append(bias + sum(value[f] for f in sorted(hit)))

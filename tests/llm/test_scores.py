@@ -86,6 +86,29 @@ def test_toxicity_restores_and_learns(spark):
     assert toxicity.toxicity(cases.frame(spark, rows).limit(0), y).count() == 0
 
 
+def test_toxicity_reads_whole_tokens_and_runs(spark):
+    """Words late in long tokens and long spaced runs are seen; all features that pass the threshold are kept."""
+    rng = random.Random(4)
+    plain = lambda n: ["".join(rng.choice(["ba", "do", "ki", "lu", "ma", "ne"]) for _ in range(3)) for _ in range(n)]
+    rows, labels = [], []
+    for i in range(400):
+        w = plain(40)
+        if i % 4 == 0:
+            w[rng.randrange(40)] = rng.choice(["grobian", "stinker", "halunke", "schuft"])
+        rows.append((i, " ".join(w), "de", "s0", 1))
+        labels.append((i, 1, int(i % 4 == 0)))
+    w = [*plain(12), "halunke", *plain(12)]
+    late = [".".join(w), "_".join(w), "".join(w), "-".join(x.replace("u", "\u00fc") if x != "halunke" else "h@lunke" for x in w), " ".join(" ".join(w)[:500].replace(" ", "")),
+            "m" * 60 + ".stinker", "ba" * 300 + "/st1nker"]
+    rows += [(900 + k, "badoki " + t + " lumane", "de", "s0", 1) for k, t in enumerate(late)]
+    rows += [(950 + k, "badoki " + sep.join(plain(25)) + " lumane", "de", "s0", 1) for k, sep in enumerate([".", "_", "", "-"])]
+    y = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(cases.frame(spark, rows), y).collect()}
+    assert [got[900 + k] for k in range(len(late))] == [1] * len(late) and [got[950 + k] for k in range(4)] == [0] * 4
+    costs = np.ones((toxicity.N,) * 3, np.float32)
+    assert len(toxicity.Restorer(costs).decode("ab." * 20_000, True)) >= 40_000
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 

@@ -2,7 +2,8 @@
 
 Seeds are e-mail addresses, IP addresses, payment cards and phone numbers found
 by fixed patterns.  Every identifier-like token (it holds a digit or @) has a
-lexical pattern: the word before it and its shape.  Patterns and tokens form a
+lexical pattern: the word before it (its shape, if that is identifier-like
+too) and its own shape.  Patterns and tokens form a
 bipartite graph; rounds score a pattern by the mean score of its tokens and a
 token by its best pattern, from seeds at 1.  Patterns with a high score and
 several distinct seeds are accepted and give their kind to tokens that no seed
@@ -40,9 +41,10 @@ PATTERNS = {
 }
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # ─────────────────────────── END FIXED VALUES ───────────────────────────
-#: An identifier-like token, with the word before it if there is one.
-TOKEN = (r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]++)?"
-         r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
+#: An identifier-like token.
+TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+#: The last word of the text between two tokens.
+LAST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"
 KEY = ["doc_id", "th"]
 
 
@@ -66,14 +68,25 @@ def _valid() -> Column:
             .otherwise(n.between(9, 15)))
 
 
-def _places(rows: DataFrame, pattern: str) -> DataFrame:
-    """doc_id, th, m, start, end of the leftmost non-overlapping matches of a pattern."""
-    cut = F.arrays_zip(F.transform(F.split("text", pattern, -1), F.length).alias("gap"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"))
+def _shape(token: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.translate(token, "0123456789", "9999999999"), r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
+
+
+def _places(rows: DataFrame, pattern: str, context: bool = False) -> DataFrame:
+    """doc_id, th, m, start, end of the leftmost non-overlapping matches of a pattern; on demand ``left``: the word before."""
+    gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    parts = [F.transform(gaps, F.length).alias("gap"), found.alias("m")]
+    if context:
+        parts.append(F.transform(gaps, lambda g: F.regexp_extract(g, LAST_WORD, 1)).alias("left"))
+        # without a word between them, the match before is the word before
+        parts.append(F.concat(F.array(F.lit("")), found).alias("previous"))
+    left = [F.when(F.col("p.left") != "", F.lower("p.left")).otherwise(_shape(F.coalesce("p.previous", F.lit("")))).alias("left")] if context else []
+    cut = F.arrays_zip(*parts)
     each = rows.select(*KEY, "row", cut.alias("z")).filter(F.size("z") > 1).select(*KEY, "row", F.posexplode("z").alias("i", "p"))
     running = Window.partitionBy(*KEY, "row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return (each.select(*KEY, F.col("p.m").alias("m"),
+    return (each.select(*KEY, F.col("p.m").alias("m"), *left,
                         F.sum(F.col("p.gap") + F.coalesce(F.length("p.m"), F.lit(0))).over(running).alias("end"))
-            .filter(F.col("m").isNotNull()).select(*KEY, "m", (F.col("end") - F.length("m")).alias("start"), "end").distinct())
+            .filter(F.col("m").isNotNull()).select(*KEY, "m", *(["left"] if context else []), (F.col("end") - F.length("m")).alias("start"), "end").distinct())
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -93,15 +106,12 @@ def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, th, token, pattern, start, end of identifier-like tokens, outer punctuation taken off."""
     every = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
     every = every.withColumn("row", F.monotonically_increasing_id())
-    at = _places(every.filter(F.col("text").rlike("[0-9@]")), TOKEN)
-    raw = F.regexp_extract("m", r"([^\x20\x09-\x0D]++)$", 1)
+    at = _places(every.filter(F.col("text").rlike("[0-9@]")), TOKEN, True)
     core = F.regexp_replace(F.regexp_replace(F.col("raw"), r"^[\"'(\[{<]+", ""), r"[\"')\]}>.,;:!?]+$", "")
-    shape = F.regexp_replace(F.regexp_replace(F.translate("token", "0123456789", "9999999999"), r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
-    left = F.lower(F.trim(F.regexp_extract("m", r"^([^\x20\x09-\x0D]++)[\x20\x09-\x0D]", 1)))
     skipped = F.length("raw") - F.length(F.regexp_replace(F.col("raw"), r"^[\"'(\[{<]+", ""))
-    return (at.withColumn("raw", raw).withColumn("token", core).filter(F.length("token") > 3)
+    return (at.withColumnRenamed("m", "raw").withColumn("token", core).filter(F.length("token") > 3)
             .withColumn("start", F.col("end") - F.length("raw") + skipped).withColumn("end", F.col("start") + F.length("token"))
-            .select(*KEY, F.lower("token").alias("token"), F.concat_ws(" ", left, shape).alias("pattern"), "start", "end"))
+            .select(*KEY, F.lower("token").alias("token"), F.concat_ws(" ", "left", _shape(F.col("token"))).alias("pattern"), "start", "end"))
 
 
 def _seeded(found: DataFrame, spans: DataFrame) -> DataFrame:

@@ -191,6 +191,21 @@ def test_patterns_discover_what_no_rule_sees(spark):
     assert [tuple(r) for r in identifiers.accepted(seeded).collect()] == [("cue S", "email")]
 
 
+def test_tokens_that_follow_each_other(spark):
+    """Each entry of a list is a token; its context is the word before, or the shape of the entry before."""
+    texts = ["accounts AB-1234 AB-2345 \n AB-3456, AB-4567\tAB-5678", "9999 alone", "x " + "a" * 20000 + " id 77777 y 88888 99999", "call Me: a1@b.de"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = {}
+    for r in identifiers.tokens(cases.frame(spark, rows)).orderBy("start").collect():
+        assert texts[r.doc_id][r.start:r.end].lower() == r.token
+        found.setdefault(r.doc_id, []).append((r.token, r.pattern))
+    assert found == {0: [("ab-1234", "accounts A-9999"), *((f"ab-{n}", "A-9999 A-9999") for n in (2345, 3456)), ("ab-4567", "A-9999, A-9999"), ("ab-5678", "A-9999 A-9999")],
+                     1: [("9999", " 9999")], 2: [("77777", "id 99999"), ("88888", "y 99999"), ("99999", "99999 99999")], 3: [("a1@b.de", "me: a9@a.a")]}
+    rows = [(i, " ".join(["hosts", *(f"u{k}{i}@h{k}.example.org" for k in range(4)), "uß9@h1§example.org"]), "en", "s", 1) for i in range(6)]
+    got = identifiers.find_identifiers(cases.frame(spark, rows)).collect()
+    assert all(len(r.base) == 4 for r in got)
+
+
 # ── leaks ───────────────────────────────────────────────────────────────────
 def test_leaks(spark):
     rng = random.Random(8)

@@ -128,7 +128,7 @@ class Counter:
         self.pattern = regex.compile(PATTERN)
         self.unsafe = re.compile(C.UNSAFE)
         self.added = re.compile("|".join(map(re.escape, self.table.added))) if self.table.added else None
-        self.known: dict[str, int] = {}
+        self.known: dict[str | tuple[str], int] = {}
 
     def _learn(self, pieces: list[str], at_once: int = 50_000) -> list[int]:
         out: list[int] = []
@@ -143,12 +143,12 @@ class Counter:
     def _plain(self, texts: list[str]) -> list[int]:
         whole = [bool(self.unsafe.search(t)) for t in texts]
         split = [[] if w or not t else t.replace("\n", " \n").split(" ") for t, w in zip(texts, whole)]
-        # the first piece of a text has no space before it, so it is kept under its own mark
-        split = [["\r" + s[0], *s[1:]] if s else s for s in split]
+        # the first piece of a text has no space before it, so it is kept under a key of its own kind
+        split = [[(s[0],), *s[1:]] if s else s for s in split]
         if len(self.known) > C.CACHE_PIECES:
             self.known.clear()
         new = list(set().union(*split) - self.known.keys())
-        as_text = [p[1:] if p[:1] == "\r" else p if p[:1] == "\n" else " " + p for p in new]
+        as_text = [p[0] if isinstance(p, tuple) else p if p[:1] == "\n" else " " + p for p in new]
         self.known.update(zip(new, self._learn(as_text)))
         long = iter(self._learn([t for t, w in zip(texts, whole) if w]))
         return [next(long) if w else sum(map(self.known.__getitem__, s)) for s, w in zip(split, whole)]

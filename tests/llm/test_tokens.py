@@ -39,6 +39,14 @@ def test_pieces_and_counts_equal_the_library(tok):
         assert counter.count(texts) == [len(ids_of(tok, t)) for t in texts]
 
 
+def test_carriage_returns_count_like_the_library(tok):
+    counter, enc = token_counts.Counter(C.tokenizer_path()), C.Pieces(C.tokenizer_path())
+    texts = ["x \ry", "y", "y y", "x \r", "x\r y", "x\ry", "x \r\ny", "x\r\ny z", "\ry", "a \rb \rc\r d \n\re", "x \r<|endoftext|> \ry"]
+    for t in (texts, texts[::-1]):
+        assert counter.count(t) == [len(ids_of(tok, x)) for x in t]
+        assert [np.frombuffer(g, enc.dtype).tolist() for g in enc.encode(t)] == [ids_of(tok, x) for x in t]
+
+
 @pytest.mark.parametrize("odd", [False, True])
 def test_count_tokens(spark, tok, odd):
     rows = cases.documents()

@@ -10,7 +10,8 @@ source costs no more than its rows.
 
 Edge cases: null or empty text has zero statistics and fails the base rule;
 null lang or source is a group of its own; groups with fewer than ``LEAST``
-documents have no estimate, and the base rule alone decides; constant
+documents that pass the base rule take the estimate of their language, and
+languages with fewer that of the corpus, found by the same steps; constant
 statistics are held apart by ``FLOOR``; repeated rows count once each; an
 empty table gives an empty table; extra columns are ignored.
 """
@@ -132,11 +133,31 @@ def _moments(rows: DataFrame) -> DataFrame:
     return _whitening(rows.groupBy("grp").agg(*sums))
 
 
+def levels(rows: DataFrame) -> DataFrame:
+    """grp, used (whose estimate judges the group), member (the estimates that the group's rows belong to); stored."""
+    every = C.write_table(rows.groupBy("grp", F.coalesce("lang", F.lit("\u0000")).alias("language")).agg(F.sum((~F.col("base_failed")).cast("long")).alias("n")))
+    by_lang = every.groupBy("language").agg(F.sum("n").alias("n_lang"))
+    wide = F.concat(F.lit("\u0002"), "language")  # a key that no group has
+    used = every.join(by_lang, "language").select("grp", wide.alias("wide"), F.when(F.col("n") >= LEAST, F.col("grp")).when(
+        F.col("n_lang") >= LEAST, wide).otherwise(F.lit("\u0003")).alias("used"))
+    used = C.write_table(used)
+    asked = C.write_table(used.select(F.col("used").alias("key")).distinct())
+    member = used.select("grp", F.explode(F.array("grp", "wide", F.lit("\u0003"))).alias("key")).join(asked, "key").groupBy("grp").agg(F.collect_list("key").alias("member"))
+    return C.write_table(used.join(member, "grp", "left").select("grp", "used", "member"))
+
+
 def estimates(rows: DataFrame) -> DataFrame:
-    """grp -> mean, whitening matrix and scale of its minimum-covariance-determinant fit (one small row per group)."""
-    fit = rows.filter(~F.col("base_failed")).select("grp", *VECTOR)
-    middle = fit.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(v, 0.5, 10000).alias(f"m_{i}") for i, v in enumerate(VECTOR)])
-    middle = C.write_table(middle.filter(F.col("n") >= LEAST).drop("n"))
+    """grp -> mean, whitening matrix and scale of the minimum-covariance-determinant fit that judges it (one small row per group)."""
+    level = levels(rows)
+    fits = _fits(rows.filter(~F.col("base_failed")).select("grp", *VECTOR).join(C.sized_broadcast(level.select("grp", "member"), BROADCAST_GROUPS), "grp")
+                 .select(F.explode("member").alias("grp"), *VECTOR))
+    return C.write_table(level.select(F.col("grp").alias("own"), F.col("used").alias("grp")).join(fits, "grp").drop("grp").withColumnRenamed("own", "grp"))
+
+
+def _fits(fit: DataFrame) -> DataFrame:
+    """The fit of each ``grp``; rows may be members of several."""
+    middle = fit.groupBy("grp").agg(*[F.percentile_approx(v, 0.5, 10000).alias(f"m_{i}") for i, v in enumerate(VECTOR)])
+    middle = C.write_table(middle)
     spread = fit.join(C.sized_broadcast(middle, BROADCAST_GROUPS), "grp").groupBy("grp", *[f"m_{i}" for i in range(P)]).agg(
         *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m_{i}")), 0.5, 10000).alias(f"s_{i}") for i, v in enumerate(VECTOR)])
     start = spread.withColumns({f"c_{i}_{j}": (1.4826 * F.col(f"s_{i}")) ** 2 if i == j else F.lit(0.0) for i in range(P) for j in range(i + 1)})
@@ -151,7 +172,7 @@ def estimates(rows: DataFrame) -> DataFrame:
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (null: no estimate) and kept, for every row of ``docs``."""
+    """doc_id, the counts, base_failed, distance (null: no row of the corpus passes the base rule) and kept, for every row of ``docs``."""
     rows = with_vector(C.write_table(statistics(docs)))
     out = rows.join(C.sized_broadcast(estimates(rows), BROADCAST_GROUPS), "grp", "left").withColumn("distance", _distance() / F.col("scale"))
     fine = F.coalesce(F.col("distance") <= CUTOFF, F.lit(True)) & ~F.isnan(F.coalesce("distance", F.lit(0.0)))

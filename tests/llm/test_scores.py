@@ -44,6 +44,23 @@ def test_quality_counts_and_estimate(spark):
     assert quality.judge(cases.frame(spark, rows).limit(0)).count() == 0
 
 
+def test_quality_judges_small_groups(spark):
+    """Groups below LEAST take their language's estimate, small languages the corpus': the same outlier falls everywhere."""
+    rng = random.Random(6)
+    plain = lambda: " ".join(cases.words(rng, rng.randrange(80, 300)))
+    odd = lambda: " ".join(w + "***" for w in cases.words(rng, 150))
+    rows = [(i, plain(), "fr", "big", 1) for i in range(120)] + [(200 + i, plain(), "fr", f"tail{i}", 1) for i in range(6)]
+    rows += [(300 + i, plain(), lang, src, 1) for i, (lang, src) in enumerate([("it", "big"), ("it", None), (None, None), (None, "x")])]
+    bad = [("fr", "big"), ("fr", "tail0"), ("fr", "new"), ("it", "big"), ("it", "y"), (None, None), (None, "z")]
+    rows += [(400 + i, odd(), lang, src, 1) for i, (lang, src) in enumerate(bad)] + [(500, "short", "xx", "only", 1), (501, None, None, None, 1)]
+    got = {r.doc_id: r for r in quality.judge(cases.frame(spark, rows)).collect()}
+    assert len(got) == len(rows) and all(r.distance is not None for r in got.values())
+    assert all(r.kept == (i < 400) for i, r in got.items())
+    own = {r.doc_id: r.distance for r in quality.judge(cases.frame(spark, rows[:120])).collect()}  # a large group keeps its own fit
+    alone = {r.doc_id: r.distance for r in quality.judge(cases.frame(spark, [r for r in rows if r[2:4] == ("fr", "big") and r[0] < 400] + [r for r in rows if r[2] == "it"])).collect()}
+    assert all(abs(own[i] - alone[i]) < 1e-9 for i in own)
+
+
 def test_whitening_equals_the_inverse_covariance(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((300, quality.P)) @ rng.standard_normal((quality.P, quality.P))

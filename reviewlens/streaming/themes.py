@@ -1,14 +1,16 @@
 """Structured Streaming: incremental theme counts over landed review files.
 
 ``readStream`` of raw landing files -> typing/strip (the batch normaliser's
-row-wise steps) -> event time -> ``withWatermark`` ->
-``dropDuplicatesWithinWatermark(app_id, review_id)`` (the source never
-de-duplicates; re-landed files should not double count).  The watermark bounds
-the de-duplication state only: counts are not held back until a window closes.
-``foreachBatch`` adds up each micro-batch's de-duplicated rows per (app,
-window, theme) and writes them under the batch's number, replacing that
-partition when a batch is replayed.  Readers sum the partial counts, so windows
-that are still open are complete up to the last batch.
+row-wise steps) -> event time -> ``foreachBatch``, which de-duplicates by
+(app_id, review_id) (the source never does; re-landed files should not double
+count).  The ids of counted reviews are stored beside the facts under the
+batch's number, and each micro-batch leaves out what earlier batches counted, so
+a review counts once however late it lands or lands again.  No row is dropped
+for its age; rows without a review_id cannot be told to be repeated and count.
+The rest is added up per (app, window, theme) and written under the batch's
+number, replacing that partition when a batch is replayed.  Readers sum the
+partial counts, so windows that are still open are complete up to the last
+batch.
 
 Windows are calendar units of the UTC-naive review date, so no session setting
 matters.  On a cluster, choose the RocksDB state store in the session's
@@ -22,6 +24,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +36,17 @@ from reviewlens.sources.ingest import usable
 
 WINDOW = "day"
 WATERMARK = "2 days"
+KEY = ["app_id", "review_id"]
+SEEN = "app_id string, review_id string"
 
 
 def stream_reviews(raw_stream: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """Row-wise normalisation + event-time watermark + in-watermark dedup."""
+    """Row-wise normalisation + event-time watermark (no row is dropped by it here)."""
     df = usable(raw_stream)
     df = df.withColumn("review_text", strip_ws(F.coalesce(F.col("review_text"), F.lit("")))).where(
         F.col("review_text") != "")
     df = df.withColumn("event_time", F.col("date").cast("timestamp"))
-    return df.withWatermark("event_time", watermark).dropDuplicatesWithinWatermark(["app_id", "review_id"])
+    return df.withWatermark("event_time", watermark)
 
 
 def windowed_theme_counts(reviews: DataFrame, window: str = WINDOW) -> DataFrame:
@@ -53,12 +58,34 @@ def windowed_theme_counts(reviews: DataFrame, window: str = WINDOW) -> DataFrame
     return counts.select("app_id", iso_ts("w").alias("window_start"), iso_ts(end).alias("window_end"), "theme", "mentions")
 
 
+def _seen(out: str) -> str:
+    return f"{out.rstrip('/')}_seen"
+
+
+def uncounted(batch: DataFrame, batch_id: int, out: str) -> DataFrame:
+    """One row per review of the batch that no earlier batch has counted."""
+    known = F.col("review_id").isNotNull()
+    rows = batch.where(known).dropDuplicates(KEY)
+    try:
+        seen = batch.sparkSession.read.schema(f"{SEEN}, batch_id long").parquet(_seen(out)).where(F.col("batch_id") < batch_id)
+        rows = rows.join(seen.select(*KEY), KEY, "left_anti").select(*batch.columns)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":  # the first batch has none before it
+            raise
+    return rows.unionByName(batch.where(~known))
+
+
 def write_facts(out: str, window: str = WINDOW):
-    """foreachBatch sink: the partial counts of a micro-batch under its number.
-    A replayed batch replaces its own partition, so nothing is counted twice."""
+    """foreachBatch sink: the partial counts of a micro-batch, and the reviews they cover, under its number.
+    A replayed batch replaces its own partitions, so nothing is counted twice."""
     def _write(batch: DataFrame, batch_id: int) -> None:
-        (windowed_theme_counts(batch, window).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(out))
+        def put(df: DataFrame, path: str) -> None:
+            (df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path))
+        rows = uncounted(batch, batch_id, out).persist()
+        put(windowed_theme_counts(rows, window), out)
+        put(rows.where(F.col("review_id").isNotNull()).select(*KEY), _seen(out))
+        rows.unpersist()
     return _write
 
 

@@ -243,6 +243,23 @@ def test_streamed_facts_hold_open_windows(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_streamed_facts_hold_late_reviews_once(spark, tmp_path):
+    """A backfill that lands after newer days counts in full, and a file that lands again adds nothing."""
+    from reviewlens.operators.tagging import tag_complaints
+    from reviewlens.sources import fixture as FXm
+    from reviewlens.streaming import themes as ST
+    landing, out, ckpt = (str(tmp_path / x) for x in ("landing", "facts", "ckpt"))
+    raw = FXm.raw_reviews(spark, "/root/testdata/sf0.001").orderBy("at")
+    old = raw.limit(300)
+    for part in (raw.exceptAll(old), old, raw):  # the newest first
+        part.write.mode("append").parquet(landing)
+        ST.run_available_now(spark, landing, out, ckpt)
+    tagged = tag_complaints(IN.normalise_reviews(raw))
+    want = tagged.select("app_id", F.explode("complaint_categories").alias("theme")).groupBy("app_id", "theme").count()
+    got = ST.read_facts(spark, out).groupBy("app_id", "theme").agg(F.sum("mentions").alias("count"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 @pytest.mark.parametrize("zone", ["America/New_York", "UTC"])
 def test_dirty_ingest_never_raises(spark, zone):
     """Every bad value lands in the quarantine with a reason; good times are UTC in any session zone."""

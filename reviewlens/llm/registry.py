@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens.llm import common as C
-from reviewlens.llm import fragment_join, identifiers, leaks, packing, phrases, quality, quotes, sequence_files, token_counts, toxicity
+from reviewlens.llm import alignment, fragment_join, identifiers, leaks, packing, phrases, quality, quotes, sequence_files, spelling
+from reviewlens.llm import token_counts, toxicity, url_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -81,6 +82,23 @@ def q_token_counts(spark, d):
     return token_counts.count_tokens(C.documents(spark, d), C.tokenizer_path())
 
 
+@query("op11_url_rules")
+def q_url_rules(spark, d):
+    pages = spark.read.parquet(f"{d}/pages.parquet").select("page_id", "url")
+    rules = spark.createDataFrame(url_rules.FIXED_RULES, "host string, path string, verdict string")
+    return url_rules.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op12_run_alignment")
+def q_run_alignment(spark, d):
+    return alignment.align_documents(C.documents(spark, d), C.tokenizer_path(), C.tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op13_spelling_variants")
+def q_spelling(spark, d):
+    return spelling.variants(C.documents(spark, d))
+
+
 # ── SQL of the queries that have a SQL form ─────────────────────────────────
 _WORDS = r"list_filter(regexp_split_to_array(coalesce({text}, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
@@ -109,3 +127,14 @@ kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM word ANTI JOIN g
 n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(d.w) AS n_words, coalesce(n.n, 0) AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+SQL["op11_url_rules"] = r"""
+WITH u AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+hit AS (
+  SELECT host, path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+  FROM (SELECT DISTINCT host, path FROM u) JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM u LEFT JOIN hit USING (host, path)"""

@@ -159,10 +159,10 @@ def _by_join(d: DataFrame, rules: DataFrame) -> DataFrame:
     lengths = sorted(x[0] for x in r.select(F.length("__cut")).distinct().collect())  # at most the longest segment
     urls = d.select("host", "path").distinct()
     labels, segments = F.split("host", r"\.", -1), F.split("path", "/", -1)
-    suffixes = F.array_append(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.substring_index("host", ".", -k)), F.lit(""))
+    suffixes = F.array_append(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.call_function("substring_index", F.col("host"), F.lit("."), -k)), F.lit(""))
     keys = urls.withColumn("__host", F.explode(F.array_distinct(suffixes)))
     keys = keys.select("*", F.posexplode(segments).alias("__k", "__segment"))
-    keys = keys.withColumn("__dir", F.when(F.col("__k") == 0, "").otherwise(F.concat(F.substring_index("path", "/", F.col("__k")), F.lit("/"))))
+    keys = keys.withColumn("__dir", F.when(F.col("__k") == 0, "").otherwise(F.concat(F.call_function("substring_index", F.col("path"), F.lit("/"), F.col("__k")), F.lit("/"))))
     keys = keys.withColumn("__n", F.explode(F.array(*[F.lit(n) for n in lengths]) if lengths else F.array().cast("array<int>")))
     keys = keys.where(F.col("__n") <= F.length("__segment")).withColumn("__cut", F.left("__segment", F.col("__n")))
     fits = keys.join(r, ["__host", "__dir", "__cut"])

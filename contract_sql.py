@@ -560,7 +560,8 @@ def _explorer(pred: str, chips: list[str], search: str | None, extra_ctes: tuple
     search_pred = f"regexp_matches(r.review_text, {_lit(search)}, 'i')" if search else "TRUE"
     return w(CKW, CTAG, *extra_ctes) + f""",
 th2 AS (SELECT app_id, review_id, string_agg(theme, ', ' ORDER BY ord) AS themes FROM ctag GROUP BY app_id, review_id)
-SELECT r.app_id, {_iso_date('r.date')} AS "Date", r.rating AS "Rating", coalesce(th2.themes, '—') AS "Theme",
+SELECT r.app_id, row_number() OVER (PARTITION BY r.app_id ORDER BY r.date DESC, r.review_id) AS rank, r.review_id,
+       {_iso_ts('r.date')} AS "time", {_iso_date('r.date')} AS "Date", r.rating AS "Rating", coalesce(th2.themes, '—') AS "Theme",
        r.review_text AS "Review"
 FROM reviews r LEFT JOIN th2 USING (app_id, review_id)
 WHERE {pred} AND {chip_pred} AND {search_pred}"""
@@ -572,7 +573,8 @@ SQL["export_filtered"] = _explorer(
 
 SQL["export_all"] = w(CKW, CTAG, ENR) + f""",
 th2 AS (SELECT app_id, review_id, string_agg(theme, ', ' ORDER BY ord) AS themes FROM ctag GROUP BY app_id, review_id)
-SELECT e.app_id, {_iso_date('e.date')} AS date, e.rating, e.sentiment_label,
+SELECT e.app_id, row_number() OVER (PARTITION BY e.app_id ORDER BY e.date DESC, e.review_id) AS rank, e.review_id,
+       {_iso_date('e.date')} AS date, e.rating, e.sentiment_label,
        coalesce(th2.themes, '') AS complaint_categories, e.review_text
 FROM enr e LEFT JOIN th2 USING (app_id, review_id)"""
 
@@ -643,6 +645,28 @@ SELECT app_id, count(*) AS reviews, CAST(sum(CAST(round_even(sentiment_score * 1
        {_iso_date("date_trunc('day', date)")} AS period
 FROM enr GROUP BY app_id, date_trunc('day', date)"""
 
+
+
+def _filled_trend(unit: str, where: str, *ctes: str) -> str:
+    return w(*ctes, ENR) + f""",
+agg AS (
+  SELECT app_id, CAST(date_trunc('{unit}', date) AS DATE) AS b, count(*) AS reviews,
+         CAST(sum(CAST(round_even(sentiment_score * 1000, 0) AS BIGINT)) AS BIGINT) / count(*) / 1000.0 AS avg_sentiment,
+         count(*) FILTER (WHERE sentiment_label = 'Positive') AS n_positive,
+         count(*) FILTER (WHERE sentiment_label = 'Negative') AS n_negative, round_even(avg(rating), 2) AS avg_rating
+  FROM enr WHERE {where} GROUP BY ALL),
+cal AS (SELECT app_id, CAST(unnest(generate_series(min(b), max(b), INTERVAL 1 {unit})) AS DATE) AS b FROM agg GROUP BY app_id)
+SELECT cal.app_id, coalesce(reviews, 0) AS reviews, avg_sentiment, coalesce(n_positive, 0) AS n_positive,
+       coalesce(n_negative, 0) AS n_negative, avg_rating, {_iso_date('cal.b')} AS period
+FROM cal LEFT JOIN agg USING (app_id, b)"""
+
+
+SQL["sentiment_trend_week"] = _filled_trend("week", "TRUE")
+SQL["sentiment_trend_month"] = _filled_trend("month", "TRUE")
+SQL["sentiment_trend_filled"] = _filled_trend(
+    "day", f"day(date) % 3 <> 0 AND EXISTS (SELECT 1 FROM ctag t WHERE t.app_id = enr.app_id AND t.review_id = enr.review_id "
+    f"AND t.theme IN {_in_list(tx.THEME_CHIPS['Login'])})", CKW, CTAG)
+
 SQL["review_table"] = w(ENR) + f"""
 SELECT app_id, review_id, {_iso_date('date')} AS date, rating, sentiment_score, sentiment_label, review_text FROM enr"""
 
@@ -697,3 +721,14 @@ SELECT app_id,
        CASE WHEN shape = 3 THEN NULL ELSE array_to_string(tops, '; ') END AS top_complaints,
        CASE WHEN shape = 3 THEN NULL WHEN shape = 2 THEN '' ELSE array_to_string(loved, '; ') END AS loved_features
 FROM rep"""
+
+SQL["enriched_store"] = w(CKW, CTAG, ENR, PKW, FKW, REQ) + f""",
+cc AS (SELECT app_id, review_id, string_agg(theme, ', ' ORDER BY ord) AS c FROM ctag GROUP BY ALL),
+pp AS (SELECT app_id, review_id, string_agg(theme, ', ' ORDER BY ord) AS p FROM ({_kw_tag('reviews', 'pkw')}) GROUP BY ALL),
+ff AS (SELECT app_id, review_id, string_agg(theme, ', ' ORDER BY ord) AS f FROM ({_kw_tag('reviews', 'fkw')}) GROUP BY ALL)
+SELECT e.app_id, e.review_id, {_iso_ts('e.date')} AS date, e.rating, e.thumbs_up, e.sentiment_score, e.sentiment_label,
+       coalesce(c, '') AS complaint_categories, coalesce(p, '') AS praise_categories, coalesce(f, '') AS feature_categories,
+       EXISTS (SELECT 1 FROM req q WHERE contains(lower(e.review_text), q.kw)) AS is_request
+FROM enr e LEFT JOIN cc USING (app_id, review_id) LEFT JOIN pp USING (app_id, review_id) LEFT JOIN ff USING (app_id, review_id)"""
+
+SQL["recent_slice_stored"] = SQL["recent_slice"]

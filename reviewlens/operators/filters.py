@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
-from reviewlens.operators.tagging import flag_expr, tag_expr
+from reviewlens.operators.tagging import requests_of, tag_expr
 from reviewlens.operators.topk import explode_tags
 
 BUCKETS = {"Negative": (1, 2), "Mixed": (3,), "Positive": (4, 5)}
@@ -32,7 +32,7 @@ def filter_rating_bucket(df: DataFrame, chip: str = "All Reviews") -> DataFrame:
 
 
 def filter_requests(df: DataFrame) -> DataFrame:
-    return df.where(F.col("rating").isin(4, 5) & flag_expr("review_text", tx.REQUEST_SIGNALS))
+    return df.where(F.col("rating").isin(4, 5) & requests_of(df))
 
 
 def chip_groups(chips: Sequence[str]) -> list[str]:
@@ -54,6 +54,21 @@ def apply_chips(df: DataFrame, primary: str = "All Reviews", chips: Sequence[str
     return filter_theme_chips(filter_rating_bucket(df, primary), chips)
 
 
+def in_chips(primary: str, chips: Sequence[str], df: DataFrame, tag_col: str = "complaint_categories") -> Column:
+    """The rows that ``apply_chips`` keeps, as a condition."""
+    if primary == "Requests":
+        kept = F.col("rating").isin(*BUCKETS["Positive"]) & requests_of(df)
+    elif primary == "All Reviews":
+        kept = F.lit(True)
+    elif primary in BUCKETS:
+        kept = F.col("rating").isin(*BUCKETS[primary])
+    else:
+        raise ValueError(f"unknown rating chip {primary!r}; expected one of {tx.PRIMARY_CHIPS}")
+    if chips:
+        kept = kept & F.arrays_overlap(F.col(tag_col), F.array(*[F.lit(g) for g in chip_groups(chips)]))
+    return F.coalesce(kept, F.lit(False))
+
+
 def filter_stars(df: DataFrame, stars: Sequence[int]) -> DataFrame:
     return df.where(F.col("rating").isin(*stars))
 

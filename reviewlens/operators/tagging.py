@@ -8,10 +8,12 @@ results, fewer ``contains``).  Single flags (request language) compile to one
 literal-quoted regex alternation, which keeps filters small enough for
 whole-stage codegen.
 
-Table form (``tag_by_table``): for large, data-driven taxonomies.  A keyword
-table whose size is checked to be small is broadcast into a nested-loop
-``contains`` join; above the bound, an exact trigram equi-join (shuffle on
-the trigram) runs instead, so nothing unbounded is ever broadcast.
+Stored form (``tags_of``, ``requests_of``): a table that already carries the
+tag columns (``plans.store``) is read as it is, and nothing is matched again.
+
+Table form (``tag_by_table``): for large, data-driven taxonomies, an exact
+equi-join on each keyword's rarest trigram at every size; frequent trigrams
+are split over salts, so no task gets all texts that share one.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
 from reviewlens.functions.text import text_key
+from reviewlens.session import write_table
 
 
 def sql_str(s: str) -> str:
@@ -90,6 +93,26 @@ def ordinal_expr(group: str, taxonomy: Mapping[str, Sequence[str]]) -> Column:
     return F.expr(f"CASE `{group}` {whens} END")
 
 
+#: Taxonomy and stored column of each kind of tag.
+KINDS = {
+    "complaint": (tx.COMPLAINT_GROUPS, "complaint_categories"),
+    "praise": (tx.PRAISE_GROUPS, "praise_categories"),
+    "feature": (tx.FEATURE_THEMES, "feature_categories"),
+}
+REQUEST_COL = "is_request"
+
+
+def tags_of(df: DataFrame, kind: str, text_col: str = "review_text") -> Column:
+    """Tags of a kind: the stored column where the table has it, else matched."""
+    taxonomy, stored = KINDS[kind]
+    return F.col(stored) if stored in df.columns else tag_expr(text_col, taxonomy)
+
+
+def requests_of(df: DataFrame, text_col: str = "review_text") -> Column:
+    """Request language: the stored flag where the table has it, else matched."""
+    return F.col(REQUEST_COL) if REQUEST_COL in df.columns else flag_expr(text_col, tx.REQUEST_SIGNALS)
+
+
 def tag_complaints(df: DataFrame, text_col: str = "review_text", out: str = "complaint_categories") -> DataFrame:
     return df.withColumn(out, tag_expr(text_col, tx.COMPLAINT_GROUPS))
 
@@ -115,27 +138,69 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)))
 
 
-def tag_by_table(df: DataFrame, keywords: DataFrame, id_cols: Sequence[str], text_col: str = "text") -> DataFrame:
+#: Chosen trigrams that are looked for inside each row; more meet the texts by a shuffle.
+IN_ROW = 2_000
+#: Keyword trigrams that may be broadcast to filter the texts' trigrams (about 40 bytes each).
+BROADCAST_GRAMS = 1_000_000
+#: Texts that share a trigram and meet its keywords in one task.
+HEAVY_TEXTS = 500_000
+
+
+def tag_by_table(df: DataFrame, keywords: DataFrame, id_cols: Sequence[str], text_col: str = "text", in_row: int = IN_ROW,
+                 heavy_texts: int = HEAVY_TEXTS) -> DataFrame:
     """Distinct (id..., group, ordinal) for every keyword found in the text.
 
     ``keywords`` has columns (group, ordinal, keyword) and may be of any size.
-    A keyword can only occur in a text that has all its trigrams, so texts and
-    keywords meet by an equi-join on each keyword's rarest trigram (shorter
-    keywords are their own gram) and the hits are verified with ``contains``.
-    Nothing is broadcast by hand; a frequent trigram is a skewed join key, which
-    AQE splits.  Rows are matched by a hash of id and text, so null ids stay;
-    two rows of one hash could only add verified hits.
+    A keyword can only occur in a text that has all its trigrams, so it is looked
+    for where its rarest trigram is (shorter keywords are their own gram), and
+    the hits are verified with ``contains``.  Counted are only trigrams that some
+    keyword has.
+
+    Up to ``in_row`` chosen trigrams are intersected with each row's own, and the
+    few that are left meet the keywords, a broadcast of counted size: the texts
+    are never shuffled.  Beyond, texts and keywords meet by an equi-join on the
+    trigram: only chosen trigrams leave the scan, and one that is in more than
+    ``heavy_texts`` texts is split over salts, its keywords repeated for each.
+    Rows are matched by a hash of id and text, so null ids stay; two rows of one
+    hash could only add verified hits.
     """
     kw = keywords.select("group", "ordinal", F.lower("keyword").alias("keyword")).where(F.length("keyword") > 0).distinct()
-    texts = df.select(*id_cols, text_key(text_col).alias("_t")).withColumn("_row", F.xxhash64(*id_cols, "_t"))
+    texts = df.select(*id_cols, text_key(text_col).alias("_t"))
     sizes = sorted({min(r[0], GRAM) for r in kw.select(F.length("keyword")).distinct().collect()})
     if not sizes:
         return df.limit(0).select(*id_cols).join(kw.select("group", "ordinal").limit(0), F.lit(False))
-    grams = texts.select("_row", F.explode(F.concat(*[_grams(F.col("_t"), n) for n in sizes])).alias("_g"))
-    freq = grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    of_text = F.concat(*[_grams(F.col("_t"), n) for n in sizes])
     own = F.when(F.length("keyword") < GRAM, F.array("keyword")).otherwise(_grams(F.col("keyword"), GRAM))
-    rarest = (kw.withColumn("_g", F.explode(own)).join(freq, "_g", "left")
-              .groupBy("group", "ordinal", "keyword").agg(F.min_by("_g", F.struct(F.coalesce("_n", F.lit(0)), "_g")).alias("_g")))
-    hits = grams.join(rarest, "_g").select("_row", "group", "ordinal", "keyword")
-    found = texts.join(hits, "_row").where(F.col("_t").contains(F.col("keyword")))
+    possible = write_table(kw.withColumn("_g", F.explode(own)))
+    chosen = write_table(_rarest(texts.select(F.explode(of_text).alias("_g")), possible))
+    n_grams, n_chosen = chosen.agg(F.count_distinct("_g"), F.count(F.lit(1))).first()
+    if n_grams <= in_row and n_chosen <= BROADCAST_GRAMS:
+        wanted = F.array(*[F.lit(r[0]) for r in chosen.select("_g").distinct().collect()])
+        rows = texts.withColumn("_g", F.explode_outer(F.array_intersect(of_text, wanted))).where(F.col("_g").isNotNull())
+        found = rows.join(F.broadcast(chosen), "_g").where(F.col("_t").contains(F.col("keyword")))
+    else:
+        found = _by_salted_grams(texts.withColumn("_row", F.xxhash64(*id_cols, "_t")), of_text, chosen, heavy_texts)
     return found.select(*id_cols, "group", "ordinal").distinct()
+
+
+def _few(grams: DataFrame) -> DataFrame:
+    return F.broadcast(grams) if grams.count() <= BROADCAST_GRAMS else grams
+
+
+def _rarest(grams: DataFrame, possible: DataFrame) -> DataFrame:
+    """group, ordinal, keyword, its rarest trigram _g and the number _n of texts that hold it."""
+    wanted = write_table(possible.select("_g").distinct())
+    freq = grams.join(_few(wanted), "_g", "left_semi").groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+    every = possible.join(freq, "_g", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    best = F.min(F.struct("_n", "_g")).alias("_best")
+    return every.groupBy("group", "ordinal", "keyword").agg(best).select("group", "ordinal", "keyword", "_best._g", "_best._n")
+
+
+def _by_salted_grams(texts: DataFrame, of_text: Column, chosen: DataFrame, heavy_texts: int) -> DataFrame:
+    salts = F.ceil(F.greatest(F.col("_n"), F.lit(1)) / F.lit(heavy_texts)).cast("int")
+    grams = write_table(chosen.groupBy("_g").agg(F.max(salts).alias("_salts")))
+    rows = texts.select("_row", F.explode(of_text).alias("_g")).join(_few(grams), "_g")
+    rows = rows.select("_row", "_g", F.pmod(F.xxhash64("_row"), F.col("_salts")).cast("int").alias("_s"))
+    kw = chosen.select("group", "ordinal", "keyword", "_g", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_s"))
+    hits = rows.join(kw, ["_g", "_s"]).select("_row", "group", "ordinal", "keyword")
+    return texts.join(hits, "_row").where(F.col("_t").contains(F.col("keyword")))

@@ -12,15 +12,15 @@ inferred ``size(...) > 0`` filter (which would run keyword matching twice).
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
-from reviewlens.functions.text import days_between, ntz_literal, pct
+from reviewlens.functions.text import days_between, ntz_literal, pct, truncate
 from reviewlens.operators.recent import ALL, keyed, unkeyed
-from reviewlens.operators.tagging import flag_expr, ordinal_expr, tag_expr
+from reviewlens.operators.tagging import KINDS, ordinal_expr, requests_of, tag_expr, tags_of
 from reviewlens.session import write_table
 
 LOW = (1, 2)
@@ -166,12 +166,9 @@ def top_negative_phrases(reviews: DataFrame, by: Sequence[str] = ("app_id",), to
 
 
 # ── F5 / F6 shared ──────────────────────────────────────────────────────────
-def _tagged_counts(rows: DataFrame, keys: list[str], taxonomy: Mapping[str, Sequence[str]], label: str,
-                   min_count: int, top_n: int) -> DataFrame:
-    tagged = rows.select(
-        *keys, "review_id", "date", "thumbs_up", "review_text",
-        F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), tag_expr("review_text", taxonomy))).alias(label),
-    )
+def _tagged_counts(rows: DataFrame, keys: list[str], kind: str, label: str, min_count: int, top_n: int) -> DataFrame:
+    taxonomy, tags = KINDS[kind][0], tags_of(rows, kind)
+    tagged = rows.select(*keys, _explode_with_total(tags).alias(label))
     agg = tagged.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("count"))
     w = Window.partitionBy(*keys)
     agg = agg.withColumn("_total", F.max(F.when(F.col(label).isNull(), F.col("count"))).over(w)).where(
@@ -186,7 +183,7 @@ def praised_strengths(reviews: DataFrame, by: Sequence[str] = ("app_id",), min_c
     """Praise themes in 4-5 star reviews: count, pct of positive reviews."""
     d, keys = keyed(reviews, by)
     high = d.where(F.col("rating").isin(*HIGH))
-    out = _tagged_counts(high, keys, tx.PRAISE_GROUPS, "theme", min_count, top_n)
+    out = _tagged_counts(high, keys, "praise", "theme", min_count, top_n)
     out = out.select(*keys, "theme", "count", F.bround(F.lit(100.0) * F.col("count") / F.greatest("_total", F.lit(1)), 1)
                      .alias("pct_of_positive"), "rank")
     return unkeyed(out, by)
@@ -196,8 +193,8 @@ def product_opportunities(reviews: DataFrame, by: Sequence[str] = ("app_id",), m
                           top_n: int = 6) -> DataFrame:
     """Feature themes among 4-5 star reviews that use request language."""
     d, keys = keyed(reviews, by)
-    req = d.where(F.col("rating").isin(*HIGH) & flag_expr("review_text", tx.REQUEST_SIGNALS))
-    out = _tagged_counts(req, keys, tx.FEATURE_THEMES, "request", min_count, top_n)
+    req = d.where(F.col("rating").isin(*HIGH) & requests_of(d))
+    out = _tagged_counts(req, keys, "feature", "request", min_count, top_n)
     return unkeyed(out.select(*keys, "request", "count", "rank"), by)
 
 
@@ -215,3 +212,50 @@ def mixed_areas(enriched: DataFrame, by: Sequence[str] = ("app_id",), min_each:
         (F.col("low_count") + F.col("high_count")).desc(), ordinal_expr("area", tx.COMPLAINT_GROUPS)
     )
     return unkeyed(d.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= top_n), by)
+
+
+# ── one pass over several taxonomies ────────────────────────────────────────
+def mark_facts(df: DataFrame, by: Sequence[str], kinds: Sequence[str], sample_cut: int | None = None) -> DataFrame:
+    """Per (keys, kind, theme) measures of several taxonomies from one scan; the null kind
+    carries the group's totals.
+
+    mentions (any rating), recent_mentions, recent_rating_sum, high_count (4-5
+    stars), request_count (4-5 stars that use request language).  With
+    ``sample_cut`` also high_sample and request_sample: the most-liked review of
+    those rows, cut (order: likes, newest, id).
+    """
+    d, keys = keyed(df, by)
+    none = F.struct(F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("theme"))
+    marked = lambda k: F.transform(tags_of(d, k), lambda t: F.struct(F.lit(k).alias("kind"), t.alias("theme")))
+    marks = F.concat(F.array(none), *map(marked, kinds))
+    high = F.col("rating").isin(*HIGH)
+    recent = F.col("is_recent") if "is_recent" in df.columns else F.lit(False)
+    cols = [*keys, F.col("rating"), recent.alias("_r"), high.alias("_high"), (high & requests_of(d)).alias("_request")]
+    if sample_cut is not None:
+        cols += [truncate("review_text", sample_cut).alias("_text"),
+                 F.struct(F.col("thumbs_up").isNull().alias("a"), (-F.col("thumbs_up")).alias("b"),
+                          F.timestamp_diff("MICROSECOND", F.col("date"), F.lit("9999-12-31").cast("timestamp_ntz")).alias("c"),
+                          F.col("review_id").alias("d")).alias("_order")]
+    rows = d.select(*cols, F.explode_outer(marks).alias("_m")).select("*", "_m.kind", "_m.theme").drop("_m")
+    aggs = [F.count(F.lit(1)).alias("mentions"), F.count_if("_r").alias("recent_mentions"), F.sum(F.when(F.col("_r"), F.col("rating"))).alias("recent_rating_sum"),
+            F.count_if("_high").alias("high_count"), F.count_if("_request").alias("request_count")]
+    if sample_cut is not None:
+        aggs += [F.min_by("_text", F.when(F.col(c), F.col("_order"))).alias(name)
+                 for c, name in (("_high", "high_sample"), ("_request", "request_sample"))]
+    return rows.groupBy(*keys, "kind", "theme").agg(*aggs)
+
+
+def library_facts(flagged: DataFrame, by: Sequence[str], in_scope: Column, tag_col: str = "complaint_categories") -> DataFrame:
+    """Per (keys, theme) of the rows in scope: mentions, n, rating_sum, and is_rising judged on
+    all rows; one conditional aggregate for both scopes."""
+    d, keys = keyed(flagged, by)
+    rows = d.select(*keys, "rating", F.col("is_recent").alias("_r"), in_scope.alias("_s"), _explode_with_total(F.col(tag_col)).alias("theme"))
+    agg = rows.groupBy(*keys, "theme").agg(
+        F.count(F.lit(1)).alias("_all"), F.count_if("_r").alias("_recent"), F.count_if("_s").alias("mentions"),
+        F.sum(F.when(F.col("_s"), F.col("rating"))).alias("rating_sum"))
+    w = Window.partitionBy(*keys)
+    total = lambda c: F.max(F.when(F.col("theme").isNull(), F.col(c))).over(w)
+    agg = agg.select("*", total("_all").alias("_n_all"), total("_recent").alias("_n_recent"), total("mentions").alias("n"))
+    rising = F.when(F.col("_recent") > 0, pct("_recent", "_n_recent")).otherwise(F.lit(0.0)) - pct("_all", "_n_all")
+    out = agg.where(F.col("theme").isNotNull() & (F.col("mentions") > 0))
+    return unkeyed(out.select(*keys, "theme", "mentions", "n", "rating_sum", (F.bround(rising, 1) > 0).alias("is_rising")), by)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from reviewlens import taxonomy as tx
 from reviewlens.functions.text import truncate
 from reviewlens.operators.recent import keyed, unkeyed
-from reviewlens.operators.tagging import flag_expr, tag_expr
+from reviewlens.operators.tagging import requests_of, tags_of
+from reviewlens.session import write_table
 
 def newest() -> list[Column]:
     return [F.col("date").desc(), F.col("review_id").asc()]
@@ -47,6 +48,33 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, r
     )
 
 
+#: Winners of a top-k whose texts are looked up with a broadcast (about 100 bytes each).
+BROADCAST_WINNERS = 500_000
+TEXT_KEY = ["_h1", "_h2"]
+
+
+def text_keys(df: DataFrame, keys: Sequence[str], text_col: str = "review_text") -> DataFrame:
+    """Two hashes (96 bits) of a row's group, id, date and text, by which its text is found again."""
+    cols = [*keys, "review_id", "date", text_col]
+    return df.withColumns({"_h1": F.xxhash64(*cols), "_h2": F.hash(*cols)})
+
+
+def top_k_with_text(rows: DataFrame, texts: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+                    text_col: str = "review_text") -> DataFrame:
+    """``top_k`` of narrow rows that carry ``text_keys``, then the texts of the winners from ``texts``.
+
+    Only keys, order columns and hashes are sorted and shuffled.  The winners, at
+    most k a group, are stored; their texts come from a second scan, which a
+    broadcast of the winners' hashes filters while they are few enough.
+    """
+    top = write_table(top_k(rows, keys, order, k))
+    wanted = top.select(*TEXT_KEY).distinct()
+    if top.count() <= BROADCAST_WINNERS:
+        wanted = F.broadcast(wanted)
+    found = texts.select(*TEXT_KEY, text_col).join(wanted, TEXT_KEY, "left_semi").groupBy(*TEXT_KEY).agg(F.min(text_col).alias(text_col))
+    return top.join(found, TEXT_KEY).drop(*TEXT_KEY)
+
+
 def theme_samples(enriched: DataFrame, by: Sequence[str] = ("app_id",), k: int = 3,
                   tag_col: str = "complaint_categories") -> DataFrame:
     """G2: the k lowest-rated reviews per theme."""
@@ -71,8 +99,8 @@ def strength_samples(reviews: DataFrame, by: Sequence[str] = ("app_id",), k: int
     """G4: most-liked 4-5 star reviews per praise theme."""
     d, keys = keyed(reviews, by)
     high = d.where(F.col("rating").isin(4, 5))
-    rows = explode_tags(high.select(*keys, "review_id", "date", "thumbs_up", "review_text"),
-                        tag_expr("review_text", tx.PRAISE_GROUPS))
+    rows = explode_tags(high.select(*keys, "review_id", "date", "thumbs_up", "review_text", tags_of(high, "praise").alias("_tags")),
+                        F.col("_tags")).drop("_tags")
     out = top_k(rows, [*keys, "theme"], _by_thumbs(), k).withColumn("sample", truncate("review_text", cut))
     return unkeyed(out, by)
 
@@ -80,9 +108,9 @@ def strength_samples(reviews: DataFrame, by: Sequence[str] = ("app_id",), k: int
 def opportunity_samples(reviews: DataFrame, by: Sequence[str] = ("app_id",), k: int = 2, cut: int = 110) -> DataFrame:
     """G4: most-liked request reviews per feature theme."""
     d, keys = keyed(reviews, by)
-    req = d.where(F.col("rating").isin(4, 5) & flag_expr("review_text", tx.REQUEST_SIGNALS))
-    rows = explode_tags(req.select(*keys, "review_id", "date", "thumbs_up", "review_text"),
-                        tag_expr("review_text", tx.FEATURE_THEMES), "request")
+    req = d.where(F.col("rating").isin(4, 5) & requests_of(d))
+    rows = explode_tags(req.select(*keys, "review_id", "date", "thumbs_up", "review_text", tags_of(req, "feature").alias("_tags")),
+                        F.col("_tags"), "request").drop("_tags")
     out = top_k(rows, [*keys, "request"], _by_thumbs(), k).withColumn("sample", truncate("review_text", cut))
     return unkeyed(out, by)
 
@@ -101,12 +129,16 @@ def mixed_samples(enriched: DataFrame, by: Sequence[str] = ("app_id",), cut: int
 def sentiment_topk(enriched: DataFrame, by: Sequence[str] = ("app_id",), k: int = tx.CORPUS_PER_BUCKET) -> DataFrame:
     """G6: top-k most-liked reviews per sentiment label (Negative, Positive)."""
     d, keys = keyed(enriched, by)
-    rows = d.where(F.col("sentiment_label").isin("Negative", "Positive")).select(
-        *keys, "sentiment_label", "review_id", "date", "thumbs_up", "review_text")
-    return unkeyed(top_k(rows, [*keys, "sentiment_label"], _by_thumbs(), k), by)
+    hashed = text_keys(d, keys)
+    rows = hashed.where(F.col("sentiment_label").isin("Negative", "Positive")).select(
+        *keys, "sentiment_label", "review_id", "date", "thumbs_up", *TEXT_KEY)
+    return unkeyed(top_k_with_text(rows, hashed, [*keys, "sentiment_label"], _by_thumbs(), k), by)
 
 
 def investigate(rows: DataFrame, keys: Sequence[str], latest_first: bool = True, cap: int = tx.DRILL_CAP) -> DataFrame:
-    """G7: first ``cap`` reviews per drill-through group, by date."""
-    order = newest() if latest_first else [F.col("date").asc(), F.col("review_id").asc()]
-    return top_k(rows, keys, order, cap)
+    """G7: first ``cap`` reviews per drill-through group, by date (rows without texts)."""
+    return top_k(rows, keys, by_date(latest_first), cap)
+
+
+def by_date(latest_first: bool) -> list[Column]:
+    return newest() if latest_first else [F.col("date").asc(), F.col("review_id").asc()]

@@ -1,12 +1,4 @@
-"""Ingest + enrich once, then reuse (A10).
-
-``enrich`` adds sentiment and complaint tags as per-row projections.  For a
-large table, ``materialise`` writes the enriched rows once and every report
-reads the stored columns instead of re-matching keywords or re-scoring.
-Unpartitioned by default: one directory per app would explode with millions
-of apps; pass ``partition_by`` for a low-cardinality key (e.g. a date bucket)
-and let Parquet min/max statistics prune ``app_id`` ranges.
-"""
+"""Per-row enrichment: sentiment and tags as projections (``plans.store`` keeps them)."""
 
 from __future__ import annotations
 
@@ -19,7 +11,6 @@ from reviewlens import taxonomy as tx
 from reviewlens.operators.recent import flag_recent
 from reviewlens.operators.sentiment import score_sentiment
 from reviewlens.operators.tagging import flag_expr, tag_complaints, tag_expr
-from reviewlens.session import write_table
 from reviewlens.sources import fixture
 from reviewlens.sources.ingest import normalise_reviews
 
@@ -30,7 +21,7 @@ def enrich(reviews: DataFrame, sentiment: bool = True) -> DataFrame:
 
 def enrich_all(reviews: DataFrame) -> DataFrame:
     """Every per-review column that a report reads: sentiment, complaint, praise
-    and feature tags and the request flag.  ``materialise`` stores it once."""
+    and feature tags and the request flag (``plans.store.append`` stores it)."""
     return enrich(reviews).withColumns({
         "praise_categories": tag_expr("review_text", tx.PRAISE_GROUPS),
         "feature_categories": tag_expr("review_text", tx.FEATURE_THEMES),
@@ -38,11 +29,6 @@ def enrich_all(reviews: DataFrame) -> DataFrame:
     })
 
 
-def materialise(enriched: DataFrame, path: str | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write the table once into the shared checkpoint folder (or ``path``)."""
-    return write_table(enriched, path, partition_by)
-
-
 def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalised reviews derived from the driver's ``events`` table."""
     return normalise_reviews(fixture.raw_reviews(spark, sf_dir))
@@ -59,8 +45,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     The label passes through a one-element generator, which no filter on it is
     pushed below: the lexicon scorer, the costliest step, runs once per row.
     """
-    rows = enrich(reviews(spark, sf_dir), sentiment=True)
-    return rows.withColumn("sentiment_label", F.explode_outer(F.array("sentiment_label")))
+    return scored_once(reviews(spark, sf_dir))
+
+
+def scored_once(plain: DataFrame) -> DataFrame:
+    return enrich(plain, sentiment=True).withColumn("sentiment_label", F.explode_outer(F.array("sentiment_label")))
 
 
 def flagged(spark: SparkSession, sf_dir: str, by: Sequence[str] = ("app_id",)) -> DataFrame:
@@ -68,6 +57,6 @@ def flagged(spark: SparkSession, sf_dir: str, by: Sequence[str] = ("app_id",)) -
 
     Only the thresholds, one row per group, are computed ahead; the reviews
     stay a lazy projection.  A caller with many reports stores the table once
-    with ``materialise`` and passes it to all of them.
+    (``plans.store``).
     """
     return flag_recent(enrich(reviews(spark, sf_dir), sentiment=False), by)

@@ -8,6 +8,7 @@ produces.  Every query reads the driver tables (``events``, ``documents``,
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,10 +21,12 @@ from reviewlens.operators import recent as R
 from reviewlens.operators import themes as TH
 from reviewlens.operators import topk as TK
 from reviewlens.operators.sentiment import score_sentiment
-from reviewlens.operators.tagging import flag_expr, tag_by_table, tag_expr
+from reviewlens.operators.tagging import KINDS, flag_expr, tag_by_table, tag_expr
 from reviewlens.plans import enrich as E
 from reviewlens.plans import reports as RP
+from reviewlens.plans import store as ST
 from reviewlens.plans import trends as TR
+from reviewlens.session import checkpoint_dir
 from reviewlens.sources import fixture as FX
 from reviewlens.sources import ingest as IN
 
@@ -204,39 +207,49 @@ def q_tag_by_table(spark, d):
 
 
 # ── themes ──────────────────────────────────────────────────────────────────
-@query("theme_summary")
-def q_theme_summary(spark, d):
-    return TH.theme_summary(E.enriched(spark, d))
-
-
-@query("theme_samples")
-def q_theme_samples(spark, d):
-    return TK.theme_samples(E.enriched(spark, d)).select("app_id", "theme", "rank", "review_id", "rating")
-
-
-@query("recent_slice")
-def q_recent_slice(spark, d):
-    return _ids(R.recent_slice(E.reviews(spark, d)), "rating")
-
-
-@query("rising_themes")
-def q_rising(spark, d):
-    return TH.rising_themes(E.flagged(spark, d))
+#: Reports over the reviews in whatever form they are at hand (``store.Reviews`` or ``store.Stored``).
+REPORTS: dict[str, Callable[[ST.Reviews], DataFrame]] = {
+    "theme_summary": lambda s: TH.theme_summary(s.enriched()),
+    "theme_samples": lambda s: TK.theme_samples(s.enriched()).select("app_id", "theme", "rank", "review_id", "rating"),
+    "recent_slice": lambda s: _ids(s.recent(), "rating"),
+    "rising_themes": lambda s: TH.rising_themes(s.flagged()),
+    "key_signals": lambda s: TH.key_signals(s.flagged()),
+    "key_signals_strict": lambda s: TH.key_signals(s.flagged(), min_change_pp=RP.STRICT_CHANGE, min_recent_mentions=RP.STRICT_MENTIONS),
+    "signal_snippets": lambda s: TK.signal_snippets(s.flagged()).select("app_id", "theme", "rank", "review_id", "snippet"),
+    "signal_cards": lambda s: RP.signal_cards(s.flagged()),
+    "theme_library": lambda s: RP.theme_library(s.flagged()),
+    "theme_library_filtered": lambda s: RP.theme_library(s.flagged(), primary=LIBRARY_PRIMARY, chips=LIBRARY_CHIPS),
+    "opportunity_cards": lambda s: RP.opportunity_cards(s.plain),
+    "strength_cards": lambda s: RP.strength_cards(s.plain),
+    "review_cards": lambda s: RP.review_cards(s.enriched()),
+    "signal_coverage": lambda s: RP.signal_coverage(s.flagged()),
+    "sentiment_corpus": lambda s: RP.sentiment_corpus(s.scored()),
+}
+QUERIES |= {name: lambda spark, d, f=report: f(ST.Reviews(E.reviews(spark, d))) for name, report in REPORTS.items()}
 
 
-@query("key_signals")
-def q_key_signals(spark, d):
-    return TH.key_signals(E.flagged(spark, d))
+def build_store(spark: SparkSession, d: str) -> str:
+    """Store the reviews in two batches, the second landing after the first; the folder."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/store/{uuid.uuid4().hex}"
+    rv = E.reviews(spark, d)
+    late = F.col("date") >= F.lit(FX.LATE_CUTOFF).cast("timestamp_ntz")
+    ST.append(rv.where(~late), path, "0")
+    ST.append(rv.where(late), path, "1")
+    return path
 
 
-@query("key_signals_strict")
-def q_key_signals_strict(spark, d):
-    return TH.key_signals(E.flagged(spark, d), min_change_pp=RP.STRICT_CHANGE, min_recent_mentions=RP.STRICT_MENTIONS)
+@query("enriched_store")
+def q_store(spark, d):
+    """Every stored column, read back from both batches."""
+    rows = ST.Stored(spark, build_store(spark, d)).plain
+    return rows.select("app_id", "review_id", T.iso_ts("date").alias("date"), "rating", "thumbs_up", "sentiment_score", "sentiment_label",
+                       *[T.join_or(c, "").alias(c) for _, c in KINDS.values()], "is_request")
 
 
-@query("signal_snippets")
-def q_snippets(spark, d):
-    return TK.signal_snippets(E.flagged(spark, d)).select("app_id", "theme", "rank", "review_id", "snippet")
+@query("recent_slice_stored")
+def q_recent_stored(spark, d):
+    """The recent slice from the stored day counts and the newest row groups."""
+    return REPORTS["recent_slice"](ST.Stored(spark, build_store(spark, d)))
 
 
 @query("praised_strengths")
@@ -322,31 +335,6 @@ def q_stars(spark, d):
 
 
 # ── reports ─────────────────────────────────────────────────────────────────
-@query("signal_cards")
-def q_signal_cards(spark, d):
-    return RP.signal_cards(E.flagged(spark, d))
-
-
-@query("theme_library")
-def q_library(spark, d):
-    return RP.theme_library(E.flagged(spark, d))
-
-
-@query("theme_library_filtered")
-def q_library_filtered(spark, d):
-    return RP.theme_library(E.flagged(spark, d), primary=LIBRARY_PRIMARY, chips=LIBRARY_CHIPS)
-
-
-@query("opportunity_cards")
-def q_opp_cards(spark, d):
-    return RP.opportunity_cards(E.reviews(spark, d))
-
-
-@query("strength_cards")
-def q_strength_cards(spark, d):
-    return RP.strength_cards(E.reviews(spark, d))
-
-
 @query("explorer")
 def q_explorer(spark, d):
     return RP.explorer(E.enriched(spark, d), "All Reviews", EXPLORER_CHIPS, EXPLORER_QUERY)
@@ -359,24 +347,10 @@ def q_export_all(spark, d):
 
 @query("export_filtered")
 def q_export_filtered(spark, d):
+    """Rows of the filtered download, by their rank in it."""
     return RP.explorer(E.enriched(spark, d), "Requests")
 
 
-@query("review_cards")
-def q_review_cards(spark, d):
-    return RP.review_cards(E.enriched(spark, d))
-
-
-@query("signal_coverage")
-def q_coverage(spark, d):
-    return RP.signal_coverage(E.flagged(spark, d))
-
-
-@query("sentiment_corpus")
-def q_corpus(spark, d):
-    return RP.sentiment_corpus(E.scored(spark, d))
-
-
 @query("scope_counts")
 def q_scope_counts(spark, d):
     return TR.scope_counts(E.enriched(spark, d))
@@ -393,6 +367,23 @@ def q_sent_trend(spark, d):
     return TR.sentiment_trend(E.scored(spark, d))
 
 
+@query("sentiment_trend_week")
+def q_sent_trend_week(spark, d):
+    return TR.sentiment_trend(E.scored(spark, d), unit="week", fill=True)
+
+
+@query("sentiment_trend_month")
+def q_sent_trend_month(spark, d):
+    return TR.sentiment_trend(E.scored(spark, d), unit="month", fill=True)
+
+
+@query("sentiment_trend_filled")
+def q_sent_trend_filled(spark, d):
+    """Days of the drill-through reviews of one theme: most apps have days without one."""
+    rows = FL.filter_theme_chips(E.scored(spark, d), ["Login"])
+    return TR.sentiment_trend(rows.where(F.dayofmonth("date") % 3 != 0), unit="day", fill=True)
+
+
 @query("review_table")
 def q_review_table(spark, d):
     return TR.review_table(E.scored(spark, d))

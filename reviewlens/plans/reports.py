@@ -9,15 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
-from reviewlens.functions.text import confidence_tier, day_month_year, iso_date, join_or, star_bar, truncate
+from reviewlens.functions.text import confidence_tier, day_month_year, iso_date, iso_ts, join_or, pct, star_bar, truncate
 from reviewlens.operators import filters as FL
 from reviewlens.operators import themes as TH
 from reviewlens.operators import topk as TK
-from reviewlens.operators.recent import keyed, unkeyed
+from reviewlens.operators.ordered import newest_rank
+from reviewlens.operators.recent import ALL, keyed, unkeyed
+from reviewlens.operators.tagging import KINDS, ordinal_expr
 
 STRICT_CHANGE = 5.0
 STRICT_MENTIONS = 8
@@ -78,12 +80,9 @@ def signal_cards(flagged: DataFrame, by: Sequence[str] = ("app_id",), min_change
 def theme_library(flagged: DataFrame, by: Sequence[str] = ("app_id",), primary: str = "All Reviews",
                   chips: Sequence[str] = ()) -> DataFrame:
     """Theme cards on the chip-filtered scope; the rising badge uses the full set."""
-    filtered = FL.apply_chips(flagged, primary, chips)
-    facts = TH.theme_facts(filtered.drop("is_recent"), by)
-    rising = TH.rising_themes(flagged, by).select(*by, "theme").withColumn("is_rising", F.lit(True))
-    samples = TK.theme_samples(filtered, by, k=2).withColumn("s", truncate("review_text", 110))
+    facts = TH.library_facts(flagged, by, FL.in_chips(primary, chips, flagged))
+    samples = TK.theme_samples(FL.apply_chips(flagged, primary, chips), by, k=2).withColumn("s", truncate("review_text", 110))
     d_f, keys = keyed(facts, by)
-    d_r, _ = keyed(rising, by)
     d_s, _ = keyed(samples, by)
     wide = _wide(d_s, keys, "theme", "s", 2, "sample")
     share = F.lit(100.0) * F.col("mentions") / F.greatest(F.col("n"), F.lit(1))
@@ -103,8 +102,7 @@ def theme_library(flagged: DataFrame, by: Sequence[str] = ("app_id",), primary:
         .otherwise("Appears even in positive reviews")
     )
     out = (
-        d_f.join(d_r, [*keys, "theme"], "left")
-        .join(wide, [*keys, "theme"], "left")
+        d_f.join(wide, [*keys, "theme"], "left")
         .select(
             *keys,
             "theme",
@@ -114,7 +112,7 @@ def theme_library(flagged: DataFrame, by: Sequence[str] = ("app_id",), primary:
             F.bround(avg, 1).alias("avg_rating"),
             freq.alias("frequency_label"),
             rating_label.alias("rating_label"),
-            F.coalesce(F.col("is_rising"), F.lit(False)).alias("is_rising"),
+            "is_rising",
             confidence_tier("mentions").alias("confidence"),
             "sample_1",
             "sample_2",
@@ -124,64 +122,74 @@ def theme_library(flagged: DataFrame, by: Sequence[str] = ("app_id",), primary:
 
 
 # ── J3 ──────────────────────────────────────────────────────────────────────
-def _related(reviews: DataFrame, by: Sequence[str], taxonomy, label: str) -> DataFrame:
-    d, keys = keyed(reviews, by)
-    rel = FL.keyword_reviews(d.select(*keys, "review_text"), taxonomy, label)
-    return rel.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("related_count"))
+def _cards(reviews: DataFrame, by: Sequence[str], kind: str, count: str, sample: str, min_count: int, top_n: int) -> tuple[DataFrame, list[str]]:
+    """Ranked themes of a kind with their sample and how many reviews of any rating mention them: one scan."""
+    facts = TH.mark_facts(reviews, by, [kind], sample_cut=110)
+    d, keys = (facts, list(by)) if by else (facts, [ALL])
+    total = F.max(F.when(F.col("kind").isNull(), F.col(count))).over(Window.partitionBy(*keys))
+    d = d.withColumn("_total", total).where(F.col("kind").isNotNull() & (F.col(count) >= min_count))
+    order = Window.partitionBy(*keys).orderBy(F.col(count).desc(), ordinal_expr("theme", KINDS[kind][0]))
+    d = d.withColumn("rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= top_n)
+    return d.select(*keys, "theme", F.col(count).alias("count"), "rank", "_total", F.col(sample).alias("sample_1"),
+                    F.col("mentions").alias("related_count")), keys
 
 
 def opportunity_cards(reviews: DataFrame, by: Sequence[str] = ("app_id",), min_count: int = 4, top_n: int = 5) -> DataFrame:
-    opp = TH.product_opportunities(reviews, by, min_count, top_n)
-    smp = TK.opportunity_samples(reviews, by, k=1).select(*by, "request", F.col("sample").alias("sample_1"))
-    d_o, keys = keyed(opp, by)
-    d_s, _ = keyed(smp, by)
-    j = d_o.join(d_s, [*keys, "request"], "left").join(_related(reviews, by, tx.FEATURE_THEMES, "request"),
-                                                       [*keys, "request"], "left")
-    out = j.select(
-        *keys, "request", "count", "rank",
+    d, keys = _cards(reviews, by, "feature", "request_count", "request_sample", min_count, top_n)
+    out = d.select(
+        *keys, F.col("theme").alias("request"), "count", "rank",
         F.concat(F.lit("📝 "), F.col("count").cast("string"), F.lit(" users requesting")).alias("count_text"),
         confidence_tier("count").alias("confidence"),
         "sample_1",
-        F.coalesce("related_count", F.lit(0)).cast("bigint").alias("related_count"),
+        "related_count",
     )
     return unkeyed(out, by)
 
 
 def strength_cards(reviews: DataFrame, by: Sequence[str] = ("app_id",), min_count: int = 5, top_n: int = 4) -> DataFrame:
-    st = TH.praised_strengths(reviews, by, min_count, top_n)
-    smp = TK.strength_samples(reviews, by, k=1).select(*by, "theme", F.col("sample").alias("sample_1"))
-    d_t, keys = keyed(st, by)
-    d_s, _ = keyed(smp, by)
-    j = d_t.join(d_s, [*keys, "theme"], "left").join(_related(reviews, by, tx.PRAISE_GROUPS, "theme"),
-                                                     [*keys, "theme"], "left")
-    out = j.select(
+    d, keys = _cards(reviews, by, "praise", "high_count", "high_sample", min_count, top_n)
+    d = d.withColumn("pct_of_positive", F.bround(F.lit(100.0) * F.col("count") / F.greatest("_total", F.lit(1)), 1))
+    out = d.select(
         *keys, "theme", "count", "pct_of_positive", "rank",
         F.concat(F.lit("Mentioned in "), F.col("pct_of_positive").cast("string"),
                  F.lit("% of positive reviews — protect this in every release.")).alias("subtitle"),
         confidence_tier("count").alias("confidence"),
         "sample_1",
-        F.coalesce("related_count", F.lit(0)).cast("bigint").alias("related_count"),
+        "related_count",
     )
     return unkeyed(out, by)
 
 
 # ── J4 ──────────────────────────────────────────────────────────────────────
-def explorer(enriched: DataFrame, primary: str = "All Reviews", chips: Sequence[str] = (), query: str | None = None,
-             literal: bool = False) -> DataFrame:
+EXPLORER = ["Date", "Rating", "Theme", "Review"]
+EXPORT = ["date", "rating", "sentiment_label", "complaint_categories", "review_text"]
+
+
+def explorer_rows(enriched: DataFrame, primary: str = "All Reviews", chips: Sequence[str] = (), query: str | None = None,
+                  literal: bool = False) -> DataFrame:
+    """The reviews of the explorer, with the displayed columns beside date and review_id."""
     rows = FL.search_reviews(FL.apply_chips(enriched, primary, chips), query, literal)
     return rows.select(
-        "app_id",
-        iso_date("date").alias("Date"),
+        "app_id", "review_id", "date",
+        iso_date("date").alias("Day"),
         F.col("rating").alias("Rating"),
         join_or("complaint_categories", "—").alias("Theme"),
         F.col("review_text").alias("Review"),
     )
 
 
+def explorer(enriched: DataFrame, primary: str = "All Reviews", chips: Sequence[str] = (), query: str | None = None,
+             literal: bool = False) -> DataFrame:
+    """Newest first: ``rank`` is a review's place in its app's list."""
+    rows = newest_rank(explorer_rows(enriched, primary, chips, query, literal))
+    return rows.select("app_id", "rank", "review_id", iso_ts("date").alias("time"), F.col("Day").alias("Date"), *EXPLORER[1:])
+
+
 def export_rows(enriched: DataFrame) -> DataFrame:
-    """A8: rows of the full export, in the exported column order."""
-    return enriched.select(
-        "app_id",
+    """A8: rows of the full export, newest first by ``rank``."""
+    rows = newest_rank(enriched.select("app_id", "review_id", "date", "rating", "sentiment_label", "complaint_categories", "review_text"))
+    return rows.select(
+        "app_id", "rank", "review_id",
         iso_date("date").alias("date"),
         "rating",
         "sentiment_label",
@@ -194,8 +202,9 @@ def export_rows(enriched: DataFrame) -> DataFrame:
 def review_cards(enriched: DataFrame, by: Sequence[str] = ("app_id",), latest_first: bool = True) -> DataFrame:
     """Drill-through cards: first 100 reviews per complaint theme."""
     d, keys = keyed(enriched, by)
-    rows = FL.theme_reviews(d.select(*keys, "review_id", "date", "rating", "review_text", "complaint_categories"))
-    top = TK.investigate(rows, [*keys, "theme"], latest_first)
+    hashed = TK.text_keys(d, keys)
+    rows = FL.theme_reviews(hashed.select(*keys, "review_id", "date", "rating", "complaint_categories", *TK.TEXT_KEY))
+    top = TK.top_k_with_text(rows, hashed, [*keys, "theme"], TK.by_date(latest_first), tx.DRILL_CAP)
     out = top.select(
         *keys, "theme", "rank", "review_id",
         star_bar("rating").alias("stars"),
@@ -207,15 +216,21 @@ def review_cards(enriched: DataFrame, by: Sequence[str] = ("app_id",), latest_fi
 
 # ── J6 ──────────────────────────────────────────────────────────────────────
 def signal_coverage(flagged: DataFrame, by: Sequence[str] = ("app_id",)) -> DataFrame:
-    d, keys = keyed(flagged, by)
-    spine = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_reviews"))
-    ks = keyed(TH.key_signals(flagged, by, STRICT_CHANGE, STRICT_MENTIONS), by)[0]
-    sig = ks.groupBy(*keys).agg(F.count_if("is_critical").alias("n_critical"),
-                                F.count_if(~F.col("is_critical")).alias("n_emerging"))
-    opp = keyed(TH.product_opportunities(flagged, by, 4, 5), by)[0].groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_opportunities"))
-    st = keyed(TH.praised_strengths(flagged, by, 5, 4), by)[0].groupBy(*keys).agg(F.count(F.lit(1)).alias("n_strengths"))
-    j = spine.join(sig, keys, "left").join(opp, keys, "left").join(st, keys, "left")
+    """How many cards of each kind a group has: counts from one scan over all taxonomies."""
+    facts = TH.mark_facts(flagged, by, list(KINDS))
+    keys = list(by) or [ALL]
+    total = lambda c: F.max(F.when(F.col("kind").isNull(), F.col(c))).over(Window.partitionBy(*keys))
+    f = facts.select("*", total("mentions").alias("_n"), total("recent_mentions").alias("_n_recent"))
+    change = F.bround(pct("recent_mentions", "_n_recent") - pct("mentions", "_n"), 1)
+    signal = (F.col("kind") == "complaint") & (F.col("recent_mentions") >= STRICT_MENTIONS) & (change >= STRICT_CHANGE)
+    critical = F.bround(F.col("recent_rating_sum") / F.col("recent_mentions"), 1) <= tx.CRITICAL_RATING
+    j = f.groupBy(*keys).agg(
+        F.max(F.when(F.col("kind").isNull(), F.col("mentions"))).alias("n_reviews"),
+        F.count_if(signal & critical).alias("n_critical"),
+        F.count_if(signal & ~critical).alias("n_emerging"),
+        F.least(F.count_if((F.col("kind") == "feature") & (F.col("request_count") >= 4)), F.lit(5)).alias("n_opportunities"),
+        F.least(F.count_if((F.col("kind") == "praise") & (F.col("high_count") >= 5)), F.lit(4)).alias("n_strengths"),
+    )
     cols = ["n_critical", "n_emerging", "n_opportunities", "n_strengths"]
     j = j.select(*keys, "n_reviews", *[F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in cols])
     enough = sum((F.col(c) for c in cols[1:]), F.col(cols[0])) > 0

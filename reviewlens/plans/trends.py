@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
@@ -30,10 +30,17 @@ def rating_distribution(reviews: DataFrame, by: Sequence[str] = ("app_id",)) ->
     return unkeyed(out, by)
 
 
-def sentiment_trend(enriched: DataFrame, by: Sequence[str] = ("app_id",), unit: str = "day") -> DataFrame:
-    """K2: per calendar bucket: reviews, mean score (3 dp), label counts."""
+def sentiment_trend(enriched: DataFrame, by: Sequence[str] = ("app_id",), unit: str = "day", fill: bool = False) -> DataFrame:
+    """K2: per calendar day, week or month: reviews, mean score (3 dp), label counts.
+
+    ``fill``: periods without a review between a group's first and last one come
+    too, with zero counts and null means.  The calendar is generated from the
+    aggregated table (a row per group), never from the reviews.
+    """
+    if unit not in ("day", "week", "month"):
+        raise ValueError(f"unit must be 'day', 'week' or 'month', not {unit!r}")
     d, keys = keyed(enriched, by)
-    out = d.groupBy(*keys, F.date_trunc(unit, "date").alias("_b")).agg(
+    out = d.where(F.col("date").isNotNull()).groupBy(*keys, F.to_date(F.date_trunc(unit, "date")).alias("_b")).agg(
         F.count(F.lit(1)).alias("reviews"),
         # mean of 3-dp scores from an exact integer sum: identical on any engine
         (F.sum(F.bround(F.col("sentiment_score") * 1000, 0).cast("bigint")) / F.count(F.lit(1)) / 1000.0)
@@ -41,8 +48,23 @@ def sentiment_trend(enriched: DataFrame, by: Sequence[str] = ("app_id",), unit:
         F.count_if(F.col("sentiment_label") == "Positive").alias("n_positive"),
         F.count_if(F.col("sentiment_label") == "Negative").alias("n_negative"),
         F.bround(F.avg("rating"), 2).alias("avg_rating"),
-    ).withColumn("period", iso_date("_b")).drop("_b")
-    return unkeyed(out, by)
+    )
+    if fill:
+        out = _filled(out, keys, unit)
+    return unkeyed(out.withColumn("period", iso_date("_b")).drop("_b"), by)
+
+
+def _filled(counts: DataFrame, keys: Sequence[str], unit: str) -> DataFrame:
+    """The counts with a row for each period from a group's first to its last: every period but the last
+    is repeated up to the one that follows it, which needs neither a second scan nor a join."""
+    after = F.lead("_b").over(Window.partitionBy(*keys).orderBy("_b"))
+    step = F.expr(f"INTERVAL 1 {unit}")
+    spread = counts.withColumn("_next", after).withColumn(
+        "_at", F.when(F.col("_next").isNull(), F.array("_b")).otherwise(F.sequence(F.col("_b"), F.date_sub("_next", 1), step)))
+    rows = spread.select("*", F.posexplode("_at").alias("_i", "_day"))
+    kept = lambda c, none: F.when(F.col("_i") == 0, F.col(c)).otherwise(F.lit(none)).alias(c)
+    return rows.select(*keys, F.col("_day").alias("_b"), kept("reviews", 0), kept("avg_sentiment", None), kept("n_positive", 0),
+                       kept("n_negative", 0), kept("avg_rating", None))
 
 
 def review_table(enriched: DataFrame) -> DataFrame:
@@ -54,21 +76,14 @@ def review_table(enriched: DataFrame) -> DataFrame:
 
 
 def compare_apps(enriched: DataFrame, app_a: str, app_b: str) -> DataFrame:
-    """K6: theme shares of two apps side by side (full outer on theme)."""
+    """K6: theme shares of two apps side by side: one aggregate, its two columns filled by app."""
     two = enriched.where(F.col("app_id").isin(app_a, app_b))
-    s = TH.theme_summary(two, ("app_id",))
-    a = s.where(F.col("app_id") == app_a).select("theme", F.col("mentions").alias("mentions_a"),
-                                                 F.col("pct_of_reviews").alias("pct_a"))
-    b = s.where(F.col("app_id") == app_b).select("theme", F.col("mentions").alias("mentions_b"),
-                                                 F.col("pct_of_reviews").alias("pct_b"))
-    j = a.join(b, "theme", "full")
-    return j.select(
-        F.lit(app_a).alias("app_a"), F.lit(app_b).alias("app_b"), "theme",
-        F.coalesce("mentions_a", F.lit(0)).cast("bigint").alias("mentions_a"),
-        F.coalesce("mentions_b", F.lit(0)).cast("bigint").alias("mentions_b"),
-        F.coalesce("pct_a", F.lit(0.0)).alias("pct_a"),
-        F.coalesce("pct_b", F.lit(0.0)).alias("pct_b"),
-    ).withColumn("delta", F.bround(F.col("pct_a") - F.col("pct_b"), 1))
+    s = TH.theme_facts(two, ("app_id",)).select("app_id", "theme", "mentions", pct("mentions", "n").alias("share"))
+    of = lambda app, c, none: F.coalesce(F.max(F.when(F.col("app_id") == app, F.col(c))), F.lit(none))
+    j = s.groupBy("theme").agg(
+        of(app_a, "mentions", 0).cast("bigint").alias("mentions_a"), of(app_b, "mentions", 0).cast("bigint").alias("mentions_b"),
+        of(app_a, "share", 0.0).alias("pct_a"), of(app_b, "share", 0.0).alias("pct_b"))
+    return j.select(F.lit(app_a).alias("app_a"), F.lit(app_b).alias("app_b"), "*", F.bround(F.col("pct_a") - F.col("pct_b"), 1).alias("delta"))
 
 
 def theme_by_version(enriched: DataFrame, by: Sequence[str] = ("app_id",)) -> DataFrame:

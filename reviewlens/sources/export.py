@@ -1,8 +1,11 @@
-"""CSV sinks (A8 full export, A9 filtered explorer export).
-
-Distributed write, one file per task; ``header`` plus ``escape='"'`` and
-``emptyValue=''`` make the bytes of each row match pandas ``to_csv``
-(doubled quotes, quoted embedded newlines, empty strings unquoted).
+"""CSV sinks (A8 full export, A9 filtered explorer export), newest first.
+
+Distributed write in order: rows are dealt by ranges of (app, newest, id) and
+sorted inside, so the numbered part files of an app's folder, read one after
+the other, are its reviews from the newest on; a hot app fills several parts.
+``header`` plus ``escape='"'`` and ``emptyValue=''`` make the bytes of each row
+match pandas ``to_csv`` (doubled quotes, quoted embedded newlines, empty strings
+unquoted).
 """
 
 from __future__ import annotations
@@ -10,24 +13,27 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from reviewlens.functions.text import iso_date, join_or
+from reviewlens.operators.ordered import newest_first
 from reviewlens.plans import reports as RP
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "encoding": "UTF-8", "lineSep": "\n"}
 
 
-def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    w = df.write.mode("overwrite").options(**CSV_OPTIONS)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.csv(path)
+def write_csv(df: DataFrame, path: str, columns: Sequence, files: int | None = None) -> None:
+    """``columns`` of ``df``, newest first, one folder per app (``app_id=...``)."""
+    rows = newest_first(df, files=files).select("app_id", *columns)
+    rows.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("app_id").csv(path)
 
 
-def export_all(enriched: DataFrame, path: str) -> None:
-    """date, rating, sentiment_label, complaint_categories, review_text —
-    one folder per app (``app_id=...``), as the per-app download files."""
-    write_csv(RP.export_rows(enriched), path, partition_by=("app_id",))
+def export_all(enriched: DataFrame, path: str, files: int | None = None) -> None:
+    """date, rating, sentiment_label, complaint_categories, review_text."""
+    write_csv(enriched, path, [iso_date("date").alias("date"), "rating", "sentiment_label",
+                               join_or("complaint_categories", "").alias("complaint_categories"), "review_text"], files)
 
 
-def export_filtered(enriched: DataFrame, path: str, primary: str = "All Reviews", chips=(), query=None) -> None:
-    write_csv(RP.explorer(enriched, primary, chips, query), path, partition_by=("app_id",))
+def export_filtered(enriched: DataFrame, path: str, primary: str = "All Reviews", chips=(), query=None, files: int | None = None) -> None:
+    rows = RP.explorer_rows(enriched, primary, chips, query)
+    write_csv(rows, path, [F.col("Day").alias("Date"), *RP.EXPLORER[1:]], files)

@@ -96,17 +96,17 @@ def _sentiment(src: str, ids: list[str], text: str, name: str) -> str:
     return f"""
 {lex},
 {name}_tok0 AS (
-  SELECT {idl}, unnest(toks) AS t, generate_subscripts(toks, 1) AS p
-  FROM (SELECT {idl}, regexp_split_to_array(lower(coalesce({text}, '')), '{S.TOKEN_SPLIT.replace("'", "''")}') AS toks
+  SELECT {idl}, unnest(toks) AS raw, generate_subscripts(toks, 1) AS p
+  FROM (SELECT {idl}, regexp_split_to_array(coalesce({text}, ''), '{S.TOKEN_SPLIT.replace("'", "''")}') AS toks
         FROM {src})),
 {name}_tok AS (
-  SELECT {idl}, t, p,
+  SELECT {idl}, t, p, up AND bool_or(up) OVER (PARTITION BY {idl}) AND bool_or(NOT up) OVER (PARTITION BY {idl}) AS stressed,
          lag(t, 1) OVER w AS p1, lag(t, 2) OVER w AS p2, lag(t, 3) OVER w AS p3,
          min(CASE WHEN t = 'but' THEN p END) OVER (PARTITION BY {idl}) AS bp
-  FROM {name}_tok0 WHERE t <> ''
+  FROM (SELECT *, lower(raw) AS t, raw = upper(raw) AND raw <> lower(raw) AS up FROM {name}_tok0 WHERE raw <> '')
   WINDOW w AS (PARTITION BY {idl} ORDER BY p)),
 {name}_val AS (
-  SELECT k.*, coalesce(l.v, CAST(0.0 AS DOUBLE)) AS v FROM {name}_tok k LEFT JOIN {name}_lex l ON l.w = k.t),
+  SELECT k.*, coalesce(l.v + CASE WHEN stressed THEN sign(l.v) * CAST({S.CAPITALS} AS DOUBLE) ELSE 0 END, CAST(0.0 AS DOUBLE)) AS v FROM {name}_tok k LEFT JOIN {name}_lex l ON l.w = k.t),
 {name}_b AS (
   SELECT *,
     CASE WHEN v = 0 THEN v
@@ -121,10 +121,15 @@ def _sentiment(src: str, ids: list[str], text: str, name: str) -> str:
          WHEN bp IS NOT NULL AND p > bp THEN (CASE WHEN negated THEN vb * CAST({S.NEGATION_SCALAR} AS DOUBLE) ELSE vb END) * CAST({S.BUT_AFTER} AS DOUBLE)
          ELSE (CASE WHEN negated THEN vb * CAST({S.NEGATION_SCALAR} AS DOUBLE) ELSE vb END) END) AS s
   FROM {name}_b GROUP BY {idl}),
-{name} AS (
-  SELECT x.{ids[0]}{''.join(', x.' + i for i in ids[1:])},
-         coalesce(s.s, CAST(0.0 AS DOUBLE)) / sqrt(coalesce(s.s, CAST(0.0 AS DOUBLE)) * coalesce(s.s, CAST(0.0 AS DOUBLE)) + CAST({S.ALPHA} AS DOUBLE)) AS compound
-  FROM {src} x LEFT JOIN {name}_s s USING ({idl}))"""
+{name}_p AS (
+  SELECT {idl}, length(coalesce({text}, '')) - length(replace(coalesce({text}, ''), '!', '')) AS excl,
+         length(coalesce({text}, '')) - length(replace(coalesce({text}, ''), '?', '')) AS ques FROM {src}),
+{name}_a AS (
+  SELECT {idl}, coalesce(s, CAST(0.0 AS DOUBLE)) + sign(coalesce(s, CAST(0.0 AS DOUBLE))) * (
+           least(excl, {S.EXCLAMATIONS_MOST}) * CAST({S.EXCLAMATION} AS DOUBLE)
+           + CASE WHEN ques <= 1 THEN 0 WHEN ques <= {S.QUESTIONS_MOST} THEN ques * CAST({S.QUESTION} AS DOUBLE) ELSE CAST({S.QUESTIONS_MANY} AS DOUBLE) END) AS s
+  FROM {name}_p LEFT JOIN {name}_s USING ({idl})),
+{name} AS (SELECT {idl}, s / sqrt(s * s + CAST({S.ALPHA} AS DOUBLE)) AS compound FROM {name}_a)"""
 
 
 def _label(c: str) -> str:
@@ -700,27 +705,37 @@ SELECT t.app_id, strftime(date_trunc('day', r.date), '%Y-%m-%d %H:%M:%S') AS win
 FROM ctag t JOIN reviews r USING (app_id, review_id)
 GROUP BY ALL"""
 
-_PKW_CTE = PKW
-SQL["parse_insights"] = w(CKW, CTAG, PKW) + f""",
-cs AS (SELECT app_id, theme, count(*) AS c, min(ord) AS ord FROM ctag GROUP BY app_id, theme),
-ct AS (SELECT app_id, list(theme ORDER BY c DESC, ord) AS tops FROM (
-         SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY c DESC, ord) AS r FROM cs) WHERE r <= 3 GROUP BY app_id),
-ps AS (SELECT app_id, grp AS theme, count(*) AS c, min(ord) AS ord FROM (
-         SELECT DISTINCT r.app_id, r.review_id, k.grp, k.ord FROM reviews r JOIN pkw k ON contains(lower(r.review_text), k.kw)
-         WHERE r.rating IN (4, 5)) GROUP BY app_id, grp),
-pt AS (SELECT app_id, list(theme ORDER BY c DESC, ord) AS loved FROM (
-         SELECT *, row_number() OVER (PARTITION BY app_id ORDER BY c DESC, ord) AS r FROM ps) WHERE r <= 3 GROUP BY app_id),
-apps AS (SELECT DISTINCT app_id FROM reviews),
-rep AS (SELECT a.app_id, coalesce(ct.tops, []::VARCHAR[]) AS tops, coalesce(pt.loved, []::VARCHAR[]) AS loved,
-               CAST(right(a.app_id, 1) AS INTEGER) % 4 AS shape
-        FROM apps a LEFT JOIN ct USING (app_id) LEFT JOIN pt USING (app_id))
-SELECT app_id,
-       CASE shape WHEN 3 THEN 'error' WHEN 1 THEN 'salvaged' ELSE 'json' END AS status,
-       CASE WHEN shape = 3 THEN NULL ELSE len(tops) END AS n_top,
-       CASE WHEN shape = 3 THEN NULL WHEN shape = 2 THEN 0 ELSE len(loved) END AS n_loved,
-       CASE WHEN shape = 3 THEN NULL ELSE array_to_string(tops, '; ') END AS top_complaints,
-       CASE WHEN shape = 3 THEN NULL WHEN shape = 2 THEN '' ELSE array_to_string(loved, '; ') END AS loved_features
-FROM rep"""
+def _reply_items(key: str) -> str:
+    v = f"json_extract(v, '$.{key}')"
+    text = "CASE json_type(e) WHEN 'VARCHAR' THEN json_extract_string(e, '$') ELSE CAST(e AS VARCHAR) END"
+    return (f"CASE WHEN v IS NULL OR json_type(v) <> 'OBJECT' THEN NULL WHEN {v} IS NULL OR json_type({v}) = 'NULL' THEN []::VARCHAR[] "
+            f"ELSE list_transform(list_filter(CASE json_type({v}) WHEN 'ARRAY' THEN CAST({v} AS JSON[]) ELSE [{v}] END, "
+            f"lambda e: json_type(e) <> 'NULL'), lambda e: {text}) END")
+
+
+SQL["parse_insights"] = f"""
+WITH ev AS (
+  SELECT CASE user_id % 5 WHEN 3 THEN 'com.example.shop' ELSE '{FX.APP_PREFIX}' || CAST(user_id % 5 AS VARCHAR) END AS app_id, user_id % 5 AS n,
+         CAST(ts AS DATE) AS day, min(event_type) AS a, max(event_type) AS b, count(*) AS c FROM events GROUP BY ALL),
+sh AS (
+  SELECT *, '{{"loved_features":["' || b || '"],"top_complaints":["' || a || '","' || b || '"]}}' AS plain,
+         '{{"loved_features":"' || b || '","top_complaints":[{{"count":' || c || ',"theme":"' || a || '"}},' || c || ',["' || b || '"],null,true]}}' AS nested
+  FROM ev),
+rep AS (
+  SELECT app_id, CAST(day AS VARCHAR) AS day, CASE (day(day) + n) % 9
+    WHEN 0 THEN plain WHEN 1 THEN '```json' || chr(10) || plain || chr(10) || '```' WHEN 2 THEN '{{"top_complaints":["' || a || '"]}}'
+    WHEN 3 THEN 'Sorry, I can''t summarise these reviews right now.' WHEN 4 THEN nested WHEN 5 THEN '[{{"top_complaints":["' || a || '"]}}]'
+    WHEN 6 THEN left(plain, 40) WHEN 7 THEN 'Here you are: ' || nested || chr(10) || 'Anything else?' END AS raw
+  FROM sh),
+js AS (
+  SELECT *, coalesce(json_valid(raw), FALSE) AS whole, regexp_extract(coalesce(raw, ''), '(?s)\\{{.*\\}}') AS span FROM rep),
+vs AS (SELECT app_id, day, whole, CASE WHEN whole THEN CAST(raw AS JSON) WHEN span <> '' AND json_valid(span) THEN CAST(span AS JSON) END AS v FROM js),
+it AS (SELECT *, {_reply_items('top_complaints')} AS t, {_reply_items('loved_features')} AS l FROM vs)
+SELECT app_id, day, CASE WHEN t IS NULL THEN 'error' WHEN whole THEN 'json' ELSE 'salvaged' END AS status,
+       len(t) AS n_top, len(l) AS n_loved, array_to_string(t, '; ') AS top_complaints, array_to_string(l, '; ') AS loved_features
+FROM it"""
+
+SQL["sentiment_by_table"] = SQL["sentiment"]
 
 SQL["enriched_store"] = w(CKW, CTAG, ENR, PKW, FKW, REQ) + f""",
 cc AS (SELECT app_id, review_id, string_agg(theme, ', ' ORDER BY ord) AS c FROM ctag GROUP BY ALL),

@@ -1,28 +1,37 @@
-"""Lexicon sentiment (valence-aware rule scorer, Hutto & Gilbert 2014 method).
+"""Lexicon sentiment (the valence-aware rule scorer of Hutto & Gilbert 2014).
 
 The reference calls a third-party scorer; its lexicon is not part of the
-reference, so scores are ours (labels use the same thresholds).  The method:
-per token valence from a lexicon, flipped and damped (x -0.74) when one of the
-three preceding tokens is a negator, +-0.293 when the preceding token is a
-booster, x0.5 before / x1.5 after the first "but", summed and normalised
-with s / sqrt(s^2 + 15).
+reference, so scores are ours (labels use the same thresholds).  The rules and
+their constants are the published ones of that paper: per token a valence from a
+lexicon, raised by 0.733 when the token is in capitals and the text is not;
++-0.293 when the preceding token is a booster; x -0.74 when one of the three
+preceding tokens is a negator; x0.5 before / x1.5 after the first "but"; to the
+sum 0.292 for each "!" (four at most), 0.18 for each of two or three "?", 0.96 for
+more, in the direction of the sum; normalised with s / sqrt(s^2 + 15).
 
 Scale: the whole score is one per-row expression over ``split`` and
-higher-order functions (``transform``/``aggregate``) with the lexicon as a
-literal map, so there is no explode, no join and no shuffle — a 20,000-word
-document costs one row's work in the task that reads it.
+higher-order functions (``transform``/``aggregate``), so a 20,000-word document
+costs one row's work in the task that reads it.  The lexicon is a mapping or a
+table (token, valence).  A table of at most ``LITERAL_WORDS`` rows becomes a
+literal map: no explode, no join and no shuffle.  Of a larger one each distinct
+text gets the entries of its own tokens by an equi-join on the token, the
+lexicon broadcast while it is counted small; the texts' hashes, not the texts,
+are shuffled with the tokens.
 """
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewlens import taxonomy as tx
 from reviewlens.functions.text import col_
+from reviewlens.session import write_table
 
 # ───────────────────────────── FIXED VALUES ─────────────────────────────
-# Our own lexicon: token -> valence on a -4..+4 scale.
+# A small lexicon of our own choice of words: token -> valence on the -4..+4 scale of Hutto & Gilbert 2014.
 LEXICON: dict[str, float] = {
     "good": 1.9, "great": 3.1, "excellent": 3.2, "amazing": 2.8, "awesome": 3.1,
     "best": 3.2, "love": 3.2, "loved": 2.9, "like": 1.5, "nice": 1.8,
@@ -62,12 +71,26 @@ BOOST = 0.293
 BUT_BEFORE = 0.5
 BUT_AFTER = 1.5
 ALPHA = 15.0
-TOKEN_SPLIT = "[^a-z']+"
+CAPITALS = 0.733
+EXCLAMATION = 0.292
+EXCLAMATIONS_MOST = 4
+QUESTION = 0.18
+QUESTIONS_MOST = 3
+QUESTIONS_MANY = 0.96
+TOKEN_SPLIT = "[^A-Za-z']+"
 # ─────────────────────────── END FIXED VALUES ───────────────────────────
 
 
+#: Entries of a lexicon table that become a literal map (looked up token by token).
+LITERAL_WORDS = 2_000
+#: Entries of a lexicon table that may be broadcast to the tokens (about 60 bytes each).
+BROADCAST_WORDS = 500_000
+Lexicon = Mapping[str, float] | DataFrame
+
+
 def tokens(text: Column | str) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(col_(text), F.lit(""))), TOKEN_SPLIT), lambda t: t != "")
+    """The words of a text, as written."""
+    return F.filter(F.split(F.coalesce(col_(text), F.lit("")), TOKEN_SPLIT), lambda t: t != "")
 
 
 def _shift_sql(k: int) -> str:
@@ -75,38 +98,76 @@ def _shift_sql(k: int) -> str:
     return f"concat(array_repeat('', least({k}, size(_toks))), slice(_toks, 1, greatest(size(_toks) - {k}, 0)))"
 
 
-def with_compound(df: DataFrame, text_col: str = "review_text", lexicon: dict[str, float] | None = None,
+def _with_lexicon(df: DataFrame, text_col: str, lexicon: Lexicon) -> tuple[DataFrame, str]:
+    """The frame, and the SQL of a map from token to valence for each of its rows."""
+    from reviewlens.operators.tagging import sql_str
+
+    if isinstance(lexicon, DataFrame):
+        table = lexicon.select(F.lower(F.col("token").cast("string")).alias("token"), F.col("valence").cast("double").alias("valence"))
+        table = write_table(table.where(F.col("token").isNotNull() & F.col("valence").isNotNull()).groupBy("token").agg(F.max("valence").alias("valence")))
+        n = table.count()
+        if n > LITERAL_WORDS:
+            return _own_entries(df, text_col, F.broadcast(table) if n <= BROADCAST_WORDS else table), "coalesce(_lex, map())"
+        lexicon = dict(table.collect())
+    entries = ", ".join(f"{sql_str(k)}, CAST({v!r} AS DOUBLE)" for k, v in lexicon.items())
+    return df, f"map({entries})"
+
+
+def _own_entries(df: DataFrame, text_col: str, table: DataFrame) -> DataFrame:
+    """Rows with ``_lex``: the lexicon entries of their own tokens (at most as many as the text has words)."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = df.withColumns({"_x1": F.xxhash64(text), "_x2": F.hash(text)})
+    words = d.select("_x1", "_x2", F.explode(F.array_distinct(F.transform(tokens(text_col), F.lower))).alias("token"))
+    found = words.join(table, "token").groupBy("_x1", "_x2").agg(
+        F.map_from_entries(F.collect_set(F.struct("token", "valence"))).alias("_lex"))
+    return d.join(found, ["_x1", "_x2"], "left").drop("_x1", "_x2")
+
+
+def with_compound(df: DataFrame, text_col: str = "review_text", lexicon: Lexicon | None = None,
                   out: str = "_compound") -> DataFrame:
     """Add the unrounded compound score in [-1, 1] as column ``out``.
 
-    Tokens, their valences, their three predecessors and the position of the
-    first "but" are materialised once per row as arrays and zipped, so the
-    per-token lambda reads only its own element (an inline token expression
-    inside a lambda would re-split the whole text for every token).  The
-    steps are SQL expression strings: one parse each, cheap to analyse.
+    Tokens, their valences, their three predecessors, the position of the first
+    "but" and whether capitals stress them are materialised once per row as
+    arrays and zipped, so the per-token lambda reads only its own element (an
+    inline token expression inside a lambda would re-split the whole text for
+    every token).  The steps are SQL expression strings: one parse each, cheap
+    to analyse.
     """
     from reviewlens.operators.tagging import sql_str
 
-    lex = "map(" + ", ".join(f"{sql_str(k)}, CAST({v!r} AS DOUBLE)" for k, v in (lexicon or LEXICON).items()) + ")"
+    cols = df.columns
+    df, lex = _with_lexicon(df, text_col, LEXICON if lexicon is None else lexicon)
     arr = lambda ws: "array(" + ", ".join(sql_str(w) for w in ws) + ")"
     neg, up, down = arr(NEGATORS), arr(BOOSTERS_UP), arr(BOOSTERS_DOWN)
-    d = df.select("*", tokens(text_col).alias("_toks"))
+    d = df.select("*", tokens(text_col).alias("_raw"))
+    d = d.select("*", F.expr("transform(_raw, t -> lower(t))").alias("_toks"), F.expr("transform(_raw, t -> t = upper(t) AND t <> lower(t))").alias("_up"))
+    stress = "CASE WHEN exists(_up, u -> u) AND exists(_up, u -> NOT u) THEN _up ELSE array_repeat(false, size(_up)) END"
     d = d.select("*", F.expr(
         f"arrays_zip(transform(_toks, t -> coalesce(try_element_at({lex}, t), CAST(0 AS DOUBLE))), "
         f"{_shift_sql(1)}, {_shift_sql(2)}, {_shift_sql(3)}, "
-        f"array_repeat(array_position(_toks, 'but'), size(_toks)))").alias("_ctx"))
-    # zipped fields are named 0..4: valence, prev1, prev2, prev3, but-position
+        f"array_repeat(array_position(_toks, 'but'), size(_toks)), {stress})").alias("_ctx"))
+    # zipped fields are named 0..5: valence, prev1, prev2, prev3, but-position, in capitals
+    valence = f"(e['0'] + CASE WHEN e['5'] THEN signum(e['0']) * {CAPITALS}D ELSE 0D END)"
     boosted = (f"CASE WHEN e['0'] = 0 THEN e['0'] "
-               f"WHEN array_contains({up}, e['1']) THEN e['0'] + signum(e['0']) * {BOOST}D "
-               f"WHEN array_contains({down}, e['1']) THEN e['0'] - signum(e['0']) * {BOOST}D ELSE e['0'] END")
+               f"WHEN array_contains({up}, e['1']) THEN {valence} + signum(e['0']) * {BOOST}D "
+               f"WHEN array_contains({down}, e['1']) THEN {valence} - signum(e['0']) * {BOOST}D ELSE {valence} END")
     negated = f"(array_contains({neg}, e['1']) OR array_contains({neg}, e['2']) OR array_contains({neg}, e['3']))"
     signed = f"(CASE WHEN {negated} THEN ({boosted}) * {NEGATION_SCALAR}D ELSE ({boosted}) END)"
     val = (f"CASE WHEN e['4'] > 0 AND i + 1 < e['4'] THEN {signed} * {BUT_BEFORE}D "
            f"WHEN e['4'] > 0 AND i + 1 > e['4'] THEN {signed} * {BUT_AFTER}D ELSE {signed} END")
-    d = d.select("*", F.expr(f"aggregate(transform(_ctx, (e, i) -> {val}), CAST(0 AS DOUBLE), (a, x) -> a + x)")
-                 .alias("_s"))
-    return d.select("*", (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(ALPHA))).alias(out)).drop(
-        "_toks", "_ctx", "_s")
+    d = d.select("*", F.expr(f"aggregate(transform(_ctx, (e, i) -> {val}), CAST(0 AS DOUBLE), (a, x) -> a + x)").alias("_s0"))
+    d = d.select("*", (F.col("_s0") + F.signum("_s0") * _punctuation(text_col)).alias("_s"))
+    return d.select(*[c for c in cols if c != out], (F.col("_s") / F.sqrt(F.col("_s") * F.col("_s") + F.lit(ALPHA))).alias(out))
+
+
+def _punctuation(text_col: str) -> Column:
+    """How much exclamation and question marks add to a score's size."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    count = lambda mark: F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+    asked = count("?")
+    return (F.least(count("!"), F.lit(EXCLAMATIONS_MOST)) * F.lit(EXCLAMATION)
+            + F.when(asked <= 1, 0.0).when(asked <= QUESTIONS_MOST, asked * F.lit(QUESTION)).otherwise(QUESTIONS_MANY))
 
 
 def label_expr(score: Column) -> Column:
@@ -117,7 +178,7 @@ def label_expr(score: Column) -> Column:
     )
 
 
-def score_sentiment(df: DataFrame, text_col: str = "review_text", lexicon: dict[str, float] | None = None) -> DataFrame:
+def score_sentiment(df: DataFrame, text_col: str = "review_text", lexicon: Lexicon | None = None) -> DataFrame:
     """Add sentiment_score (3 dp, half-even) and sentiment_label (on the raw score)."""
     d = with_compound(df, text_col, lexicon)
     return d.select(

@@ -1,72 +1,48 @@
 """Narrative-insight data on both sides of the (external) LLM call.
 
-Before the call: ``sentiment_corpus`` (reports.py) builds the bounded
-prompt material.  After it: ``parse_insights`` turns a table of stored raw
-replies into the two lists, with the same salvage rule as the reference —
-parse as JSON; failing that, take the greedy ``{...}`` span (dot matches
-newline) and parse that; missing keys give empty lists; anything else is
-flagged as an error row instead of failing the job.
+Before the call: ``sentiment_corpus`` (reports.py) builds the bounded prompt
+material.  After it: ``parse_insights`` turns a table of landed raw replies into
+the two lists, with the same salvage rule as the reference: parse as JSON;
+failing that, take the greedy ``{...}`` span (dot matches newline) and parse that;
+missing keys give empty lists.  Replies are parsed once into VARIANT, so keys may
+hold anything.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens import taxonomy as tx
-from reviewlens.operators import themes as TH
-from reviewlens.operators.tagging import ordinal_expr
-
-REPLY_SCHEMA = "top_complaints array<string>, loved_features array<string>"
-TOP = 3
-
+KEYS = ("top_complaints", "loved_features")
 
-def _top_names(df: DataFrame, label: str, count: str, taxonomy, by: Sequence[str]) -> DataFrame:
-    w = Window.partitionBy(*by).orderBy(F.col(count).desc(), ordinal_expr(label, taxonomy))
-    ranked = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= TOP)
-    return ranked.groupBy(*by).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_r", label))), lambda x: x[label]).alias(label + "s"))
 
-
-def stored_replies(enriched: DataFrame, by: Sequence[str] = ("app_id",)) -> DataFrame:
-    """A reply table derived from the data: per app, the top complaint and
-    praise themes rendered in four shapes (plain JSON, fenced JSON, a missing
-    key, not JSON) chosen by the app's last digit."""
-    comp = _top_names(TH.theme_summary(enriched, by), "theme", "mentions", tx.COMPLAINT_GROUPS, by)
-    praise = _top_names(TH.praised_strengths(enriched, by, min_count=1, top_n=len(tx.PRAISE_GROUPS)),
-                        "theme", "count", tx.PRAISE_GROUPS, by).withColumnRenamed("themes", "loved")
-    apps = enriched.select(*by).distinct()
-    j = apps.join(comp, list(by), "left").join(praise, list(by), "left")
-    top = F.coalesce("themes", F.array().cast("array<string>"))
-    loved = F.coalesce("loved", F.array().cast("array<string>"))
-    full = F.to_json(F.struct(top.alias("top_complaints"), loved.alias("loved_features")))
-    partial = F.to_json(F.struct(top.alias("top_complaints")))
-    shape = F.substring(F.col("app_id"), -1, 1).cast("int") % 4
-    raw = (
-        F.when(shape == 0, full)
-        .when(shape == 1, F.concat(F.lit("```json\n"), full, F.lit("\n```")))
-        .when(shape == 2, partial)
-        .otherwise(F.lit("Sorry, I can't summarise these reviews right now."))
-    )
-    return j.select(*by, raw.alias("raw"))
+def _items(reply: Column, key: str) -> Column:
+    """What a key holds as an array of texts: strings as they are, other elements as JSON, nulls left
+    out; a value that is no array is the only element; a missing key or null is the empty list."""
+    value = F.try_variant_get(reply, f"$.{key}", "variant")
+    kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+    elements = F.when(kind.startswith("ARRAY"), F.try_variant_get(value, "$", "array<variant>")).when(kind != "VOID", F.array(value))
+    text = lambda e: F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")).otherwise(F.to_json(e))
+    present = F.filter(elements, lambda e: F.coalesce(F.schema_of_variant(e) != "VOID", F.lit(False)))
+    return F.coalesce(F.transform(present, text), F.array().cast("array<string>"))
 
 
 def parse_insights(replies: DataFrame, raw_col: str = "raw") -> DataFrame:
-    raw = F.col(raw_col)
-    is_json = F.get_json_object(raw, "$").isNotNull()
-    span = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    body = F.when(is_json, raw).otherwise(F.nullif(span, F.lit("")))
-    ok = F.coalesce(F.get_json_object(body, "$").isNotNull(), F.lit(False))
-    parsed = F.from_json(body, REPLY_SCHEMA)
-    empty = F.array().cast("array<string>")
-    top = F.when(ok, F.coalesce(parsed["top_complaints"], empty))
-    loved = F.when(ok, F.coalesce(parsed["loved_features"], empty))
-    status = F.when(is_json, "json").when(ok, "salvaged").otherwise("error")
-    return replies.select(
-        *[c for c in replies.columns if c != raw_col],
-        status.alias("status"),
+    """Every reply with its status (json, salvaged, error), the two lists and their sizes.
+
+    A reply is an error (lists null) if it is null, no JSON and without a span
+    that is, or JSON other than an object.  Nothing raises.
+    """
+    d = replies.withColumn("_whole", F.try_parse_json(F.col(raw_col)))
+    span = F.nullif(F.regexp_extract(F.col(raw_col), r"(?s)\{.*\}", 0), F.lit(""))
+    d = d.withColumn("_reply", F.coalesce("_whole", F.try_parse_json(span)))
+    ok = F.coalesce(F.schema_of_variant("_reply").startswith("OBJECT"), F.lit(False))
+    status = F.when(~ok, "error").when(F.col("_whole").isNotNull(), "json").otherwise("salvaged")
+    d = d.select(*[c for c in replies.columns if c != raw_col], status.alias("status"),
+                 *[F.when(ok, _items(F.col("_reply"), k)).alias(f"_{k}") for k in KEYS])
+    top, loved = (F.col(f"_{k}") for k in KEYS)
+    return d.select(
+        *[c for c in replies.columns if c != raw_col], "status",
         F.size(top).cast("bigint").alias("n_top"),
         F.size(loved).cast("bigint").alias("n_loved"),
         F.array_join(top, "; ").alias("top_complaints"),

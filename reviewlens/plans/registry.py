@@ -20,7 +20,7 @@ from reviewlens.operators import filters as FL
 from reviewlens.operators import recent as R
 from reviewlens.operators import themes as TH
 from reviewlens.operators import topk as TK
-from reviewlens.operators.sentiment import score_sentiment
+from reviewlens.operators.sentiment import LEXICON, score_sentiment
 from reviewlens.operators.tagging import KINDS, flag_expr, tag_by_table, tag_expr
 from reviewlens.plans import enrich as E
 from reviewlens.plans import reports as RP
@@ -198,6 +198,13 @@ def q_sentiment(spark, d):
     return score_sentiment(doc.select("doc_id", "text"), "text").select("doc_id", "sentiment_score", "sentiment_label")
 
 
+@query("sentiment_by_table")
+def q_sentiment_by_table(spark, d):
+    """Scores of the documents under a lexicon that is read as a table."""
+    doc = FX.table(spark, d, "documents").select("doc_id", "text")
+    return score_sentiment(doc, "text", FX.lexicon_table(spark, LEXICON)).select("doc_id", "sentiment_score", "sentiment_label")
+
+
 @query("tag_by_table")
 def q_tag_by_table(spark, d):
     doc = FX.table(spark, d, "documents")
@@ -414,7 +421,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("parse_insights")
 def q_parse_insights(spark, d):
     from reviewlens.plans import insights as INS
-    return INS.parse_insights(INS.stored_replies(E.enriched(spark, d)))
+    return INS.parse_insights(FX.landed_replies(spark, d))
 
 
 @query("stream_theme_counts")

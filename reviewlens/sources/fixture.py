@@ -189,3 +189,32 @@ def app_info(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("genre"),
         summary.alias("summary"),
     )
+
+
+def landed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(app_id, day, raw): replies as an LLM might have left them, one per app and day of ``events``, in
+    nine shapes: plain, fenced, a key missing, prose, nested values, a list, cut off, inside prose, null.
+    One app's id does not end in a digit."""
+    n = F.col("user_id") % N_APPS
+    app = F.when(n == 3, F.lit("com.example.shop")).otherwise(F.concat(F.lit(APP_PREFIX), n.cast("string")))
+    day = table(spark, sf_dir, "events").groupBy(app.alias("app_id"), n.alias("n"), F.to_date("ts").alias("day")).agg(
+        F.min("event_type").alias("a"), F.max("event_type").alias("b"), F.count(F.lit(1)).alias("c"))
+    plain = F.format_string('{"loved_features":["%s"],"top_complaints":["%s","%s"]}', "b", "a", "b")
+    nested = F.format_string('{"loved_features":"%s","top_complaints":[{"count":%d,"theme":"%s"},%d,["%s"],null,true]}', "b", "c", "a", "c", "b")
+    shapes = [
+        plain,
+        F.concat(F.lit("```json\n"), plain, F.lit("\n```")),
+        F.format_string('{"top_complaints":["%s"]}', "a"),
+        F.lit("Sorry, I can't summarise these reviews right now."),
+        nested,
+        F.format_string('[{"top_complaints":["%s"]}]', "a"),
+        F.left(plain, F.lit(40)),
+        F.concat(F.lit("Here you are: "), nested, F.lit("\nAnything else?")),
+        F.lit(None).cast("string"),
+    ]
+    raw = F.element_at(F.array(*shapes), ((F.dayofmonth("day") + F.col("n")) % len(shapes) + 1).cast("int"))
+    return day.select("app_id", F.col("day").cast("string").alias("day"), raw.alias("raw"))
+
+
+def lexicon_table(spark: SparkSession, words: dict[str, float]) -> DataFrame:
+    return spark.createDataFrame(list(words.items()), "token string, valence double")

@@ -325,6 +325,10 @@ SELECT page_id, {_qparam('url', 'page')} AS page, {_qparam('url', 'ref')} AS ref
 SQL["truncate_text"] = f"SELECT doc_id, {_cut('text', 110)} AS preview FROM documents"
 
 SQL["tag_complaints"] = w(CKW, CTAG) + "\nSELECT app_id, review_id, theme FROM ctag"
+SQL["tag_complaints_words"] = w(CKW) + r"""
+SELECT DISTINCT r.app_id, r.review_id, k.grp AS theme FROM reviews r JOIN ckw k
+ON contains(lower(r.review_text), k.kw)
+WHERE CASE WHEN contains(lower(r.review_text), k.kw) THEN regexp_matches(lower(r.review_text), '(^|[^\p{L}\p{N}_])' || regexp_escape(k.kw) || '($|[^\p{L}\p{N}_])') END"""
 SQL["tag_praise"] = w(PKW) + f"\nSELECT app_id, review_id, theme FROM ({_kw_tag('reviews', 'pkw')})"
 SQL["tag_features"] = w(FKW) + f"\nSELECT app_id, review_id, theme FROM ({_kw_tag('reviews', 'fkw')})"
 SQL["flag_requests"] = w(REQ) + """

@@ -27,15 +27,23 @@ def _items(reply: Column, key: str) -> Column:
     return F.coalesce(F.transform(present, text), F.array().cast("array<string>"))
 
 
+def _json(text: Column) -> Column:
+    """The one JSON value that a text is, else null.  Spark's parser stops after the first value, so the text is
+    parsed as the only element of a list and as a member of an object: nothing but that value fits both."""
+    boxed = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = (F.size(F.try_variant_get(boxed, "$", "array<variant>")) == 1) & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    return F.when(alone, F.try_variant_get(boxed, "$[0]", "variant"))
+
+
 def parse_insights(replies: DataFrame, raw_col: str = "raw") -> DataFrame:
     """Every reply with its status (json, salvaged, error), the two lists and their sizes.
 
     A reply is an error (lists null) if it is null, no JSON and without a span
-    that is, or JSON other than an object.  Nothing raises.
+    that is, or JSON other than an object; so is one that repeats a key.  Nothing raises.
     """
-    d = replies.withColumn("_whole", F.try_parse_json(F.col(raw_col)))
+    d = replies.withColumn("_whole", _json(F.col(raw_col)))
     span = F.nullif(F.regexp_extract(F.col(raw_col), r"(?s)\{.*\}", 0), F.lit(""))
-    d = d.withColumn("_reply", F.coalesce("_whole", F.try_parse_json(span)))
+    d = d.withColumn("_reply", F.coalesce("_whole", _json(span)))
     ok = F.coalesce(F.schema_of_variant("_reply").startswith("OBJECT"), F.lit(False))
     status = F.when(~ok, "error").when(F.col("_whole").isNotNull(), "json").otherwise("salvaged")
     d = d.select(*[c for c in replies.columns if c != raw_col], status.alias("status"),

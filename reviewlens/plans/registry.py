@@ -171,6 +171,12 @@ def q_tag_complaints(spark, d):
                            F.col("complaint_categories")).select("app_id", "review_id", "theme")
 
 
+@query("tag_complaints_words")
+def q_tag_words(spark, d):
+    """Whole-word matching: "fee" is not in "coffee"."""
+    return _exploded(E.reviews(spark, d), tag_expr("review_text", tx.COMPLAINT_GROUPS, match="word"))
+
+
 @query("tag_praise")
 def q_tag_praise(spark, d):
     return _exploded(E.reviews(spark, d), tag_expr("review_text", tx.PRAISE_GROUPS))
@@ -349,7 +355,8 @@ def q_explorer(spark, d):
 
 @query("export_all")
 def q_export_all(spark, d):
-    return RP.export_rows(E.scored(spark, d))
+    """Rows of the full download, by their rank in it."""
+    return RP.export_list(E.scored(spark, d))
 
 
 @query("export_filtered")

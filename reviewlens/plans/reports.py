@@ -162,7 +162,6 @@ def strength_cards(reviews: DataFrame, by: Sequence[str] = ("app_id",), min_coun
 
 # ── J4 ──────────────────────────────────────────────────────────────────────
 EXPLORER = ["Date", "Rating", "Theme", "Review"]
-EXPORT = ["date", "rating", "sentiment_label", "complaint_categories", "review_text"]
 
 
 def explorer_rows(enriched: DataFrame, primary: str = "All Reviews", chips: Sequence[str] = (), query: str | None = None,
@@ -185,17 +184,21 @@ def explorer(enriched: DataFrame, primary: str = "All Reviews", chips: Sequence[
     return rows.select("app_id", "rank", "review_id", iso_ts("date").alias("time"), F.col("Day").alias("Date"), *EXPLORER[1:])
 
 
+def export_columns() -> list[Column]:
+    """A8: the columns of the full export, in their order."""
+    return [iso_date("date").alias("date"), F.col("rating"), F.col("sentiment_label"),
+            join_or("complaint_categories", "").alias("complaint_categories"), F.col("review_text")]
+
+
 def export_rows(enriched: DataFrame) -> DataFrame:
-    """A8: rows of the full export, newest first by ``rank``."""
-    rows = newest_rank(enriched.select("app_id", "review_id", "date", "rating", "sentiment_label", "complaint_categories", "review_text"))
-    return rows.select(
-        "app_id", "rank", "review_id",
-        iso_date("date").alias("date"),
-        "rating",
-        "sentiment_label",
-        join_or("complaint_categories", "").alias("complaint_categories"),
-        "review_text",
-    )
+    """A8: rows of the full export."""
+    return enriched.select("app_id", *export_columns())
+
+
+def export_list(enriched: DataFrame) -> DataFrame:
+    """A8: rows of the full export with their ``rank`` in their app's file, newest first."""
+    cols = ["app_id", "review_id", "date", "rating", "sentiment_label", "complaint_categories", "review_text"]
+    return newest_rank(enriched.select(*cols)).select("app_id", "rank", "review_id", *export_columns())
 
 
 # ── J5 ──────────────────────────────────────────────────────────────────────

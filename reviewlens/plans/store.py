@@ -14,7 +14,7 @@ recent slice comes from the counts alone, and only rows from the boundary day
 on are read.
 
 A batch is a folder of its own, replaced when the batch is written again; the
-rows go first, the counts last, and readers take the batches that have both.
+rows go first, the counts (and the number of buckets) last, and readers take the batches that have both.
 Range partitioning comes before the enrichment, so its sampling pass reads the
 plain reviews and texts are matched and scored once.
 """
@@ -50,7 +50,8 @@ def append(reviews: DataFrame, path: str, batch: str, buckets: int = BUCKETS, fi
     rows = reviews.withColumn("bucket", bucket_of(F.col("app_id"), buckets)).repartitionByRange(n, *order).sortWithinPartitions(*order)
     where = f"{path.rstrip('/')}/rows/batch={batch}"
     (E.enrich_all(rows).write.mode("overwrite").option("parquet.block.size", row_group_bytes).partitionBy("bucket").parquet(where))
-    R.day_counts(spark.read.parquet(where).select("app_id", "date")).write.mode("overwrite").parquet(f"{path.rstrip('/')}/days/batch={batch}")
+    counts = R.day_counts(spark.read.parquet(where).select("app_id", "date")).withColumn("buckets", F.lit(buckets))
+    counts.write.mode("overwrite").parquet(f"{path.rstrip('/')}/days/batch={batch}")
 
 
 class Reviews:
@@ -81,15 +82,16 @@ class Stored(Reviews):
     def __init__(self, spark: SparkSession, path: str):
         days = spark.read.parquet(f"{path.rstrip('/')}/days")
         rows = spark.read.parquet(f"{path.rstrip('/')}/rows")
-        done = [r.batch for r in days.select("batch").distinct().collect()]
-        self.table = rows.where(F.col("batch").isin(done))
+        #: batches that are complete, and the number of buckets each was written with
+        self.batches = dict(days.select("batch", "buckets").distinct().collect())
+        self.table = rows.where(F.col("batch").isin(list(self.batches)))
         self.days = days
         super().__init__(self.table.drop("batch", "bucket"))
 
     @cached_property
     def counts(self) -> DataFrame:
         """Day counts per app over all batches."""
-        return R.merge_day_counts(self.days.drop("batch"))
+        return R.merge_day_counts(self.days.drop("batch", "buckets"))
 
     def _counts(self, by: Sequence[str]) -> DataFrame | None:
         if set(by) - {"app_id"}:
@@ -108,6 +110,9 @@ class Stored(Reviews):
     def recent(self, by: Sequence[str] = ("app_id",)) -> DataFrame:
         return R.recent_slice(self.plain, by, histogram=self._counts(by))
 
-    def of_app(self, app_id: str, buckets: int = BUCKETS) -> DataFrame:
+    def of_app(self, app_id: str) -> DataFrame:
         """Reviews of one app: one bucket folder of each batch, row groups of that app."""
-        return self.table.where((F.col("bucket") == bucket_of(F.lit(app_id), buckets)) & (F.col("app_id") == app_id)).drop("batch", "bucket")
+        here = F.lit(False)
+        for n in sorted(set(self.batches.values())):
+            here = here | (F.col("batch").isin([b for b, k in self.batches.items() if k == n]) & (F.col("bucket") == bucket_of(F.lit(app_id), n)))
+        return self.table.where(here & (F.col("app_id") == app_id)).drop("batch", "bucket")

@@ -12,28 +12,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlens.functions.text import iso_date, join_or
 from reviewlens.operators.ordered import newest_first
 from reviewlens.plans import reports as RP
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "encoding": "UTF-8", "lineSep": "\n"}
 
 
-def write_csv(df: DataFrame, path: str, columns: Sequence, files: int | None = None) -> None:
+def write_csv(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    """Rows as they come."""
+    df.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy(*partition_by).csv(path)
+
+
+def write_newest_first(df: DataFrame, path: str, columns: Sequence[Column], files: int | None = None) -> None:
     """``columns`` of ``df``, newest first, one folder per app (``app_id=...``)."""
-    rows = newest_first(df, files=files).select("app_id", *columns)
-    rows.write.mode("overwrite").options(**CSV_OPTIONS).partitionBy("app_id").csv(path)
+    write_csv(newest_first(df, files=files).select("app_id", *columns), path, partition_by=("app_id",))
 
 
 def export_all(enriched: DataFrame, path: str, files: int | None = None) -> None:
     """date, rating, sentiment_label, complaint_categories, review_text."""
-    write_csv(enriched, path, [iso_date("date").alias("date"), "rating", "sentiment_label",
-                               join_or("complaint_categories", "").alias("complaint_categories"), "review_text"], files)
+    write_newest_first(enriched, path, RP.export_columns(), files)
 
 
 def export_filtered(enriched: DataFrame, path: str, primary: str = "All Reviews", chips=(), query=None, files: int | None = None) -> None:
     rows = RP.explorer_rows(enriched, primary, chips, query)
-    write_csv(rows, path, [F.col("Day").alias("Date"), *RP.EXPLORER[1:]], files)
+    write_newest_first(rows, path, [F.col("Day").alias("Date"), *map(F.col, RP.EXPLORER[1:])], files)

@@ -36,50 +36,56 @@ from reviewlens.llm import common as C
 #: Pairs that are broadcast with their counts, at most.
 HEAD = 1_000_000
 #: Pieces whose ids one Python worker keeps before it starts afresh (about 300 bytes each).
-CACHE = 400_000
+CACHE = 600_000
 #: Distinct pairs whose counts a task adds up before it hands them on.
 PARTIAL = 2_000_000
+TWO_SPACES = re.compile(r"\s\s")
 STORED = ("row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
           "pairs array<long>, times array<int>")
 
 
 # ── the alignment itself ────────────────────────────────────────────────────
-def runs(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+def runs(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indices of the tokens of A and of B that close each group, in order.
 
-    Both lists ascend and end at the same offset."""
-    close_a: list[int] = []
-    close_b: list[int] = []
-    i = shift = 0
-    n, m = len(ends_a), len(ends_b)
+    Both arrays ascend and end at the same offset."""
+    raw_a, raw_b = (np.ascontiguousarray(x, "<i8").tobytes() for x in (ends_a, ends_b))  # slices of bytes compare fastest
+    at_a, at_b = memoryview(raw_a).cast("q"), memoryview(raw_b).cast("q")
+    inner_a: list[int] = []
+    inner_b: list[int] = []
+    i, shift = 0, 0  # in bytes
+    n, m = len(raw_a), len(raw_b)
     while i < n:
-        start, step = i, 1
-        while i + step <= n and i + step + shift <= m and ends_a[i:i + step] == ends_b[i + shift:i + step + shift]:
+        step = 8
+        while i + step <= n and i + step + shift <= m and raw_a[i:i + step] == raw_b[i + shift:i + step + shift]:
             i += step
             step *= 2
-        while step > 1:  # under step more are equal: halve down to the first that differs
+        while step > 8:  # under step more are equal: halve down to the first that differs
             step //= 2
-            if i + step <= n and i + step + shift <= m and ends_a[i:i + step] == ends_b[i + shift:i + step + shift]:
+            if i + step <= n and i + step + shift <= m and raw_a[i:i + step] == raw_b[i + shift:i + step + shift]:
                 i += step
-        if i > start:
-            close_a.extend(range(start, i))
-            close_b.extend(range(start + shift, i + shift))
-            if i == n:
-                break
-        j = i + shift  # an irregular group: go on with the token that ends first
-        a, b = ends_a[i], ends_b[j]
+        if i == n:
+            break
+        p, q = i >> 3, (i + shift) >> 3  # an irregular group: go on with the token that ends first
+        a, b = at_a[p], at_b[q]
         while a != b:
             if a < b:
-                i += 1
-                a = ends_a[i]
+                inner_a.append(p)
+                p += 1
+                a = at_a[p]
             else:
-                j += 1
-                b = ends_b[j]
-        close_a.append(i)
-        close_b.append(j)
-        i += 1
-        shift = j + 1 - i
-    return close_a, close_b
+                inner_b.append(q)
+                q += 1
+                b = at_b[q]
+        i = (p + 1) << 3
+        shift = (q - p) << 3
+    return _all_but(len(ends_a), inner_a), _all_but(len(ends_b), inner_b)
+
+
+def _all_but(n: int, left_out: list[int]) -> np.ndarray:
+    keep = np.ones(n, bool)
+    keep[left_out] = False
+    return np.flatnonzero(keep)
 
 
 class PairText(dict):
@@ -138,7 +144,7 @@ class Pair:
         self.whole_a.encode_special_tokens = True
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path_b)
         chars = _byte_of_char()
-        added = set(self.whole_a.get_added_tokens_decoder())
+        added = self.whole_a.get_added_tokens_decoder()
         self.size_a, self.size_b = self.whole_a.get_vocab_size(), self.sp.get_piece_size()
         self.bytes_a = [b""] * self.size_a
         for token, i in self.whole_a.get_vocab().items():
@@ -154,7 +160,7 @@ class Pair:
         self.space = self.sp.piece_to_id("▁")
         # no piece of B may run over the start of a word, else its texts are encoded whole
         self.words_apart = not any("▁" in self.sp.id_to_piece(i).lstrip("▁") for i in range(self.size_b))
-        self.unsafe = re.compile("|".join([self.pieces.unsafe.pattern, "  ", "▁", "\0"]))
+        self.special = ["  ", "▁", "\0", *(t.content for t in added.values())]
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.wrong: set[str] = set()
 
@@ -168,15 +174,18 @@ class Pair:
         self.pieces.known.clear()
         self.pieces._learn(new)
         ids_b = self._b(new)
+        want = [p if p[:1] == "\n" else " " + p for p in new]
         for k, p in enumerate(new):
             if not p:
                 ids_b[k] = [self.space]
             elif p[0] == "\n":  # without the space that B adds
                 ids_b[k] = ids_b[k][1:]
-            want = p.encode() if p[:1] == "\n" else b" " + p.encode()
-            if b"".join(map(self.bytes_b.__getitem__, ids_b[k])) != want:
-                self.wrong.add(p)
         flat = np.array(list(chain.from_iterable(ids_b)), self.dtype_b)
+        n = np.array([*map(len, ids_b)], np.int64)
+        size_of = np.diff(np.r_[0, np.cumsum(self.len_b[flat])][np.r_[0, np.cumsum(n)]])
+        text = [w.encode() for w in want]
+        if b"".join(map(self.bytes_b.__getitem__, flat.tolist())) != b"".join(text) or (size_of != [*map(len, text)]).any():
+            self.wrong.update(p for p, t, b in zip(new, text, ids_b) if b"".join(map(self.bytes_b.__getitem__, b)) != t)
         raw, size, at = flat.tobytes(), self.dtype_b.itemsize, 0
         for p, b in zip(new, ids_b):
             end = at + size * len(b)
@@ -184,6 +193,11 @@ class Pair:
             at = end
         self.pieces.known.clear()
 
+    def _whole_only(self, text: str) -> bool:
+        """Could a cut change the text's ids?"""
+        return (not self.words_apart or any(map(text.__contains__, self.special)) or text[0].isspace()
+                or bool(TWO_SPACES.search(text) and self.pieces.unsafe.search(text)))
+
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         a = self.whole_a.encode(" " + text, add_special_tokens=False).ids
         b = self.sp.encode(text)
@@ -197,8 +211,7 @@ class Pair:
         if len(self.known) > CACHE:
             self.known.clear()
             self.wrong.clear()
-        split = [None if not t else False if not self.words_apart or self.unsafe.search(t) else t.replace("\n", " \n").split(" ")
-                 for t in texts]
+        split = [None if not t else False if self._whole_only(t) else t.replace("\n", " \n").split(" ") for t in texts]
         self._learn(list(set().union(*(p for p in split if p)) - self.known.keys()))
         out = []
         for t, parts in zip(texts, split):
@@ -216,7 +229,7 @@ class Pair:
         if ids is None:
             return 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int32)
         a, b = ids
-        close_a, close_b = map(np.array, runs(np.cumsum(self.len_a[a]).tolist(), np.cumsum(self.len_b[b]).tolist()))
+        close_a, close_b = runs(np.cumsum(self.len_a[a]), np.cumsum(self.len_b[b]))
         links = a[close_a].astype(np.int64) * self.size_b + b[close_b]
         text = groups_text(a.tolist(), b.tolist(), close_a, close_b, links.tolist(), self.pair_text, self.group_text)
         pairs, times = np.unique(links, return_counts=True)

@@ -41,10 +41,8 @@ PATTERNS = {
 }
 IP_PART = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 # ─────────────────────────── END FIXED VALUES ───────────────────────────
-#: An identifier-like token.
-TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-#: The last word of the text between two tokens.
-LAST_WORD = r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$"
+#: The text up to and with the next identifier-like token, from where the last one ended (possessive: one scan, no recursion).
+TO_TOKEN = r"\G(?:[^\x20\x09-\x0D0-9@]*+[\x20\x09-\x0D])*+[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 KEY = ["doc_id", "th"]
 
 
@@ -72,21 +70,34 @@ def _shape(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.translate(token, "0123456789", "9999999999"), r"\p{Ll}+", "a"), r"\p{Lu}+", "A")
 
 
-def _places(rows: DataFrame, pattern: str, context: bool = False) -> DataFrame:
-    """doc_id, th, m, start, end of the leftmost non-overlapping matches of a pattern; on demand ``left``: the word before."""
-    gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    parts = [F.transform(gaps, F.length).alias("gap"), found.alias("m")]
-    if context:
-        parts.append(F.transform(gaps, lambda g: F.regexp_extract(g, LAST_WORD, 1)).alias("left"))
-        # without a word between them, the match before is the word before
-        parts.append(F.concat(F.array(F.lit("")), found).alias("previous"))
-    left = [F.when(F.col("p.left") != "", F.lower("p.left")).otherwise(_shape(F.coalesce("p.previous", F.lit("")))).alias("left")] if context else []
-    cut = F.arrays_zip(*parts)
-    each = rows.select(*KEY, "row", cut.alias("z")).filter(F.size("z") > 1).select(*KEY, "row", F.posexplode("z").alias("i", "p"))
+def _ends(rows: DataFrame, parts: Column, length: Column) -> DataFrame:
+    """KEY, p and the running sum ``end`` of the parts' lengths: one row per part of each row's text."""
+    each = rows.select(*KEY, "row", parts.alias("z")).filter(F.size("z") > 0).select(*KEY, "row", F.posexplode("z").alias("i", "p"))
     running = Window.partitionBy(*KEY, "row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return (each.select(*KEY, F.col("p.m").alias("m"), *left,
-                        F.sum(F.col("p.gap") + F.coalesce(F.length("p.m"), F.lit(0))).over(running).alias("end"))
-            .filter(F.col("m").isNotNull()).select(*KEY, "m", *(["left"] if context else []), (F.col("end") - F.length("m")).alias("start"), "end").distinct())
+    return each.select(*KEY, "p", F.sum(length).over(running).alias("end"))
+
+
+def _places(rows: DataFrame, pattern: str) -> DataFrame:
+    """doc_id, th, m, start, end of the leftmost non-overlapping matches of a pattern."""
+    gaps, found = F.split("text", pattern, -1), F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    cut = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), found.alias("m"))
+    return (_ends(rows, cut, F.col("p.gap") + F.coalesce(F.length("p.m"), F.lit(0))).filter(F.col("p.m").isNotNull())
+            .select(*KEY, F.col("p.m").alias("m"), (F.col("end") - F.length("p.m")).alias("start"), "end").distinct())
+
+
+def _token_places(rows: DataFrame) -> DataFrame:
+    """doc_id, th, raw, left (the word before: its shape, if it is such a token too), end of all identifier-like tokens.
+
+    Each text is scanned once; both words are read from the end of a part, whatever its length."""
+    last = F.split(F.reverse("p"), C.WORD_SEP, 3)
+    word = lambda i: F.reverse(F.coalesce(F.get(last, F.lit(i)), F.lit("")))
+    parts = F.regexp_extract_all("text", F.lit(TO_TOKEN), F.lit(0))
+    # a part without a word before its token follows the token of the part before
+    at = _ends(rows, F.arrays_zip(parts.alias("p"), F.concat(F.array(F.lit("")), parts).alias("q")), F.coalesce(F.length("p.p"), F.lit(0)))
+    at = at.filter(F.col("p.p").isNotNull()).select(*KEY, "end", "p.p", "p.q")
+    before = F.reverse(F.coalesce(F.get(F.split(F.reverse("q"), C.WORD_SEP, 2), F.lit(0)), F.lit("")))
+    return (at.select(*KEY, "end", word(0).alias("raw"), word(1).alias("word"), before.alias("before"))
+            .select(*KEY, "raw", F.when(F.col("word") != "", F.lower("word")).otherwise(_shape(F.col("before"))).alias("left"), "end").distinct())
 
 
 def matches(docs: DataFrame) -> DataFrame:
@@ -106,10 +117,10 @@ def tokens(docs: DataFrame) -> DataFrame:
     """doc_id, th, token, pattern, start, end of identifier-like tokens, outer punctuation taken off."""
     every = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("th"), F.col("text").cast("string"))
     every = every.withColumn("row", F.monotonically_increasing_id())
-    at = _places(every.filter(F.col("text").rlike("[0-9@]")), TOKEN, True)
-    core = F.regexp_replace(F.regexp_replace(F.col("raw"), r"^[\"'(\[{<]+", ""), r"[\"')\]}>.,;:!?]+$", "")
+    at = _token_places(every.filter(F.col("text").rlike("[0-9@]")))
+    core = F.regexp_replace(F.regexp_replace(F.col("raw"), r"^[\"'(\[{<]+", ""), r"[\"')\]}>.,;:!?]+\z", "")
     skipped = F.length("raw") - F.length(F.regexp_replace(F.col("raw"), r"^[\"'(\[{<]+", ""))
-    return (at.withColumnRenamed("m", "raw").withColumn("token", core).filter(F.length("token") > 3)
+    return (at.withColumn("token", core).filter(F.length("token") > 3)
             .withColumn("start", F.col("end") - F.length("raw") + skipped).withColumn("end", F.col("start") + F.length("token"))
             .select(*KEY, F.lower("token").alias("token"), F.concat_ws(" ", "left", _shape(F.col("token"))).alias("pattern"), "start", "end"))
 

@@ -224,6 +224,33 @@ def test_tokens_that_follow_each_other(spark):
 
 
 # ── leaks ───────────────────────────────────────────────────────────────────
+def test_tokens_equal_a_plain_scan(spark):
+    """Every word with a digit or @ is a token; its place and the word before it, over any white space and tails."""
+    import re
+
+    rng = random.Random(3)
+    parts = ["a", "B1", "@x", "12", "\n", " ", "  ", "\t", "\u0085", "\U0001F600", "é9", ".", "(", "foo", "x@y.zz", "x" * 3000, " word" * 400]
+    rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(0, 60))), None, None, 0) for i in range(600)]
+
+    def shape(t):
+        return re.sub("[A-Z]+", "A", re.sub("[a-zé]+", "a", re.sub("[0-9]", "9", t)))
+
+    want = set()
+    for i, text, *_ in rows:
+        before = ""
+        for m in re.finditer(r"[^\x20\x09-\x0D]+", text):
+            word = m.group()
+            if re.search("[0-9@]", word):
+                skip = len(word) - len(re.sub(r"^[\"'(\[{<]+", "", word))
+                core = re.sub(r"[\"')\]}>.,;:!?]+\Z", "", word[skip:])
+                left = shape(before) if re.search("[0-9@]", before) else before.lower()
+                if len(core) > 3:
+                    want.add((i, core.lower(), f"{left} {shape(core)}", m.start() + skip, m.start() + skip + len(core)))
+            before = word
+    got = identifiers.tokens(cases.frame(spark, rows, True)).select("doc_id", "token", "pattern", "start", "end").collect()
+    assert len(got) > 500 and sorted(map(tuple, got)) == sorted(want)
+
+
 def test_leaks(spark):
     rng = random.Random(8)
     items = [(i, " ".join(cases.words(rng, rng.randrange(15, 50), 3000))) for i in range(12)] + [(50, None), (51, ""), (52, "tiny item here"), (52, "tiny item here")]

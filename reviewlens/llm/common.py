@@ -181,11 +181,27 @@ class Pieces:
 _KEPT: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: the JVM and the other workers of an executor share its limit."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def kept(key, make):
     """One object per Python worker: the last one asked for.  A worker that goes on to another
     operator's tasks drops what the first one kept."""
     if key not in _KEPT:
-        _KEPT.clear()
+        if _KEPT:
+            _KEPT.clear()
+            give_back()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -206,6 +222,18 @@ def chunks(texts: list[str | None], most: int = 3_000_000):
         yield start, len(texts)
 
 
+def spans(texts, most: int = 3_000_000):
+    """``chunks`` of an Arrow text column, before any text becomes a Python object."""
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 100)
+    start = 0
+    while start < len(ends):
+        stop = min(int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most)) + 1, len(ends))
+        yield start, stop
+        start = stop
+
+
 def count_rows(df: DataFrame) -> int:
     return df.agg(F.count(F.lit(1))).first()[0]
 

@@ -53,6 +53,21 @@ def test_components_of_nothing(spark):
     assert fragment_join.similar_components(cases.frame(spark, cases.documents()).limit(0)).count() == 0
 
 
+def test_one_doc_id_with_two_texts(spark):
+    """Rows link by their own text; the pipeline keeps one of each group and both texts of a repeated doc_id."""
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    a, b = cases.words(rng, 120), cases.words(rng, 120)
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(b)), (3, near(a)), (4, " ".join(a[:60])), (1, " ".join(a)), (5, "short"), (5, "brief"), (5, None)]
+    df = cases.frame(spark, [(i, t, "en", "s", 0) for i, t in rows], True)
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in fragment_join.similar_components(df).collect())
+    assert got == [(1, 116, 1)] * 3 + [(2, 116, 1), (3, 116, 1), (4, 56, 4), (5, 0, 5), (5, 1, 5), (5, 1, 5)]
+    kept = sorted((r.doc_id, r.text or "") for r in corpus_pipeline.drop_near_duplicates(spark, df, "").collect())
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, " ".join(a[:60])), (5, "short"), (5, "brief"), (5, "")])
+
+
 def test_partial_overlaps_add_up(spark):
     import numpy as np
 

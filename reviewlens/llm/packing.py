@@ -70,19 +70,22 @@ def placed(tokens: DataFrame) -> DataFrame:
         "doc_id", "n_tokens", "ids", (F.col("base") + F.col("part_start")).alias("base"))
 
 
-def pieces(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, wide: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (32-bit little-endian)."""
-    dtype = np.dtype("<u4" if wide else "<u2")
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             base, n = b.column("base").to_numpy(), b.column("n_tokens").to_numpy()
             first, last = base // window, (base + n - 1) // window
             k = last - first + 1
             row = np.repeat(np.arange(len(n)), k)
             seq = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(k) - k, k)
             lo, hi = np.maximum(seq * window, base[row]), np.minimum((seq + 1) * window, base[row] + n[row])
-            raw = [np.frombuffer(x, dtype).astype("<u4") for x in b.column("ids").to_pylist()]
+            kept = b.column("ids").to_pylist()
+            dtype = np.dtype(f"<u{len(kept[0]) // n[0]}")  # as wide as the encoder stored them; the end id is always there
+            raw = [np.frombuffer(x, dtype).astype("<u4") for x in kept]
             cut = [raw[r][i:j].tobytes() for r, i, j in zip(row.tolist(), (lo - base[row]).tolist(), (hi - base[row]).tolist())]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").take(pa.array(row)), pa.array(lo - base[row]), pa.array(hi - lo), pa.array(n[row]),

@@ -4,8 +4,8 @@ Lines carry a quote level (leading > signs).  Level-0 lines are a message's
 own text; quoted lines, and quoted blocks as a whole, are normalised and
 hashed, and joined to the newest earlier message of the conversation whose own
 lines (or whole text) have the hash.  The parent of a message is the one that
-answers most of its quotes at the lowest level; without any, the message
-before it.  Threads, levels and positions follow from the parents.
+answers most characters of its quotes at the lowest level; without any, the
+message before it.  Threads, levels and positions follow from the parents.
 
 "Newest earlier message with this passage" and all positions are running
 aggregates in two levels (buckets of ``BUCKET`` turns, then buckets), so a
@@ -28,8 +28,6 @@ from pyspark.sql import functions as F
 from reviewlens.llm import common as C
 
 BUCKET = 1024
-#: Normalised passages shorter than this many characters say too little to link.
-LEAST_CHARS = 12
 #: Lines such as "On 3 May, Ann wrote:" above a quote.
 ATTRIBUTION = r"(?i)^\s*(on\b.*\bwrote|.*\bschrieb|.*\ba écrit|.*\bescribió)\s*:\s*$"
 #: Pointer doubling ends when all threads are resolved; this many rounds cover 2**40 levels.
@@ -74,14 +72,15 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 
 def _passages(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(conv, h, key) of own passages and (conv, h, key, level) of quoted ones."""
+    """(conv, h, key) of own passages and (conv, h, key, level, chars) of quoted ones, however short."""
     each = rows.select("conv", "key", F.explode("lines").alias("x")).select("conv", "key", "x.level", _normal(F.col("x.body")).alias("p"))
     whole = rows.select("conv", "key", F.lit(0).alias("level"), _normal(F.col("own")).alias("p"))
     levels = F.array_distinct(F.transform("lines", lambda x: x["level"]))
     blocks = (rows.select("conv", "key", "lines", F.explode(levels).alias("level")).filter("level > 0")
               .select("conv", "key", "level", _normal(F.array_join(F.transform(F.expr("filter(lines, x -> x.level = level)"), lambda x: x["body"]), " ")).alias("p")))
-    every = each.unionByName(whole).unionByName(blocks).filter(F.length("p") >= LEAST_CHARS).select("conv", F.xxhash64("p").alias("h"), "key", "level")
-    return every.filter("level = 0").drop("level").distinct(), every.filter("level > 0").distinct()
+    every = each.unionByName(whole).unionByName(blocks).filter("p <> ''").select(
+        "conv", F.xxhash64("p").alias("h"), "key", "level", F.length("p").cast("long").alias("chars"))
+    return every.filter("level = 0").drop("level", "chars").distinct(), every.filter("level > 0").distinct()
 
 
 def newest_before(given: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
@@ -103,8 +102,8 @@ def parents(rows: DataFrame) -> DataFrame:
     """conv, key, parent (key), n_linked: quotes first, else the message before."""
     own, quoted = _passages(rows)
     linked = newest_before(own, quoted, ["conv", "h"]).filter("found IS NOT NULL")
-    votes = linked.groupBy("conv", "key", "found").agg(F.min("level").alias("level"), F.count(F.lit(1)).alias("n"))
-    best = votes.groupBy("conv", "key").agg(F.max(F.struct((-F.col("level")).alias("level"), "n", "found")).alias("b"),
+    votes = linked.groupBy("conv", "key", "found").agg(F.min("level").alias("level"), F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n"))
+    best = votes.groupBy("conv", "key").agg(F.max(F.struct((-F.col("level")).alias("level"), "chars", "found")).alias("b"),
                                            F.sum("n").alias("n_linked")).select("conv", "key", F.col("b.found").alias("quoted"), "n_linked")
     places = rows.select("conv", "key")
     return (newest_before(places, places, ["conv"]).join(best, ["conv", "key"], "left")

@@ -8,7 +8,9 @@ so applying all occurrences of the lowest pair together equals the library's
 one-by-one order.
 
 Edge cases: null or empty text counts 0 bytes and 0 tokens; extra columns are
-ignored; repeated rows give repeated rows; an empty table gives an empty table.
+ignored; repeated rows give repeated rows; an empty table gives an empty table;
+a tokenizer file with another pre-tokeniser, a normaliser or another model than
+plain byte-level BPE raises.
 """
 
 from __future__ import annotations
@@ -40,12 +42,22 @@ def _byte_letters() -> list[str]:
     return [letter[b] for b in range(256)]
 
 
+def _check(spec: dict, path: str) -> None:
+    """Raise unless the file asks for exactly what this module does."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = (model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix"))
+             and not spec.get("normalizer") and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and before.get("use_regex", True))
+    if not plain:
+        raise ValueError(f"{path}: not a plain byte-level BPE tokenizer")
+
+
 class RankTable:
     """(left id, right id) -> rank and merged id, as an open-addressing table in numpy arrays."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _check(spec, path)
         vocab = spec["model"]["vocab"]
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.first = np.array([vocab[c] for c in _byte_letters()], np.int64)

@@ -357,6 +357,14 @@ def test_quotes(spark, monkeypatch):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_short_quotes_link(spark):
+    """A short quote finds its message; a longer quote weighs more than several short ones."""
+    rows = [(1, 0, "user", "Shall we?"), (1, 1, "a", "Yes, ok."), (1, 2, "b", "Something else that is said"), (1, 3, "c", "> Yes, ok.\nFine"),
+            (1, 4, "d", "No\nHm"), (1, 5, "e", "> No\n> ...\n> Something else that is said\nBoth"), (1, 6, "f", "> !?\nnothing quoted")]
+    got = {r.turn: (r.parent_turn, r.n_linked) for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {0: (None, 0), 1: (0, 0), 2: (1, 0), 3: (1, 1), 4: (3, 0), 5: (2, 2), 6: (5, 0)}
+
+
 def test_quotes_keep_every_message(spark, monkeypatch):
     """Messages that share a turn or have no conv_id or turn all come back; only equal rows are one."""
     monkeypatch.setattr(quotes, "BUCKET", 3)

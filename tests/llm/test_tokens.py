@@ -106,6 +106,27 @@ def test_packing(spark, tok, parts):
     assert packing.pieces(cases.frame(spark, rows).limit(0), C.tokenizer_path()).count() == 0
 
 
+def test_packing_takes_the_width_from_the_encoder(spark, monkeypatch):
+    """A vocabulary over 65,536 is stored and read in 32 bits."""
+    big = [70_000 + 3 * i for i in range(50)]
+    stored = spark.createDataFrame([(0, 0, 7, 50, bytearray(np.array(big, "<u4").tobytes()))], "part long, part_start long, doc_id long, n_tokens long, ids binary")
+    monkeypatch.setattr(packing, "tokenised", lambda *_: stored)
+    got = packing.pieces(stored, "", window=32).orderBy("start").collect()
+    assert [r.length for r in got] == [32, 18] and [x for r in got for x in np.frombuffer(r.ids, "<u4").tolist()] == big
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import json
+
+    with open(C.tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", None)):
+        path = tmp_path / "other.json"
+        path.write_text(json.dumps(spec | {key: value}), encoding="utf-8")
+        with pytest.raises(ValueError):
+            token_counts.RankTable(str(path))
+
+
 def test_prefix_sums_in_runs(spark):
     df = spark.range(50).select(F.col("id").alias("k"), (F.col("id") * 3 + 1).alias("v"))
     got = dict(packing.prefix_sums(df, "k", "v", run=7).collect())

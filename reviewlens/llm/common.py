@@ -136,8 +136,10 @@ class Pieces:
 
     A byte-level BPE pre-token never spans a cut before a space or line feed
     that stands next to other text (``UNSAFE`` lists the exceptions), so the
-    ids of such pieces can be kept and joined.  The test compares with
-    encoding each text whole.
+    ids of such pieces can be kept and joined.  New pieces without white space
+    are encoded as one text and cut where the bytes of the tokens reach the
+    spaces; the others are kept apart by a special string.  The test compares
+    with encoding each text whole.
     """
 
     def __init__(self, path: str):
@@ -149,7 +151,14 @@ class Pieces:
         self.cut, self.cut_id = next(iter(added.items()))
         self.wide = self.tok.get_vocab_size() > 1 << 16
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.added = list(added)
         self.unsafe = re.compile("|".join([UNSAFE, *map(re.escape, added)]))
+        self.two, self.white = re.compile(r"\s\s"), re.compile(r"\s")
+        #: Bytes of each id: a byte-level entry spells one byte by one character.
+        vocabulary = self.tok.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.n_bytes[i] = len(token)
         self.known: dict[str, bytes] = {}
         self.lf = len(self._ids("\n")) * self.dtype.itemsize
 
@@ -157,8 +166,34 @@ class Pieces:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
 
     def _learn(self, pieces: list[str]) -> None:
-        if not pieces:
-            return
+        """Keep the ids of the pieces (each once, none holds a special string)."""
+        odd = [p for p in pieces if not p or self.white.search(p)]
+        if len(odd) < len(pieces):
+            apart = set(odd)
+            plain = [p for p in pieces if p not in apart] if odd else pieces
+            if not self._learn_plain(plain):
+                odd = pieces
+        if odd:
+            self._learn_apart(odd)
+
+    def _learn_plain(self, pieces: list[str]) -> bool:
+        """Pieces without white space; False: the tokens do not break at every space, nothing is kept."""
+        text = " " + " ".join(pieces)
+        a = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
+        flat = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        starts, ends = np.flatnonzero(flat == 32)[1:], np.cumsum(self.n_bytes[a])
+        if not len(ends) or ends[-1] != len(flat):
+            return False
+        at = np.searchsorted(ends, starts) + 1
+        if (ends[at - 1] != starts).any():
+            return False
+        raw, size = a.tobytes(), self.dtype.itemsize
+        at = [0, *(at * size).tolist(), len(raw)]
+        for p, i, j in zip(pieces, at, at[1:]):
+            self.known[p] = raw[i:j]
+        return True
+
+    def _learn_apart(self, pieces: list[str]) -> None:
         text = self.cut.join(p if p[:1] == "\n" else " " + p for p in pieces)
         a = np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.dtype)
         raw, size = a.tobytes(), self.dtype.itemsize
@@ -166,11 +201,16 @@ class Pieces:
         for p, i, j in zip(pieces, [0, *[e + size for e in ends]], [*ends, len(raw)]):
             self.known[p] = raw[i:j]
 
+    def _whole(self, text: str) -> bool:
+        """Must the text be encoded whole?  The full pattern is slow and looks only where a plain test finds something."""
+        some = text[0].isspace() or self.two.search(text) or any(x in text for x in self.added)
+        return bool(some and self.unsafe.search(text))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian ids of each text (null: none)."""
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        split = [None if not t else False if self.unsafe.search(t) else ("\n" + t.replace("\n", " \n")).split(" ")
+        split = [None if not t else False if self._whole(t) else ("\n" + t.replace("\n", " \n")).split(" ")
                  for t in texts]
         self._learn(list(set().union(*(p for p in split if p)) - self.known.keys()))
         get = self.known.__getitem__

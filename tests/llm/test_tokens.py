@@ -39,6 +39,21 @@ def test_pieces_and_counts_equal_the_library(tok):
         assert counter.count(texts) == [len(ids_of(tok, t)) for t in texts]
 
 
+def test_pieces_learned_as_one_text_equal_the_library(tok):
+    rng = np.random.default_rng(3)
+    signs = [*"abcXYZ019'.,!-_#@<>|é你🙂\u0301\u180e\u200b", *" " * 9, *"\n" * 3, *"\t\r\x1c\x85\xa0\u2028\u3000", "'s", "<|endoftext|>", "  ", " \n"]
+    texts = ["".join(rng.choice(signs, rng.integers(0, 50))) for _ in range(3000)]
+    enc = C.Pieces(C.tokenizer_path())
+    for i in range(0, len(texts), 100):
+        assert [np.frombuffer(g, enc.dtype).tolist() for g in enc.encode(texts[i:i + 100])] == [ids_of(tok, t) for t in texts[i:i + 100]]
+    # where token bytes do not reach the spaces, the pieces are kept apart instead
+    enc.known.clear()
+    enc.n_bytes += 1
+    words = ["one", "two words", "drei\nvier", "five six one"]
+    assert not enc._learn_plain(["one", "two"]) and not enc.known
+    assert [np.frombuffer(g, enc.dtype).tolist() for g in enc.encode(words)] == [ids_of(tok, t) for t in words]
+
+
 def test_carriage_returns_count_like_the_library(tok):
     counter, enc = token_counts.Counter(C.tokenizer_path()), C.Pieces(C.tokenizer_path())
     texts = ["x \ry", "y", "y y", "x \r", "x\r y", "x\ry", "x \r\ny", "x\r\ny z", "\ry", "a \rb \rc\r d \n\re", "x \r<|endoftext|> \ry"]

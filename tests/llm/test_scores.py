@@ -307,6 +307,30 @@ def test_leaks_of_many_items_equal_brute_force(spark):
     assert sum(r.similarity < leaks.COSINE for r in got) > 0  # the latent space alone would lose these
 
 
+def test_bounds_refuse_no_leak():
+    rng = np.random.default_rng(9)
+    vocabulary = [f"w{i}" for i in range(12)]
+    items = [list(rng.choice(vocabulary, n)) for n in (1, 2, 5, 7, 8, 9, 12, 20, 33)]
+    words = [*rng.choice(vocabulary, 400), *items[5], *rng.choice(vocabulary, 30), *items[7][:14], "x", *items[7][15:], *items[3], "x", *items[0]]
+    column = np.full(1 << leaks.BITS, -1, np.int32)
+    ids = [leaks._ids([" ".join(x)])[0] for x in items]
+    used = np.unique(np.concatenate(ids))
+    column[used] = np.arange(len(used))
+    c = column[leaks._ids([" ".join(words)])[0]]
+    bounds, found = leaks.Bounds(ids, column), 0
+    item = rng.integers(0, len(items), 3000)
+    lo = rng.integers(0, len(words), 3000)
+    hi = np.minimum(lo + rng.integers(0, 60, 3000), len(words))
+    places = bounds.places(c)
+    held, may = bounds.held(places[0], places[2], item, lo, hi), bounds.may_leak(places, item, lo, hi)
+    for k, a, b, n, yes in zip(item.tolist(), lo.tolist(), hi.tolist(), held.tolist(), may.tolist()):
+        assert n == (Counter(items[k]) & Counter(words[a:b])).total()
+        leak = leaks.is_leak(items[k], words[a:b])[0]
+        found += leak
+        assert yes or not leak
+    assert found > 50 and (~may).sum() > 500
+
+
 def test_leaks_with_wide_spaces_and_a_long_item(spark):
     """No-break and other wide spaces split words everywhere; a long item widens no other item's neighbourhood."""
     rng = random.Random(21)

@@ -153,7 +153,7 @@ class Pieces:
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
         self.added = list(added)
         self.unsafe = re.compile("|".join([UNSAFE, *map(re.escape, added)]))
-        self.two, self.white = re.compile(r"\s\s"), re.compile(r"\s")
+        self.two = re.compile(r"\s\s")
         #: Bytes of each id: a byte-level entry spells one byte by one character.
         vocabulary = self.tok.get_vocab()
         self.n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
@@ -167,14 +167,14 @@ class Pieces:
 
     def _learn(self, pieces: list[str]) -> None:
         """Keep the ids of the pieces (each once, none holds a special string)."""
-        odd = [p for p in pieces if not p or self.white.search(p)]
-        if len(odd) < len(pieces):
-            apart = set(odd)
-            plain = [p for p in pieces if p not in apart] if odd else pieces
-            if not self._learn_plain(plain):
-                odd = pieces
-        if odd:
-            self._learn_apart(odd)
+        if not pieces:
+            return
+        words = set(" ".join(pieces).split())  # a piece with white space is no such word
+        plain = [p for p in pieces if p in words]
+        if plain and self._learn_plain(plain):
+            pieces = [p for p in pieces if p not in words]
+        if pieces:
+            self._learn_apart(pieces)
 
     def _learn_plain(self, pieces: list[str]) -> bool:
         """Pieces without white space; False: the tokens do not break at every space, nothing is kept."""

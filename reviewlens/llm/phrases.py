@@ -37,8 +37,8 @@ from reviewlens.llm import common as C
 
 WINDOW = 50
 ANCHOR = 8
-#: Words to remove per shard, and so about the size of one automaton.
-SHARD_WORDS = 300_000
+#: Words per shard, of its documents and of the passages they need; one document is never split.
+SHARD_WORDS = 600_000
 KEY = ["doc_id", "th"]
 
 
@@ -49,7 +49,7 @@ def _labels(words: list[bytes], window: int, anchor: int, hashes: C.WordHashes):
 
 
 def segments(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """doc_id, th, s, n (windows), fp (label), seg (content hash) of every segment of every document."""
+    """doc_id, th, w (words of the document), s, n (windows), fp (label), seg (content hash) of every segment of every document."""
 
     def run(batches):
         hashes = C.kept("words", C.WordHashes)
@@ -57,7 +57,7 @@ def segments(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
         for b in batches:
             rows = list(zip(*(b.column(c).to_pylist() for c in ("doc_id", "th", "text"))))
             for i, j in C.chunks([r[2] for r in rows]):
-                doc, th, out = [], [], []
+                doc, th, size, out = [], [], [], []
                 for d, t, x in rows[i:j]:
                     w = C.words_of(x)
                     if len(w) < window:
@@ -71,15 +71,16 @@ def segments(rows: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Dat
                     seg = C.mix(np.add.reduceat(content * power[at], s) + n.astype(np.uint64))
                     doc.append(np.full(len(s), d))
                     th.append(np.full(len(s), t))
+                    size.append(np.full(len(s), len(w)))
                     out.append((s, n, label[s], seg))
                 if out:
                     s, n, fp, seg = (np.concatenate([o[k] for o in out]) for k in range(4))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(th), pa.int64()), pa.array(s.astype(np.int32)),
-                         pa.array(n.astype(np.int32)), pa.array(C.as_long(fp)), pa.array(C.as_long(seg))],
-                        names=["doc_id", "th", "s", "n", "fp", "seg"])
+                        [pa.array(np.concatenate(doc), pa.int64()), pa.array(np.concatenate(th), pa.int64()), pa.array(np.concatenate(size), pa.int64()),
+                         pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(C.as_long(fp)), pa.array(C.as_long(seg))],
+                        names=["doc_id", "th", "w", "s", "n", "fp", "seg"])
 
-    return rows.mapInArrow(run, "doc_id long, th long, s int, n int, fp long, seg long")
+    return rows.mapInArrow(run, "doc_id long, th long, w long, s int, n int, fp long, seg long")
 
 
 def _windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
@@ -103,35 +104,35 @@ def _windows(rows: DataFrame, window: int, anchor: int) -> DataFrame:
     return rows.select(*KEY, "text", "segs").mapInArrow(run, "fp long, seg long, j int, wh long, doc_id long, th long, pos int")
 
 
-def _join_runs(items: list[tuple]) -> list[tuple]:
-    """(start, windows, owner, owner hash, owner start), sorted: neighbours that continue each other become one."""
-    out: list[tuple] = []
-    for s, n, o, t, p in sorted(items):
-        if out and out[-1][2:4] == (o, t) and out[-1][0] + out[-1][1] == s and out[-1][4] + out[-1][1] == p:
-            out[-1] = (out[-1][0], out[-1][1] + n, o, t, out[-1][4])
-        else:
-            out.append((s, n, o, t, p))
-    return out
-
-
 RUN = "array<struct<s:int,n:int,o_doc:bigint,o_th:bigint,o_s:int>>"
 
 
 def _merged(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Joins the runs listed in ``runs`` of each row."""
+    """Joins the runs listed in ``runs`` of each row: neighbours that continue each other become one."""
 
     def run(batches):
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32()), ("o_doc", pa.int64()), ("o_th", pa.int64()), ("o_s", pa.int32())]))
         for b in batches:
-            runs = [[dict(zip(("s", "n", "o_doc", "o_th", "o_s"), x)) for x in _join_runs([(r["s"], r["n"], r["o_doc"], r["o_th"], r["o_s"]) for r in rs])]
-                    for rs in b.column("runs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.array(runs, kind)], names=[*keys, "runs"])
+            lists = b.column("runs")
+            row, v = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()), lists.flatten()
+            s, n, o, t, p = (v.field(k).to_numpy().astype(np.int64) for k in ("s", "n", "o_doc", "o_th", "o_s"))
+            order = np.lexsort((p, t, o, n, s, row))
+            row, s, n, o, t, p = (x[order] for x in (row, s, n, o, t, p))
+            new = np.ones(len(row), bool)
+            new[1:] = ((row[1:] != row[:-1]) | (o[1:] != o[:-1]) | (t[1:] != t[:-1])
+                       | (s[1:] != s[:-1] + n[:-1]) | (p[1:] != p[:-1] + n[:-1]))
+            at = np.flatnonzero(new)
+            total = np.add.reduceat(n, at) if len(at) else n
+            ends = np.r_[0, np.cumsum(np.bincount(row[at], minlength=b.num_rows))]
+            joined = pa.StructArray.from_arrays(
+                [pa.array(s[at].astype(np.int32)), pa.array(total.astype(np.int32)), pa.array(o[at]), pa.array(t[at]), pa.array(p[at].astype(np.int32))],
+                names=["s", "n", "o_doc", "o_th", "o_s"])
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keys), pa.ListArray.from_arrays(ends.astype(np.int32), joined)], names=[*keys, "runs"])
 
     return rows.select(*keys, "runs").mapInArrow(run, ", ".join(f"{k} long" for k in keys) + f", runs {RUN}")
 
 
 def owned_runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, th, runs: the maximal passages of each document that a smaller doc_id owns (stored)."""
+    """doc_id, th, w (words), runs: the maximal passages of each document that a smaller doc_id owns (stored)."""
     seg = C.write_table(segments(rows, window, anchor))
     labels = seg.groupBy("fp").agg(
         F.min(F.struct("doc_id", "th", "s")).alias("o"), F.max("doc_id").alias("last"), (F.min("seg") == F.max("seg")).alias("single"))
@@ -139,21 +140,22 @@ def owned_runs(rows: DataFrame, window: int, anchor: int) -> DataFrame:
         "fp", "single", F.col("o.doc_id").alias("o_doc"), F.col("o.th").alias("o_th"), F.col("o.s").alias("o_s")))
     found = C.write_table(seg.join(labels, "fp"))
     own = F.struct("s", "n", "o_doc", "o_th", "o_s").alias("run")
-    alike = found.filter(F.col("single") & (F.col("o_doc") < F.col("doc_id"))).select(*KEY, own)
+    alike = found.filter(F.col("single") & (F.col("o_doc") < F.col("doc_id"))).select(*KEY, "w", own)
 
     mixed = found.filter(~F.col("single"))
     first = mixed.groupBy("fp", "seg").agg(F.min(F.struct("doc_id", "th", "s", "n")).alias("r")).select("fp", "seg", "r.*")
     lists = C.write_table(first.groupBy(*KEY).agg(F.collect_list(F.struct("fp", "seg", "s", "n")).alias("segs")))
     win = C.write_table(_windows(rows.join(lists.hint("shuffle_hash"), KEY), window, anchor))
-    owner = win.groupBy("fp", "wh").agg(F.min(F.struct("doc_id", "th", "pos")).alias("o"))
+    # stored, so that both sides of the next join are plain exchanges and a very common window's rows are split
+    owner = C.write_table(win.groupBy("fp", "wh").agg(F.min(F.struct("doc_id", "th", "pos")).alias("o")))
     each = win.select("fp", "seg", "j", "wh").join(owner, ["fp", "wh"]).select("fp", "seg", F.struct(
         F.col("j").alias("s"), F.lit(1).alias("n"), F.col("o.doc_id").alias("o_doc"), F.col("o.th").alias("o_th"), F.col("o.pos").alias("o_s")).alias("run"))
-    by_seg = _merged(each.groupBy("fp", "seg").agg(F.collect_set("run").alias("runs")), ["fp", "seg"])
-    differ = (mixed.select(*KEY, "s", "fp", "seg").join(by_seg, ["fp", "seg"]).withColumn("r", F.explode("runs"))
+    by_seg = _merged(each.groupBy("fp", "seg").agg(F.collect_list("run").alias("runs")), ["fp", "seg"])
+    differ = (mixed.select(*KEY, "w", "s", "fp", "seg").join(by_seg, ["fp", "seg"]).withColumn("r", F.explode("runs"))
               .filter(F.col("r.o_doc") < F.col("doc_id"))
-              .select(*KEY, F.struct((F.col("s") + F.col("r.s")).alias("s"), F.col("r.n").alias("n"), F.col("r.o_doc").alias("o_doc"),
+              .select(*KEY, "w", F.struct((F.col("s") + F.col("r.s")).alias("s"), F.col("r.n").alias("n"), F.col("r.o_doc").alias("o_doc"),
                                      F.col("r.o_th").alias("o_th"), F.col("r.o_s").alias("o_s")).alias("run")))
-    return C.write_table(_merged(alike.unionByName(differ).groupBy(*KEY).agg(F.collect_set("run").alias("runs")), KEY))
+    return C.write_table(_merged(alike.unionByName(differ).groupBy(*KEY, "w").agg(F.collect_set("run").alias("runs")), [*KEY, "w"]))
 
 
 def _passage_texts(rows: DataFrame, window: int) -> DataFrame:
@@ -213,7 +215,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR)
                                        F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("key"))
     rows = every.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(*KEY, "text")
     runs = owned_runs(rows, window, anchor)
-    total = runs.agg(F.sum(F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r["n"] + window))).first()[0] or 0
+    total = runs.agg(F.sum(F.aggregate("runs", F.col("w"), lambda a, r: a + r["n"] + window))).first()[0] or 0
     shard = F.pmod(F.xxhash64("doc_id", "th"), F.lit(int(total // SHARD_WORDS + 1))).alias("shard")
     wanted = C.write_table(
         runs.select(shard, F.explode("runs").alias("r")).select("shard", "r.o_doc", "r.o_th", "r.o_s", "r.n").distinct()

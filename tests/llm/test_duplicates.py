@@ -110,5 +110,25 @@ def test_phrases(spark, monkeypatch, window, anchor, small):
         assert r.n_removed == 0 if r.doc_id is None else (r.n_words, r.n_removed, r.kept_text) == want[r.doc_id]
 
 
+def test_shards_are_sized_by_whole_documents(spark, monkeypatch):
+    rng = random.Random(4)
+    shared = [f"s{i}" for i in range(60)]
+    rows = []
+    for d in range(30):
+        w = [f"w{d}x{rng.randrange(10**6)}" for _ in range(1500)]
+        rows.append((d, " ".join(w[:700] + shared + w[700:]), None, None, 0))
+    most, locate = 6_000, phrases._locate
+
+    def spied(docs, passages):
+        assert sum(len(x.split()) for x in docs["text"]) <= 4 * most  # all documents together: 46,800
+        return locate(docs, passages)
+
+    monkeypatch.setattr(phrases, "SHARD_WORDS", most)
+    monkeypatch.setattr(phrases, "_locate", spied)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in phrases.remove_repeats(cases.frame(spark, rows)).collect()}
+    assert got == removed({i: t for i, t, *_ in rows}, 50)
+    assert [got[d][1] for d in range(30)] == [0] + [60] * 29
+
+
 def test_phrases_of_nothing(spark):
     assert phrases.remove_repeats(cases.frame(spark, cases.documents()).limit(0)).count() == 0

@@ -35,8 +35,13 @@ def strip_ws(c: Column | str) -> Column:
 
     The regex runs only for values whose first or last character is
     whitespace (a hash-set ``IN`` test); the rest pass through untouched.
+    The value is the element of a one-element array, so the expression holds
+    it once: wherever Catalyst inlines it, a derived text is computed once.
     """
-    c = col_(c)
+    return F.transform(F.array(col_(c)), _stripped)[0]
+
+
+def _stripped(c: Column) -> Column:
     edge = F.substring(c, 1, 1).isin(*WS_CHARS) | F.substring(c, -1, 1).isin(*WS_CHARS)
     return F.when(edge, F.regexp_replace(c, f"^{WS_CLASS}+|{WS_CLASS}+$", "")).otherwise(c)
 

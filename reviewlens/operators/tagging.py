@@ -59,7 +59,6 @@ def tag_expr(text: str, taxonomy: Mapping[str, Sequence[str]], prune: bool = Tru
     however many keywords the taxonomy has.  Subsumption pruning is only
     valid for substring matching, so word mode keeps every keyword.
     """
-    t = _text_sql(text)
     if match == "substring":
         groups = tx.compiled(taxonomy, prune=prune)
         test = _any_sql
@@ -68,8 +67,8 @@ def tag_expr(text: str, taxonomy: Mapping[str, Sequence[str]], prune: bool = Tru
         test = _word_sql
     else:
         raise ValueError(f"match must be 'substring' or 'word', not {match!r}")
-    whens = ", ".join(f"CASE WHEN {test(t, kws)} THEN {sql_str(g)} END" for g, kws in groups)
-    return F.expr(f"array_compact(array({whens}))")
+    whens = ", ".join(f"CASE WHEN {test('t', kws)} THEN {sql_str(g)} END" for g, kws in groups)
+    return F.expr(f"transform(array({_text_sql(text)}), t -> array_compact(array({whens})))[0]")
 
 
 def _quoted(k: str) -> str:

@@ -69,3 +69,19 @@ def test_tag_expression_not_duplicated_by_explode(spark):
     opt = df._jdf.queryExecution().optimizedPlan().toString()
     # one tag expression: 'keeps crashing' is pruned, 'crash' appears once per evaluation
     assert opt.count("crash)") == 1
+
+
+def test_a_derived_text_is_computed_once_per_tagging(spark):
+    """Filters on tags are pushed into the scan's projection: keywords must not each bring a copy of the text's expression."""
+    from pyspark.sql import functions as F
+
+    from reviewlens.functions.text import strip_ws
+    from reviewlens.operators import filters as FL
+    from reviewlens.operators.tagging import tag_complaints
+
+    raw = spark.createDataFrame([(1, " It CRASHES "), (2, None), (3, "fine"), (4, " cannot login ")], "id int, t string")
+    texts = raw.select("id", strip_ws(F.initcap(F.concat(F.coalesce("t", F.lit("")), F.lit(" ")))).alias("review_text"))
+    out = FL.filter_theme_chips(tag_complaints(texts.where("review_text != ''")), ["Crash", "Login"])
+    assert sorted((r["id"], r["review_text"].lower()) for r in out.collect()) == [(1, "it crashes"), (4, "cannot login")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count("initcap(") <= 3

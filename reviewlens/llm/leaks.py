@@ -3,9 +3,9 @@
 1. Document frequencies of hashed words over all passages (windows of
    ``BLOCK`` words) of all documents give the TF-IDF weights.
 2. A randomised SVD of TF-IDF passages, its products summed over Spark
-   partitions, gives the latent space: all benchmark passages and a hashed
-   sample of about ``FIT_DOCS`` documents, over the terms that benchmark
-   items hold (no other term can add to a cosine with an item).
+   partitions, gives the latent space: all benchmark passages and all passages
+   of all documents, over the terms that benchmark items hold (no other term
+   can add to a cosine with an item).
 3. Every passage of every document (two adjoining blocks) is projected and
    compared with all items at once; a cosine of ``COSINE`` or more makes it a
    candidate.  Its neighbourhood is then checked by longest common
@@ -17,7 +17,7 @@
    whose words, counted by id, cannot make a leak skip the word checks.
 
 Items are broadcast in slices of at most ``ITEMS`` rows; more items mean more
-passes, never fewer items.  The scan of documents needs no shuffle.
+passes, never fewer items.  Words are hashed once and stored; the scans of documents need no shuffle.
 
 Edge cases: null or empty texts and items match nothing; items under
 ``SHORT`` words count only if all their words follow each other; repeated rows
@@ -39,8 +39,9 @@ from reviewlens.llm import common as C
 BLOCK = 20
 BITS = 18
 RANK, EXTRA = 128, 16
-FIT_DOCS = 2_000
-#: Weight of an item's passages beside sampled ones, so that the space keeps the items' own directions.
+#: Documents that all documents together weigh in the fit, if there are more.
+FIT_WEIGHT = 2_000
+#: Weight of an item's passages beside those, so that the space keeps the items' own directions.
 ITEM_SCALE = 10.0
 COSINE = 0.15
 #: Share of a passage's squared weight on item terms from which it is projected (a cosine c needs about c * c).
@@ -123,15 +124,35 @@ def _slots(n: np.ndarray) -> np.ndarray:
     return (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) % BLOCK
 
 
+def hashed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the hash buckets of its words (stored), which idf, fit and search read."""
+
+    def run(batches):
+        for b in batches:
+            texts, ids = b.column("text").to_pylist(), []
+            for i, j in C.chunks(texts, CHUNK):
+                flat, n = _ids(texts[i:j])
+                raw, ends = flat.astype("<i4").tobytes(), (np.cumsum(n) * 4).tolist()
+                ids += [raw[x:y] for x, y in zip([0, *ends], ends)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
+
+    return C.write_table(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids binary"))
+
+
+def _stored(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """What ``_ids`` gave for the texts."""
+    return np.frombuffer(b"".join(ids), "<i4").astype(np.int64), np.array([len(x) // 4 for x in ids], np.int64)
+
+
 def idf(docs: DataFrame) -> np.ndarray:
-    """ln((passages + 1) / (passages with the term + 1)) per bucket, over all documents."""
+    """ln((passages + 1) / (passages with the term + 1)) per bucket, over all ``hashed`` documents."""
 
     def run(batches):
         total, passages = np.zeros((1 << BITS) + 1, np.int64), 0
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in C.chunks(texts, CHUNK):
-                ids, n = _ids(texts[i:j])
+            stored = b.column("ids").to_pylist()
+            for i, j in C.chunks(stored, CHUNK):
+                ids, n = _stored(stored[i:j])
                 block, blocks = _blocks(n)
                 cells = np.full((int(blocks.sum()), BLOCK), -1, np.int32)
                 cells[block, _slots(n)] = ids
@@ -143,67 +164,67 @@ def idf(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    got = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((1 << BITS) + 1)
     total[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
     return np.log((total[-1] + 1) / (total[:-1] + 1)).astype(np.float32) + np.float32(1e-3)
 
 
-def _rows(texts, scale, weight, column):
-    """Sparse TF-IDF passages over the chosen columns: (row, column, value), values scaled by full length."""
-    ids, n = _ids(texts)
-    block, n = _blocks(n)
-    # a passage is two adjoining blocks; the last block of a text stands alone as well
-    row = np.r_[block, block[block > 0] - 1]
-    ids = np.r_[ids, ids[block > 0]]
-    start = np.zeros(int(n.sum()) + 1, bool)
-    start[np.cumsum(n)] = True
-    ok = np.ones(len(row), bool)
-    ok[len(block):] = ~start[block[block > 0]]
-    row, ids = row[ok], ids[ok]
-    w = weight[ids]
-    size = np.sqrt(np.bincount(row, w * w, int(n.sum()))) + 1e-9
-    col = column[ids]
-    use = col >= 0
-    return row[use], col[use], (w / size[row] * np.repeat(scale, n)[row])[use], int(n.sum())
-
-
-def latent(docs: DataFrame, items: list[str], weight: np.ndarray, column, width: int) -> np.ndarray:
-    """width x RANK basis: range of A'(A W) by partition sums, then the small Gram matrix by partition sums."""
+def latent(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, column, width: int) -> np.ndarray:
+    """width x RANK basis of all passages of ``hashed`` documents and items: range of A'(A W) by partition sums,
+    then the small Gram matrix by partition sums."""
     spark = docs.sparkSession
     rank = min(RANK + EXTRA, width)
-    n = C.count_rows(docs)
-    share = min(1.0, FIT_DOCS / max(n, 1))
-    # sampled by a hash of the text, whatever the order or number of partitions
-    fit = docs.filter(F.pmod(F.xxhash64("text", F.lit(6)), F.lit(1_000_000)) < int(share * 1_000_000)).select("text", F.lit(1.0).alias("scale"))
-    own = spark.createDataFrame([(t, ITEM_SCALE) for t in items], "text string, scale double")
-    both = C.write_table(fit.unionByName(own))
-    parts = C.partitions_for(spark)
+    scale = float(np.sqrt(min(1.0, FIT_WEIGHT / max(C.count_rows(docs), 1))))
+    own = spark.createDataFrame([(x.astype("<i4").tobytes(), ITEM_SCALE) for x in items], "ids binary, scale double")
+    both = docs.select("ids", F.lit(scale).alias("scale")).unionByName(own)
+    of_column = weight[np.flatnonzero(column >= 0)]
     data = spark.sparkContext.broadcast((weight, column))
 
     def summed(first: np.ndarray, gram: bool) -> np.ndarray:
-        given = spark.sparkContext.broadcast(first)
+        # words on no item are the zero row that ends the table
+        given = spark.sparkContext.broadcast(np.vstack([first * of_column[:, None], np.zeros((1, rank))]).astype(np.float32))
 
         def run(batches):
-            w, c = data.value
+            (w, c), table = data.value, given.value
             total = np.zeros((rank, rank) if gram else (width, rank))
             for b in batches:
-                texts, scale = b.column("text").to_pylist(), b.column("scale").to_numpy()
-                for i, j in C.chunks(texts, 400_000):
-                    row, col, value, m = _rows(texts[i:j], scale[i:j], w, c)
-                    low = np.zeros((m, rank))
-                    order = np.argsort(row, kind="stable")
-                    row, col, value = row[order], col[order], value[order]
-                    if not len(row):
+                stored, scales = b.column("ids").to_pylist(), b.column("scale").to_numpy()
+                for i, j in C.chunks(stored, 400_000):
+                    flat, n_words = _stored(stored[i:j])
+                    if not len(flat):
                         continue
-                    at = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                    low[row[at]] = np.add.reduceat(given.value[col] * value[:, None], at, axis=0)
+                    block, n = _blocks(n_words)
+                    cols = c[flat]
+                    cells = np.full((int(n.sum()), BLOCK), width, np.int32)
+                    cells[block, _slots(n_words)] = np.where(cols >= 0, cols, width)
+                    # a passage is two adjoining blocks; the last block of a text stands alone as well
+                    joined = np.ones(len(cells) - 1, bool)
+                    joined[np.cumsum(n)[:-1][(np.cumsum(n)[:-1] > 0) & (np.cumsum(n)[:-1] < len(cells))] - 1] = False
+                    size = np.bincount(block, w[flat].astype(np.float64) ** 2, len(cells))
+                    size[:-1] += np.where(joined, size[1:], 0)
+                    factor = (np.repeat(scales[i:j], n) / (np.sqrt(size) + 1e-9)).astype(np.float32)[:, None]
+                    low = np.empty((len(cells), rank), np.float32)
+                    for x in range(0, len(cells), 2_000):
+                        part = cells[x:x + 2_000].T
+                        acc = table[part[0]]
+                        for y in part[1:]:
+                            acc += table[y]
+                        low[x:x + 2_000] = acc
+                    low[:-1] += low[1:] * joined[:, None]
+                    low *= factor
                     if gram:
                         total += low.T @ low
-                    else:
-                        by = np.argsort(col, kind="stable")
-                        at = np.flatnonzero(np.r_[True, np.diff(col[by]) != 0])
-                        total[col[by][at]] += np.add.reduceat(low[row[by]] * value[by][:, None], at, axis=0)
+                        continue
+                    low *= factor
+                    low[1:] += low[:-1] * joined[:, None]  # of both passages that hold a block
+                    at = np.flatnonzero(cols >= 0)
+                    at = at[np.argsort(cols[at], kind="stable")]
+                    if not len(at):
+                        continue
+                    col = cols[at]
+                    start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
+                    total[col[start]] += np.add.reduceat(low[block[at]], start, axis=0) * of_column[col[start]][:, None]
             step = 256
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(0, len(total), step), pa.int64()), pa.array([total[k:k + step].tobytes() for k in range(0, len(total), step)], pa.binary())],
@@ -213,7 +234,7 @@ def latent(docs: DataFrame, items: list[str], weight: np.ndarray, column, width:
             total = sum(np.frombuffer(x, np.float64) for x in rows["cells"])
             return pd.DataFrame({"at": rows["at"][:1], "cells": [total.tobytes()]})
 
-        got = (both.repartition(min(parts, 32)).mapInArrow(run, "at long, cells binary")
+        got = (both.coalesce(C.partitions_for(spark, 64)).mapInArrow(run, "at long, cells binary")
                .groupBy("at").applyInPandas(add, "at long, cells binary").toPandas().sort_values("at"))
         return np.frombuffer(b"".join(got["cells"]), np.float64).reshape(-1, rank)
 
@@ -378,7 +399,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray) -
     used = np.unique(np.concatenate([np.empty(0, np.int64), *ids]))
     column = np.full(1 << BITS, -1, np.int32)
     column[used] = np.arange(len(used))
-    basis = latent(docs, [t for _, t in items], weight, column, len(used))
+    basis = latent(docs, ids, weight, column, len(used))
     project = basis * weight[used][:, None]
     q = np.stack([project[column[x]].sum(0) / (np.sqrt((weight[x] ** 2).sum()) + 1e-9) for x in ids])
     q /= np.linalg.norm(q, axis=1, keepdims=True) + 1e-9
@@ -389,9 +410,9 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray) -
         table, col, square, query, item_words, item_ids, holders, bounds = data.value
         reaches = np.array([_reach(len(x)) for x in item_words], np.int64)
         for b in batches:
-            doc, texts, out = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), []
+            doc, texts, stored, out = b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("ids").to_pylist(), []
             for i, j in C.chunks(texts, CHUNK):
-                flat, n = _ids(texts[i:j])
+                flat, n = _stored(stored[i:j])
                 if not len(flat):
                     continue
                 n_words, slot = n, _slots(n)
@@ -484,7 +505,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray) -
             yield pa.RecordBatch.from_arrays([pa.array([o[x] for o in out], t) for x, t in enumerate(kinds)],
                                              names=["doc_id", "item_id", "similarity", "n_common", "n_item", "start"])
 
-    return C.write_table(docs.select("doc_id", "text").mapInArrow(run, SCHEMA))
+    return C.write_table(docs.select("doc_id", "text", "ids").mapInArrow(run, SCHEMA))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -496,6 +517,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     n = C.count_rows(items)
     out = spark.createDataFrame([], SCHEMA)
     if n:
+        docs = hashed(docs)
         weight = idf(docs)
         slices = -(-n // ITEMS)
         for k in range(slices):

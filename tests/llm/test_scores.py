@@ -307,6 +307,30 @@ def test_leaks_of_many_items_equal_brute_force(spark):
     assert sum(r.similarity < leaks.COSINE for r in got) > 0  # the latent space alone would lose these
 
 
+def test_latent_space_comes_from_all_passages(spark):
+    """Its directions are the eigenvectors of the products of all passages, of many documents as of few."""
+    rng = random.Random(31)
+    items = [" ".join(cases.words(rng, 12, 60)) for _ in range(3)]
+    texts = [" ".join(cases.words(rng, rng.randrange(90), 60)) for _ in range(leaks.FIT_WEIGHT + 400)] + [None, ""]
+    docs = leaks.hashed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5))
+    ids = [leaks._ids([t])[0] for t in items]
+    used = np.unique(np.concatenate(ids))
+    column = np.full(1 << leaks.BITS, -1, np.int32)
+    column[used] = np.arange(len(used))
+    weight = leaks.idf(docs)
+    basis = leaks.latent(docs, ids, weight, column, len(used))
+    gram = np.zeros((len(used), len(used)))
+    for words, scale in [(leaks._ids([t])[0], (leaks.FIT_WEIGHT / len(texts)) ** 0.5) for t in texts] + [(x, leaks.ITEM_SCALE) for x in ids]:
+        for p in range(0, len(words), leaks.BLOCK):
+            x = words[p:p + 2 * leaks.BLOCK]
+            row = np.bincount(column[x][column[x] >= 0], minlength=len(used)) * weight[used] * scale / np.sqrt((weight[x].astype(float) ** 2).sum())
+            gram += np.outer(row, row)
+    assert basis.shape == gram.shape
+    turned = basis.T.astype(float) @ gram @ basis
+    assert np.allclose(np.diag(turned), np.sort(np.linalg.eigvalsh(gram))[::-1], rtol=1e-3)
+    assert np.abs(turned - np.diag(np.diag(turned))).max() < 1e-4 * turned.max()
+
+
 def test_bounds_refuse_no_leak():
     rng = np.random.default_rng(9)
     vocabulary = [f"w{i}" for i in range(12)]

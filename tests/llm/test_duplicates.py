@@ -80,6 +80,46 @@ def test_partial_overlaps_add_up(spark):
     assert len(parts) == 4 and sum(parts) == whole and sum(p > 0 for p in parts) > 1
 
 
+@pytest.mark.parametrize("rounds,size", [(0, 7), (4, 1000)])
+def test_large_groups_make_no_pair_rows(spark, monkeypatch, rounds, size):
+    """Many variants of one text, most of them too far to link: compared in blocks, not as rows."""
+    rng = random.Random(6)
+    base = cases.words(rng, 160, 4000)
+    texts = {}
+    for i in range(150):
+        w = list(base)
+        for k in range(rng.choice([2, 3, 3, 3])):  # two such variants link only where their changes are near
+            w[rng.randrange(len(w))] = f"v{i}x{k}"
+        texts[i] = " ".join(w)
+    for i in range(150, 156):  # two shorter texts of other words in between
+        texts[i] = " ".join(cases.words(random.Random(i % 2), 30)[:30 - i % 3])
+    seen, possible = [], fragment_join._possible
+
+    def spied(pairs, profiles):
+        seen.append(pairs.count())
+        return possible(pairs, profiles)
+
+    monkeypatch.setattr(fragment_join, "ROUNDS", rounds)
+    monkeypatch.setattr(fragment_join, "BLOCK_SETS", size, raising=False)
+    monkeypatch.setattr(fragment_join, "_possible", spied)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in fragment_join.similar_components(cases.frame(spark, [(i, t, None, None, 0) for i, t in texts.items()])).collect()}
+    want = components(texts)
+    assert got == want and 5 < len({c for _, c in want.values()}) < 155
+    assert sum(seen) < 3000  # of 150 * 149 / 2 = 11,175
+
+
+def test_overlaps_of_all_pairs(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, n).astype(np.uint64) << np.uint64(55)) for n in (0, 1, 40, 90, 200, 400, 90, 3)]
+    for few, columns in ((4, 1024), (1, 7)):
+        monkeypatch.setattr(fragment_join, "FEW_HOLDERS", few)
+        monkeypatch.setattr(fragment_join, "COLUMNS", columns)
+        got = fragment_join.overlaps(sets, np.array([50, 120, 120], np.uint64) << np.uint64(55))
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+
+
 def removed(texts, window):
     first = defaultdict(lambda: 1 << 60)
     cut = {i: (t or "").encode().split() for i, t in texts.items()}

@@ -57,6 +57,8 @@ ITEMS = 5_000
 RARE = 0.3
 #: Cells (items x places) that are counted at once.
 CELLS = 4_000_000
+#: Lines whose rows are added at once.
+LINES = 500
 
 
 #: White space outside ASCII, as str.split() knows it.
@@ -68,13 +70,13 @@ def _spaced(text: str | None) -> str:
     return (text or "") if not text or text.isascii() else _WIDE.sub(" ", text)
 
 
-def _norm(word: str) -> str:
-    return word.lower().strip(".,;:!?\"'()[]{}<>*#%&$|`~_-")
+#: What is cut off the ends of a word.
+_ENDS = ".,;:!?\"'()[]{}<>*#%&$|`~_-"
 
 
 def _words(text: str | None) -> list[str]:
     """Words of a text as they are checked, one for each of ``_ids``."""
-    return [w for w in map(_norm, _spaced(text).split()) if w]
+    return [w for w in [x.strip(_ENDS) for x in _spaced(text).lower().split()] if w]
 
 
 def _reach(n: int) -> int:
@@ -106,7 +108,7 @@ def _ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     if not len(at):
         return np.empty(0, np.int64), n
     letters = np.flatnonzero(inside)
-    first = np.searchsorted(letters, at)
+    first = (np.cumsum(inside, dtype=np.int32) - 1)[at]
     place = np.arange(len(letters)) - np.repeat(first, np.diff(np.r_[first, len(letters)]))
     h = np.add.reduceat(_VALUE[flat[letters]] * _POWER[place & 1023], first)
     return (C.mix(h) >> np.uint64(64 - BITS)).astype(np.int64), n
@@ -124,6 +126,27 @@ def _slots(n: np.ndarray) -> np.ndarray:
     return (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)) % BLOCK
 
 
+def _by_column(c: np.ndarray) -> np.ndarray:
+    """Positions of the words on item terms, by column and place."""
+    at = np.flatnonzero(c >= 0)
+    key = c[at]
+    if len(key) and key.max() < 1 << 16:
+        key = key.astype(np.uint16)  # numpy sorts 16 bits by radix
+    return at[np.argsort(key, kind="stable")]
+
+
+def _row_sums(table: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Sum of the table's rows that each line of ``cells`` names, some lines at a time so that they stay in the cache."""
+    out = np.empty((len(cells), table.shape[1]), table.dtype)
+    work = np.empty((min(LINES, len(cells)), table.shape[1]), table.dtype)
+    for x in range(0, len(cells), LINES):
+        part, acc = np.ascontiguousarray(cells[x:x + LINES].T), out[x:x + LINES]
+        np.take(table, part[0], axis=0, out=acc, mode="clip")
+        for y in part[1:]:
+            acc += np.take(table, y, axis=0, out=work[:len(acc)], mode="clip")
+    return out
+
+
 def hashed(docs: DataFrame) -> DataFrame:
     """doc_id, text and the hash buckets of its words (stored), which idf, fit and search read."""
 
@@ -187,7 +210,7 @@ def latent(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, column,
 
         def run(batches):
             (w, c), table = data.value, given.value
-            total = np.zeros((rank, rank) if gram else (width, rank))
+            total, room = np.zeros((rank, rank) if gram else (width, rank)), np.empty((0, rank), np.float32)
             for b in batches:
                 stored, scales = b.column("ids").to_pylist(), b.column("scale").to_numpy()
                 for i, j in C.chunks(stored, 400_000):
@@ -204,13 +227,7 @@ def latent(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, column,
                     size = np.bincount(block, w[flat].astype(np.float64) ** 2, len(cells))
                     size[:-1] += np.where(joined, size[1:], 0)
                     factor = (np.repeat(scales[i:j], n) / (np.sqrt(size) + 1e-9)).astype(np.float32)[:, None]
-                    low = np.empty((len(cells), rank), np.float32)
-                    for x in range(0, len(cells), 2_000):
-                        part = cells[x:x + 2_000].T
-                        acc = table[part[0]]
-                        for y in part[1:]:
-                            acc += table[y]
-                        low[x:x + 2_000] = acc
+                    low = _row_sums(table, cells)
                     low[:-1] += low[1:] * joined[:, None]
                     low *= factor
                     if gram:
@@ -218,13 +235,15 @@ def latent(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, column,
                         continue
                     low *= factor
                     low[1:] += low[:-1] * joined[:, None]  # of both passages that hold a block
-                    at = np.flatnonzero(cols >= 0)
-                    at = at[np.argsort(cols[at], kind="stable")]
+                    at = _by_column(cols)
                     if not len(at):
                         continue
                     col = cols[at]
                     start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
-                    total[col[start]] += np.add.reduceat(low[block[at]], start, axis=0) * of_column[col[start]][:, None]
+                    if len(at) > len(room):
+                        room = np.empty((len(at), rank), np.float32)
+                    rows = np.take(low, block[at], axis=0, out=room[:len(at)], mode="clip")
+                    total[col[start]] += np.add.reduceat(rows, start, axis=0) * of_column[col[start]][:, None]
             step = 256
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(0, len(total), step), pa.int64()), pa.array([total[k:k + step].tobytes() for k in range(0, len(total), step)], pa.binary())],
@@ -300,10 +319,9 @@ class Holders:
         self.first = np.searchsorted(self.item, np.arange(len(ids) + 1))
         self.cell = np.array([BLOCK * (2 + 2 * _reach(len(x))) for x in ids], np.int64)
 
-    def find(self, c: np.ndarray) -> list[tuple[int, int, int]]:
-        """(item, first word, end) of the places among words with columns ``c`` (-1: on no item)."""
-        at = np.flatnonzero(c >= 0)
-        at = at[np.argsort(c[at], kind="stable")]
+    def find(self, c: np.ndarray, at: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+        """(item, first word, end) of the places among words with columns ``c`` (-1: on no item; ``at``: ``_by_column(c)``)."""
+        at = _by_column(c) if at is None else at
         times = np.bincount(c[at], minlength=int(self.term.max()) + 1)
         start = np.cumsum(times) - times
         n = times[self.term]
@@ -344,10 +362,9 @@ class Bounds:
         self.enough = np.array([np.ceil(LCS * x) if x >= SHORT else x + 1 for x in n], np.int64)
         self.answer = [column[x[-ANSWER_WORDS:] if len(x) >= SHORT else x].astype(np.int64) for x in ids]
 
-    def places(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    def places(self, c: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """Of words with columns ``c``: sorted keys of (column, position) and of (item, start of its answer), and their base."""
-        base, at = len(c) + 1, np.flatnonzero(c >= 0)
-        at = at[np.argsort(c[at], kind="stable")]
+        base, at = len(c) + 1, _by_column(c) if at is None else at
         keys = c[at].astype(np.int64) * base + at
         edge = np.searchsorted(keys, np.arange(int(self.term.max(initial=0)) + 2) * base)
         starts = []
@@ -419,7 +436,8 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray) -
                 block, n = _blocks(n)
                 first, total = np.cumsum(n) - n, int(n.sum())
                 c, size = col[flat], square[flat]
-                marks, head = bounds.places(c), np.cumsum(n_words) - n_words
+                at = _by_column(c)
+                marks, head = bounds.places(c, at), np.cumsum(n_words) - n_words
                 alone = np.zeros(total, bool)  # the last block of a text has none to join
                 alone[(first + n - 1)[n > 0]] = True
 
@@ -440,12 +458,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray) -
                 cols[block, slot] = np.where(c >= 0, c, len(table) - 1)
                 sums = np.zeros((total + 1, table.shape[1]), np.float32)
                 rows = np.flatnonzero(need)
-                for x in range(0, len(rows), 2_000):
-                    part = cols[rows[x:x + 2_000]].T
-                    acc = table[part[0]]
-                    for y in part[1:]:
-                        acc += table[y]
-                    sums[rows[x:x + 2_000]] = acc
+                sums[rows] = _row_sums(table, cols[rows])
                 low = sums[some] + np.where(alone[some, None], 0, sums[some + 1])
                 low /= np.sqrt(length[some])[:, None].astype(np.float32) + 1e-9
                 for s in range(0, len(low), 20_000):
@@ -474,7 +487,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray) -
                                 done.add((r, k))
                                 break
                 ends = np.cumsum(n_words)
-                cells = np.array(holders.find(c), np.int64).reshape(-1, 3)
+                cells = np.array(holders.find(c, at), np.int64).reshape(-1, 3)
                 # a neighbourhood with a leak lies whole in one place
                 ok = bounds.may_leak(marks, *cells.T)
                 for k, lo, hi in cells[ok].tolist():

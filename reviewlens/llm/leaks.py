@@ -90,6 +90,16 @@ _CLASS[list(b" \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f")] = 0
 _CLASS[list(b".,;:!?\"'()[]{}<>*#%&$|`~_-")] = 1
 _VALUE = np.random.default_rng(11).integers(1, 2**63, 256).astype(np.uint64)
 _POWER = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
+#: Letters whose powers are kept (16 bytes each).
+ROOM = 1_200_000
+
+
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers 1, 2, ... of the odd number and 0, 1, ... of its inverse, modulo 2**64."""
+    odd = int(_POWER[0])
+    back = np.full(ROOM, pow(odd, -1, 1 << 64), np.uint64)
+    back[0] = 1
+    return np.cumprod(np.full(ROOM, odd, np.uint64)), np.cumprod(back)
 
 
 def _ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,19 +108,27 @@ def _ids(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     Words are hashed byte by byte in arrays over the whole batch, so no Python object is made per word."""
     raw = [_spaced(t).lower().encode("utf-8", "surrogatepass") + b"\n" for t in texts]
     flat = np.frombuffer(b"".join(raw), np.uint8)
-    kind = _CLASS[flat]
-    keep = kind != 1
-    ends = np.cumsum(keep)[np.cumsum([len(r) for r in raw]) - 1] if raw else np.zeros(0, np.int64)
-    flat, inside = flat[keep], kind[keep] == 2
-    start = inside & ~np.r_[False, inside[:-1]]
+    keep = np.take(_CLASS, flat) != 1
+    ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    ends -= np.searchsorted(np.flatnonzero(~keep), ends)
+    flat = flat[keep]
+    inside = np.take(_CLASS, flat) == 2
+    start, stop = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1]
+    stop[:-1] &= ~inside[1:]
     at = np.flatnonzero(start)
     n = np.diff(np.r_[0, np.searchsorted(at, ends)])
     if not len(at):
         return np.empty(0, np.int64), n
-    letters = np.flatnonzero(inside)
-    first = (np.cumsum(inside, dtype=np.int32) - 1)[at]
-    place = np.arange(len(letters)) - np.repeat(first, np.diff(np.r_[first, len(letters)]))
-    h = np.add.reduceat(_VALUE[flat[letters]] * _POWER[place & 1023], first)
+    size = np.flatnonzero(stop) + 1 - at
+    first = np.cumsum(size) - size
+    value = np.take(_VALUE, flat[inside])
+    if len(value) <= ROOM and size.max() <= len(_POWER):
+        # powers run on over all words; each word's sum is brought back to its own first letter
+        power, back = C.kept("powers", _powers)
+        h = np.add.reduceat(value * power[:len(value)], first) * back[first]
+    else:
+        h = np.add.reduceat(value * _POWER[(np.arange(len(value)) - np.repeat(first, size)) & 1023], first)
     return (C.mix(h) >> np.uint64(64 - BITS)).astype(np.int64), n
 
 

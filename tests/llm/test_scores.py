@@ -372,6 +372,28 @@ def test_leaks_with_wide_spaces_and_a_long_item(spark):
         assert len(leaks._words(t)) == len(leaks._ids([t])[0])
 
 
+def test_word_hashes_by_running_powers_are_those_by_place(monkeypatch):
+    rng = random.Random(9)
+    texts = [r[1] for r in cases.documents()] + ["x" * 1024, "y" * 1025 + " z", "--", "don't (x)", "É ß é", "b"]
+    texts += ["".join(rng.choice("ab .,'é\n-Z") for _ in range(40)) for _ in range(50)]
+    got = [leaks._ids([t]) for t in texts]
+    whole = leaks._ids(texts)
+    monkeypatch.setattr(leaks, "ROOM", 0)
+    for (a, n), (b, m) in zip([*got, whole], [*(leaks._ids([t]) for t in texts), leaks._ids(texts)]):
+        assert a.tolist() == b.tolist() and n.tolist() == m.tolist()
+    assert whole[0].tolist() == [x for a, _ in got for x in a.tolist()]
+
+
+def test_row_sums(monkeypatch):
+    rng = np.random.default_rng(4)
+    table, cells = rng.integers(0, 99, (30, 6)).astype(np.float32), rng.integers(0, 30, (17, 20)).astype(np.int32)
+    monkeypatch.setattr(leaks, "LINES", 4)
+    assert leaks._row_sums(table, cells).tolist() == table[cells].sum(1).tolist()
+    assert leaks._row_sums(table, cells[:0]).shape == (0, 6)
+    c = np.array([3, -1, 70_000, 3, 0], np.int32)
+    assert leaks._by_column(c).tolist() == [4, 0, 3, 2] and leaks._by_column(c[:2]).tolist() == [0]
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]

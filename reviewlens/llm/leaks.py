@@ -46,8 +46,8 @@ ITEM_SCALE = 10.0
 COSINE = 0.15
 #: Share of a passage's squared weight on item terms from which it is projected (a cosine c needs about c * c).
 SHARE = 0.02
-#: Characters handled at once.
-CHUNK = 1_000_000
+#: Characters handled at once, and where words are hashed (its arrays take some 30 bytes a character).
+CHUNK, HASH_CHUNK = 1_000_000, 300_000
 #: Share of an item's words in common order that makes a leak, alone or with the answer in place.
 LCS, LCS_ANSWER = 0.7, 0.55
 ANSWER_WORDS = 5
@@ -55,8 +55,8 @@ SHORT = 8
 ITEMS = 5_000
 #: Share of an item's words, the rarest first, that a place must hold beyond what a leak may lack (a filter only).
 RARE = 0.3
-#: Cells (items x places) that are counted at once.
-CELLS = 4_000_000
+#: Cells (items x places) that are counted at once (some 30 bytes each), and those of a search by term and place.
+CELLS, FOUND = 1_000_000, 250_000
 #: Lines whose rows are added at once.
 LINES = 500
 
@@ -91,7 +91,7 @@ _CLASS[list(b".,;:!?\"'()[]{}<>*#%&$|`~_-")] = 1
 _VALUE = np.random.default_rng(11).integers(1, 2**63, 256).astype(np.uint64)
 _POWER = np.cumprod(np.full(1024, 0x9E3779B97F4A7C15, np.uint64))
 #: Letters whose powers are kept (16 bytes each).
-ROOM = 1_200_000
+ROOM = 400_000
 
 
 def _powers() -> tuple[np.ndarray, np.ndarray]:
@@ -171,13 +171,13 @@ def hashed(docs: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             texts, ids = b.column("text").to_pylist(), []
-            for i, j in C.chunks(texts, CHUNK):
+            for i, j in C.chunks(texts, HASH_CHUNK):
                 flat, n = _ids(texts[i:j])
                 raw, ends = flat.astype("<i4").tobytes(), (np.cumsum(n) * 4).tolist()
                 ids += [raw[x:y] for x, y in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(ids, pa.binary())], names=["doc_id", "text", "ids"])
 
-    return C.write_table(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids binary"))
+    return C.write_table(docs.select("doc_id", "text").mapInArrow(C.tidy(run), "doc_id long, text string, ids binary"))
 
 
 def _stored(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -205,7 +205,7 @@ def idf(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    got = docs.select("ids").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select("ids").mapInArrow(C.tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     total = np.zeros((1 << BITS) + 1)
     total[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
     return np.log((total[-1] + 1) / (total[:-1] + 1)).astype(np.float32) + np.float32(1e-3)
@@ -271,7 +271,7 @@ def latent(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, column,
             total = sum(np.frombuffer(x, np.float64) for x in rows["cells"])
             return pd.DataFrame({"at": rows["at"][:1], "cells": [total.tobytes()]})
 
-        got = (both.coalesce(C.partitions_for(spark, 64)).mapInArrow(run, "at long, cells binary")
+        got = (both.coalesce(C.partitions_for(spark, 64)).mapInArrow(C.tidy(run), "at long, cells binary")
                .groupBy("at").applyInPandas(add, "at long, cells binary").toPandas().sort_values("at"))
         return np.frombuffer(b"".join(got["cells"]), np.float64).reshape(-1, rank)
 
@@ -406,7 +406,7 @@ class Bounds:
             k = int(item[order[a]])
             e = slice(self.first[k], self.first[k] + self.size[k])
             key, times = self.term[e, None] * base, self.times[e, None]
-            step = max(1, CELLS // 16 // int(self.size[k]))
+            step = max(1, FOUND // int(self.size[k]))
             for x in range(a, b, step):  # by term and place: neighbouring searches end near each other
                 at = order[x:min(x + step, b)]
                 found = np.searchsorted(keys, key + hi[at]) - np.searchsorted(keys, key + lo[at])
@@ -536,7 +536,7 @@ def _search(docs: DataFrame, items: list[tuple[int, str]], weight: np.ndarray) -
             yield pa.RecordBatch.from_arrays([pa.array([o[x] for o in out], t) for x, t in enumerate(kinds)],
                                              names=["doc_id", "item_id", "similarity", "n_common", "n_item", "start"])
 
-    return C.write_table(docs.select("doc_id", "text", "ids").mapInArrow(run, SCHEMA))
+    return C.write_table(docs.select("doc_id", "text", "ids").mapInArrow(C.tidy(run), SCHEMA))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

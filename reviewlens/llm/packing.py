@@ -29,18 +29,18 @@ RUN = 4096
 BROADCAST_PARTS = 200_000
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Stored rows: part, part_start (offset in the part), doc_id, n_tokens, ids (16- or 32-bit little-endian)."""
+def tokenised(docs: DataFrame, path: str, end_id: int, most: int = C.CACHE_PIECES) -> DataFrame:
+    """Stored rows: part, part_start (offset in the part), doc_id, n_tokens, ids (16- or 32-bit little-endian).
+    A worker keeps the ids of at most ``most`` pieces."""
     C.ship(docs.sparkSession)
 
     def run(batches):
-        enc = C.pieces(path)
+        enc = C.pieces(path, most)
         end = np.array([end_id], enc.dtype).tobytes()
         part, at = TaskContext.get().partitionId(), 0
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in C.chunks(texts):
-                ids = [x + end for x in enc.encode(texts[i:j])]
+            for i, j in C.spans(b.column("text"), min(3_000_000, 5 * most)):  # a chunk's pieces come on top of those kept
+                ids = [x + end for x in enc.encode(b.column("text").slice(i, j - i).to_pylist())]
                 n = np.array([len(x) // enc.dtype.itemsize for x in ids], np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(j - i, part, np.int64)), pa.array(at + np.cumsum(n) - n), b.column("doc_id").slice(i, j - i),
@@ -49,7 +49,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 at += int(n.sum())
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return C.write_table(rows.mapInArrow(run, "part long, part_start long, doc_id long, n_tokens long, ids binary"))
+    return C.write_table(rows.mapInArrow(C.tidy(run), "part long, part_start long, doc_id long, n_tokens long, ids binary"))
 
 
 def prefix_sums(totals: DataFrame, key: str, value: str, run: int = RUN) -> DataFrame:
@@ -70,7 +70,7 @@ def placed(tokens: DataFrame) -> DataFrame:
         "doc_id", "n_tokens", "ids", (F.col("base") + F.col("part_start")).alias("base"))
 
 
-def pieces(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
+def pieces(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW, most: int = C.CACHE_PIECES) -> DataFrame:
     """One row per piece: doc_id, start, length, doc_tokens, sequence_id, offset, ids (32-bit little-endian)."""
 
     def run(batches):
@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 0, window: int = WINDOW) ->
                  pa.array(seq), pa.array(lo - seq * window), pa.array(cut, pa.binary())],
                 names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    rows = placed(tokenised(docs, path, end_id))
+    rows = placed(tokenised(docs, path, end_id, most))
     return rows.mapInArrow(
         run, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 

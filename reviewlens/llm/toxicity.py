@@ -84,16 +84,16 @@ def language_model(docs: DataFrame) -> np.ndarray:
     """Trigram costs (N x N x N) from all documents; the counts have a fixed number of cells."""
 
     def run(batches):
+        C.forget()
         total = np.zeros(N ** 3, np.int64)
         for b in batches:
-            texts = b.column("text").to_pylist()
-            for i, j in C.chunks(texts):
-                c = _codes("  ".join(["", *(t for t in texts[i:j] if t), ""]))
+            for i, j in C.spans(b.column("text")):
+                c = _codes("  ".join(["", *filter(None, b.column("text").slice(i, j - i).to_pylist()), ""]))
                 total += np.bincount((c[:-2] * N + c[1:-1]) * N + c[2:], minlength=N ** 3)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["cell", "n"])
 
-    got = docs.select(F.col("text").cast("string")).mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    got = docs.select(F.col("text").cast("string")).mapInArrow(C.tidy(run), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(N ** 3)
     counts[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.float64)
     counts = counts.reshape(N, N, N)
@@ -200,6 +200,7 @@ def _count(rows: DataFrame, costs) -> DataFrame:
     """feature, toxic, clean: documents with each feature."""
 
     def run(batches):
+        C.forget()
         r = Restorer(costs.value)
         tox, clean = Counter(), Counter()
         for b in batches:
@@ -215,7 +216,7 @@ def _count(rows: DataFrame, costs) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([tox[k] for k in keys], pa.int64()),
                                            pa.array([clean[k] for k in keys], pa.int64())], names=["feature", "toxic", "clean"])
 
-    return (rows.select("text", "y").mapInArrow(run, "feature string, toxic long, clean long")
+    return (rows.select("text", "y").mapInArrow(C.tidy(run), "feature string, toxic long, clean long")
             .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
@@ -259,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
     # which labelled rows the fit sees, if there are more than FIT_ROWS: those of the least hash
     few = rows if sum(n.values()) <= FIT_ROWS else rows.filter(
         F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / sum(n.values())))
-    got = few.select("text", "y").mapInArrow(run, "y int, hit array<int>").toPandas()
+    got = few.select("text", "y").mapInArrow(C.tidy(run), "y int, hit array<int>").toPandas()
     y = (got["y"].to_numpy() > 0).astype(float)
     size = got["hit"].map(len).to_numpy()
     row = np.repeat(np.arange(len(y)), size)
@@ -275,6 +276,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     costs, bias = model["costs"], model["bias"]
 
     def run(batches):
+        C.forget()
         r, known = Restorer(costs.value), {}
         value = weights.value
         for b in batches:
@@ -296,7 +298,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(s)], names=[*keep, "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(C.tidy(run), f"{schema}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

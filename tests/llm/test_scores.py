@@ -487,3 +487,46 @@ def test_pipeline_stages(spark, tmp_path):
     assert {i: t for i, t in private.items() if i != 702} == {i: t for i, t in clean.items() if i != 702}
     assert {r.doc_id for r in packed} == private.keys()
     assert hashlib  # digest columns are checked in the token tests
+
+
+def test_pipeline_workers_get_small_batches(spark, tmp_path):
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from reviewlens.llm import common as C
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(0, 120, 1, 1).selectExpr("id AS doc_id", "repeat('one two three ', 10000) AS text", "'en' AS lang", "'s' AS source", "140000L AS n_chars")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "four five six")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    before = spark.conf.get(name)
+    try:
+        for stage in ("toxicity", "near_duplicates", "decontamination", "packing"):
+            spark.conf.set(name, "64m")
+            dict(corpus_pipeline.STAGES)[stage](spark, rows.limit(2), str(tmp_path))
+            got = [r.n for r in rows.mapInArrow(sizes, "n long").collect()]
+            assert max(got) < 2 * C.BATCH_BYTES and sum(got) > 15_000_000, stage
+        spark.conf.set(name, "2k")  # a session's own smaller bound stays
+        C.small_batches(spark)
+        assert spark.conf.get(name) == "2k"
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_workers_give_back_what_they_kept(monkeypatch):
+    from reviewlens.llm import common as C
+
+    C.kept("one", lambda: [1])
+    assert C._KEPT == {"one": [1]}
+    C.forget()
+    assert not C._KEPT
+    done = []
+    monkeypatch.setattr(C, "give_back", lambda collect=True: done.append(collect))
+    assert list(C.tidy(lambda batches: (x + 1 for x in batches))([1, 2])) == [2, 3] and done == [False]
+    hashes = C.WordHashes()
+    words = [b"w%d" % i for i in range(C.CACHE_HASHES + 50)]
+    assert len(hashes.array(words)) == len(words) and len(hashes) <= C.CACHE_HASHES <= 100_000

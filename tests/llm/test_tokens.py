@@ -39,6 +39,16 @@ def test_pieces_and_counts_equal_the_library(tok):
         assert counter.count(texts) == [len(ids_of(tok, t)) for t in texts]
 
 
+def test_few_kept_pieces_give_the_same_ids(tok):
+    rng = np.random.default_rng(4)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 400, 30)) for _ in range(60)]
+    enc, most = C.Pieces(C.tokenizer_path(), 100), 0
+    for i in range(0, len(texts), 5):
+        assert [np.frombuffer(g, enc.dtype).tolist() for g in enc.encode(texts[i:i + 5])] == [ids_of(tok, t) for t in texts[i:i + 5]]
+        most = max(most, len(enc.known))
+    assert most < 300  # those of one call and at most 100 before
+
+
 def test_pieces_learned_as_one_text_equal_the_library(tok):
     rng = np.random.default_rng(3)
     signs = [*"abcXYZ019'.,!-_#@<>|é你🙂\u0301\u180e\u200b", *" " * 9, *"\n" * 3, *"\t\r\x1c\x85\xa0\u2028\u3000", "'s", "<|endoftext|>", "  ", " \n"]

@@ -262,7 +262,7 @@ def latent(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, column,
                         room = np.empty((len(at), rank), np.float32)
                     rows = np.take(low, block[at], axis=0, out=room[:len(at)], mode="clip")
                     total[col[start]] += np.add.reduceat(rows, start, axis=0) * of_column[col[start]][:, None]
-            step = 256
+            step = 64  # lines of a record: those of all partitions meet in one group
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(0, len(total), step), pa.int64()), pa.array([total[k:k + step].tobytes() for k in range(0, len(total), step)], pa.binary())],
                 names=["at", "cells"])

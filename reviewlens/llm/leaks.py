@@ -57,8 +57,8 @@ ITEMS = 5_000
 RARE = 0.3
 #: Cells (items x places) that are counted at once (some 30 bytes each), and those of a search by term and place.
 CELLS, FOUND = 1_000_000, 250_000
-#: Lines whose rows are added at once.
-LINES = 500
+#: Lines whose rows are added at once, and words on item terms whose rows are summed at once (600 bytes each).
+LINES, WORDS = 500, 8_000
 
 
 #: White space outside ASCII, as str.split() knows it.
@@ -257,11 +257,16 @@ def latent(docs: DataFrame, items: list[np.ndarray], weight: np.ndarray, column,
                     if not len(at):
                         continue
                     col = cols[at]
-                    start = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
-                    if len(at) > len(room):
-                        room = np.empty((len(at), rank), np.float32)
-                    rows = np.take(low, block[at], axis=0, out=room[:len(at)], mode="clip")
-                    total[col[start]] += np.add.reduceat(rows, start, axis=0) * of_column[col[start]][:, None]
+                    edge = np.flatnonzero(np.r_[True, col[1:] != col[:-1], True])
+                    x = 0
+                    while x < len(edge) - 1:  # whole columns, some rows at a time so that they stay in the cache
+                        y = max(x + 1, int(np.searchsorted(edge, edge[x] + WORDS, side="right")) - 1)
+                        lo, hi, own = edge[x], edge[y], col[edge[x:y]]
+                        if hi - lo > len(room):
+                            room = np.empty((max(hi - lo, WORDS), rank), np.float32)
+                        rows = np.take(low, block[at[lo:hi]], axis=0, out=room[:hi - lo], mode="clip")
+                        total[own] += np.add.reduceat(rows, edge[x:y] - lo, axis=0) * of_column[own][:, None]
+                        x = y
             step = 64  # lines of a record: those of all partitions meet in one group
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(0, len(total), step), pa.int64()), pa.array([total[k:k + step].tobytes() for k in range(0, len(total), step)], pa.binary())],

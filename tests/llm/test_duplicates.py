@@ -108,6 +108,96 @@ def test_large_groups_make_no_pair_rows(spark, monkeypatch, rounds, size):
     assert sum(seen) < 3000  # of 150 * 149 / 2 = 11,175
 
 
+@pytest.mark.parametrize("most", [0, 20])
+def test_texts_are_not_dealt_out(spark, monkeypatch, most):
+    """With more classes than may be broadcast, texts that meet nothing stay where they are read; the components are the same."""
+    rng = random.Random(9)
+    texts = {i: " ".join(cases.words(rng, 60, 5000)) for i in range(60)}
+    texts |= {60 + i: texts[i] for i in range(6)}  # copies
+    texts |= {70 + i: texts[i + 10] + " and more" for i in range(6)}  # near copies
+    seen, plans, prefixes, fragments = [], [], fragment_join._prefixes, fragment_join._fragments
+
+    def plan(rows):
+        return rows._jdf.queryExecution().executedPlan().toString()
+
+    def before_prefixes(rows, *rest):
+        seen.append(plan(rows))
+        return prefixes(rows, *rest)
+
+    def before_fragments(rows, *rest):
+        plans.append(plan(rows))
+        return fragments(rows, *rest)
+
+    monkeypatch.setattr(fragment_join, "BROADCAST_KEYS", most)
+    monkeypatch.setattr(fragment_join, "_prefixes", before_prefixes)
+    monkeypatch.setattr(fragment_join, "_fragments", before_fragments)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(i, t, None, None, 0) for i, t in texts.items()]
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in fragment_join.similar_components(cases.frame(spark, rows)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == components(texts)
+    if most:  # six copies are fewer: their rows are left out by a broadcast
+        assert all("hashpartitioning" not in p for p in seen)
+    assert seen and plans and all("MapInArrow" in p for p in [*plans, *(seen if not most else [])] if "hashpartitioning" in p)
+
+
+def test_numbers_of_classes_differ(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    number = fragment_join._number
+    monkeypatch.setattr(fragment_join, "_number", lambda salt: number(salt) if salt > 1 else F.abs(number(salt)) % 3)
+    rows = cases.documents()
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in fragment_join.similar_components(cases.frame(spark, rows)).collect()}
+    assert got == components({i: t for i, t, *_ in rows})
+
+
+@pytest.mark.parametrize("bits", [(16, 26), (4, 4), (20, 26)])
+def test_sieved_joins_are_exact(spark, monkeypatch, bits):
+    """Also where the sieve is so full that most rows pass it, where keys repeat or are null, and where it is empty."""
+    from reviewlens.llm import common as C
+
+    monkeypatch.setattr(C, "SIEVE_BITS", bits)
+    rows = [(i % 300 if i % 7 else None, f"t{i % 5}", f"text {i}") for i in range(900)]
+    keys = [(i, f"t{i % 2}", i) for i in range(0, 300, 3)] + [(None, "t1", -1)]
+    left = spark.createDataFrame(rows, "a long, b string, text string").repartition(5)
+    table = C.write_table(spark.createDataFrame(keys, "a long, b string, x long"))
+    order = lambda d: sorted(map(tuple, d.collect()), key=str)
+    for t in (table, table.limit(0)):
+        for on in (["a", "b"], ["b"]):
+            assert order(C.matching(left, t, on, -1)) == order(left.join(t, on))
+            assert order(C.without(left, t, on, -1)) == order(left.join(t, on, "left_anti").select(*left.columns))
+    kept = C.sieve(left.withColumn("h", F_hash("a")), "h", C.bit_table(table.select(F_hash("a").alias("h")))).count()
+    assert 300 <= kept < (900 if bits[1] > 4 else 901)
+
+
+def F_hash(*columns):
+    from pyspark.sql import functions as F
+
+    return F.xxhash64(*columns)
+
+
+def test_single_shingles_are_not_dealt_out(spark, monkeypatch):
+    """Of the prefix rows only those whose shingle is in two classes go through the exchange that joins them."""
+    from reviewlens.llm import common as C
+
+    rng = random.Random(11)
+    texts = {i: " ".join(cases.words(rng, 100, 9000)) for i in range(80)}
+    texts[80] = texts[3] + " more"
+    counts, sieve = [], C.sieve
+
+    def spied(rows, column, table, inside=True):
+        out = sieve(rows, column, table, inside)
+        counts.append((rows.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(C, "sieve", spied, raising=False)
+    got = {r.doc_id: r.component_id for r in fragment_join.similar_components(cases.frame(spark, [(i, t, None, None, 0) for i, t in texts.items()])).collect()}
+    assert got == {i: 3 if i == 80 else i for i in texts}
+    assert len(counts) == 1 and counts[0][0] > 1500 and counts[0][1] < 100
+
+
 def test_overlaps_of_all_pairs(monkeypatch):
     import numpy as np
 

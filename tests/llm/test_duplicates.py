@@ -178,6 +178,29 @@ def F_hash(*columns):
     return F.xxhash64(*columns)
 
 
+def test_many_dropped_documents(spark, monkeypatch):
+    """The pipeline's stage where more rows are dropped than may be broadcast: rows that no key fits are not shuffled."""
+    import corpus_pipeline
+    from reviewlens.llm import common as C
+
+    without, plans = C.without, []
+
+    def sieved(rows, table, on, most):
+        out = without(rows, table, on, -1 if "__doc" in on else most)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(C, "without", sieved, raising=False)
+    rows = cases.documents()
+    want = components({i: t for i, t, *_ in rows})
+    df = cases.frame(spark, rows + [(None, rows[0][1], None, None, 1), (None, None, None, None, 0)], True)
+    out = corpus_pipeline.drop_near_duplicates(spark, df, "")
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text or "") for r in out.collect()), key=str)
+    assert got == sorted([(i, t or "") for i, t, *_ in rows if want[i][1] == i] + [(None, rows[0][1] or ""), (None, "")], key=str)
+    assert plans and plans[-1].count("MapInArrow") >= 2
+
+
 def test_single_shingles_are_not_dealt_out(spark, monkeypatch):
     """Of the prefix rows only those whose shingle is in two classes go through the exchange that joins them."""
     from reviewlens.llm import common as C
